@@ -15,9 +15,75 @@ def op3_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.url_filter import judge_urls, stand_in_list
+
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, stand_in_list(pages))
+
+
+def op7_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_heavy_hitter_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_site_spread_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.line_dedup import remove_boilerplate
+
+    return remove_boilerplate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_OP6 = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+  END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN md5(host) < '4' THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+_OP8 = r"""
+WITH keyed AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w AS place
+  FROM keyed WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
+"""
+
+_OP10 = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+bare AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM lines),
+gone AS (SELECT key FROM bare WHERE key <> '' GROUP BY key HAVING count(DISTINCT coalesce('s' || source, '')) >= 10),
+told AS (SELECT doc_id, pos, line, key IN (SELECT key FROM gone) AS gone_ FROM bare)
+SELECT doc_id, count(*)::INTEGER AS n_lines, (count(*) FILTER (WHERE gone_))::INTEGER AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone_), '') AS text
+FROM told GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_bloom_cascade_url_filter": _OP6, "op8_heavy_hitter_exact_dedup": _OP8, "op10_site_spread_line_dedup": _OP10}
