@@ -15,6 +15,12 @@ def op3_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.token_output import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents")))
+
+
 def op6_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeproof.llm.url_filter import judge_urls, stand_in_list
 
@@ -34,6 +40,12 @@ def op8_heavy_hitter_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.packing import pack_sequences
+
+    return pack_sequences(table(spark, sf_dir, "documents"))
+
+
 def op10_site_spread_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeproof.llm.line_dedup import remove_boilerplate
 
