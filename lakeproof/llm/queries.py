@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeproof.llm._common import table
 
 
+def op1_segment_statistics_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), details=True).drop("text", "lang", "n_chars")
+
+
 def op3_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeproof.llm.near_dedup import near_duplicates
 
@@ -21,6 +33,12 @@ def op4_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op5_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeproof.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeproof.llm.url_filter import judge_urls, stand_in_list
 
