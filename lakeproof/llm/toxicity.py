@@ -25,7 +25,7 @@ from lakeproof.llm._common import col
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3000, 6000, 1 << 16
 PREFIXES = (4, 5, 6, 7)
 #: A feature is in so many confirmed texts, and by the prior at least this share of the texts that have it is toxic.
-LEAST_TEXTS, LEAST_SHARE = 8, 0.6
+LEAST_TEXTS, LEAST_SHARE = 8, 0.75
 SLOTS = 1 << 20
 
 
@@ -71,7 +71,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 7e-5) -> Model:
     """The classifier from features of confirmed and of unlabelled texts; without confirmed ones it always says no."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
