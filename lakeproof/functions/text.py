@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lakeproof.functions import fixed
 
@@ -57,11 +58,11 @@ def addresses(text: Column) -> Column:
 
 def code_points(text: Column, kind: str) -> Column:
     """The distinct characters of a class, ascending, as ``U+0041, U+200B``."""
-    found = F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(kind), F.lit(0))), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("int")))
+    found = F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(kind), F.lit(0))), lambda c: F.conv(F.hex(F.encode(c, "utf-32")), 16, 10).cast("int")))
     return F.array_join(F.transform(found, lambda p: F.concat(F.lit("U+"), F.lpad(F.hex(p), F.greatest(F.lit(4), F.length(F.hex(p))), "0"))), ", ")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Compatibility composition; ASCII, which it never changes, goes straight through."""
     for part in parts:

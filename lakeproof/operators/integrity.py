@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lakeproof.functions import fixed, text
 from lakeproof.operators.findings import hit, union
@@ -73,7 +74,7 @@ def manifest_findings(expected: DataFrame, models: DataFrame, metadata: DataFram
     ])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Lines of a unified diff of two texts."""
     return pd.Series([list(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "a", "b", lineterm="")) for a, b in zip(old, new)])
