@@ -69,7 +69,7 @@ def dominant_dtype(tensors: DataFrame) -> DataFrame:
     """(model_id, dtype): the commonest among plain weights, the first seen of equals."""
     plain = tensors.where(F.col("name").endswith(".weight") & ~F.col("name").contains("norm") & ~F.col("name").isin("token_embd.weight", "output.weight"))
     counts = plain.groupBy("model_id", "dtype").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    best = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("n"), "first"))
+    best = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("n"), "first", "dtype"))
     return counts.withColumn("best", best).where("best = 1").select("model_id", "dtype")
 
 
