@@ -1,22 +1,28 @@
-"""Byte-level BPE ids of whole texts with the tokenizers library, remembered by word.
+"""Byte-level BPE ids of whole texts with the tokenizers library, remembered by part.
 
-A single space between two characters that are no white space always begins a pre-token, so a text may be cut there and the parts'
-ids joined. Parts are remembered in a bounded table; what is new in a batch goes to the library in one call. Parts of plain Latin text are cut into
-pre-tokens here, and the library's model merges them; all other parts go through the library's whole path.
+Pre-tokens always begin at a single space before a word and at a comma or full stop after a letter or digit, so texts of plain Latin script
+are cut there, and the parts' ids joined. Arrow cuts the texts and tells the distinct parts of a batch; of those, new ones go to the library's model in one call and are
+remembered in a bounded table. Any other text goes through the library's whole path.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
+from array import array
 
 import numpy as np
-
-MOST_PARTS, MOST_UNITS = 500_000, 250_000
-_ODD = re.compile(r" \s|\s ")
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile("[\n -~À-ÖØ-öø-ɏ]*")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Parts of each of two generations: a full one is kept as the older, and what is used of that moves on, so frequent parts stay.
+MOST_PARTS = 200_000
+#: Bytes of text that are cut at a time, and parts that the library gets at a time.
+SLICE, CALL = 4 << 20, 20_000
+_PLAIN = r"\A[\n -~À-ÖØ-öø-ɏ]*\z"
+_UNSAFE = r"[\n ] (?:[\n ]|\z)|[^0-9A-Za-zÀ-ÖØ-öø-ɏ][.,]"
 _UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|[\n ]+(?![^\n ])|[\n ]+")
 
 
@@ -40,60 +46,94 @@ class TextEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() < 1 << 16 else "<u4")
+        small = self.whole.get_vocab_size() < 1 << 16
+        self.dtype, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
         shape = repr(self.whole.pre_tokenizer)
         self.by_parts = self.whole.normalizer is None and shape.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in shape
-        if self.by_parts:
-            self.model = Tokenizer(self.whole.model)
-            self.letters = _byte_letters()
-            self.parts: dict = {}
-            self.units: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, new: list) -> None:
-        if len(self.parts) + len(new) > MOST_PARTS:
-            self.parts.clear()
-        if len(self.units) > MOST_UNITS:
-            self.units.clear()
-        cut, rest, units = [], [], set()
+        self.model = Tokenizer(self.whole.model)
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of parts, as bytes."""
+        pieces, counts = [], []
         for part in new:
-            text = part[0] if isinstance(part, tuple) else " " + part
-            if _PLAIN.fullmatch(text):
-                cut.append((part, pieces := _UNIT.findall(text)))
-                units.update(pieces)
+            if part.isalpha() or part[:1] == " " and part[1:].isalpha():
+                pieces.append(part)
+                counts.append(1)
             else:
-                rest.append((part, text))
-        fresh = [u for u in units if u not in self.units]
-        spelt = [u.encode().decode("latin-1").translate(self.letters) for u in fresh]
-        for unit, got in zip(fresh, self.model.encode_batch(spelt, add_special_tokens=False)):
-            self.units[unit] = self._bytes(got.ids)
-        for part, pieces in cut:
-            self.parts[part] = b"".join([self.units[u] for u in pieces])
-        for (part, _), got in zip(rest, self.whole.encode_batch([t for _, t in rest], add_special_tokens=False)):
-            self.parts[part] = self._bytes(got.ids)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+                units = _UNIT.findall(part)
+                pieces += units
+                counts.append(len(units))
+        spelt = ["Ġ" + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        ids = [array(self.code, e.ids).tobytes() for i in range(0, len(spelt), CALL) for e in self.model.encode_batch_fast(spelt[i : i + CALL], add_special_tokens=False)]
+        if len(ids) == len(new):
+            return ids
+        out, at = [], 0
+        for n in counts:
+            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
+            at += n
+        return out
+
+    def _encode_plain(self, texts: pa.Array) -> list[np.ndarray]:
+        marked = texts
+        for sign in " ,.":
+            marked = pc.replace_substring(marked, sign, "\0" + sign)
+        lists = pc.split_pattern(marked, "\0")
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.parts.get, names))
+        lost = [i for i, v in enumerate(values) if v is None]
+        if lost:
+            if len(self.parts) + len(lost) > MOST_PARTS:
+                self.parts, self.older = {}, self.parts
+            unknown = []
+            for i in lost:
+                got = values[i] = self.older.get(names[i])
+                if got is None:
+                    unknown.append(i)
+                else:
+                    self.parts[names[i]] = got
+            new = [names[i] for i in unknown]
+            for i, part, got in zip(unknown, new, self._learn(new)):
+                values[i] = self.parts[part] = got
+        joined = pa.array(values, pa.large_binary()).take(coded.indices)
+        offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[: len(joined) + 1]
+        ends = offsets[lists.offsets.to_numpy() - lists.offsets[0].as_py()] // self.dtype.itemsize
+        data = joined.buffers()[2]
+        ids = np.frombuffer(data, dtype=self.dtype, count=int(ends[-1])) if data is not None and ends[-1] else np.zeros(0, self.dtype)
+        ids = ids.copy()  # not the buffer, which is longer
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, of ``dtype``; a null is empty."""
-        texts = [t or "" for t in texts]
-        if not self.by_parts:
-            return [np.array(e.ids, dtype=self.dtype) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        split = []
-        for t in texts:
-            words = _BETWEEN.split(t) if _ODD.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ")
-            words[0] = (words[0],)
-            split.append(words)
-        out = []
-        for words in split:
-            new = [w for w in set(words) if w not in self.parts]
-            if new:
-                before = len(self.parts)
-                self._learn(new)
-                if len(self.parts) < before:
-                    self._learn([w for w in set(words) if w not in self.parts])
-            parts = self.parts
-            out.append(np.frombuffer(b"".join([parts[w] for w in words]), dtype=self.dtype))
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.fill_null("").cast(pa.large_string())
+        collecting = gc.isenabled()
+        gc.disable()  # the many small objects of a slice form no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        plain = np.zeros(len(texts), bool)
+        if self.by_parts:
+            plain = pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(pc.match_substring_regex(texts, _UNSAFE))).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(texts).to_numpy()
+        rows = np.flatnonzero(plain)
+        lots = np.cumsum(sizes[rows]) // SLICE
+        for lot in np.unique(lots):
+            some = rows[lots == lot]
+            for i, ids in zip(some, self._encode_plain(texts.take(pa.array(some)))):
+                out[i] = ids
+            pa.default_memory_pool().release_unused()
+        for i in np.flatnonzero(~plain):
+            out[i] = np.array(self.whole.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=self.dtype)
         return out
 
 

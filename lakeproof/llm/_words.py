@@ -9,6 +9,7 @@ bounded whatever the length of a text.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, name: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a few MB of text each, or a single longer text."""
+    offsets = text_bytes(batch.column(name))[1]
+    at = 0
+    while at < len(batch):
+        end = int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1
+        end = min(max(end, at + 1), len(batch))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _segment(data: np.ndarray, breaks: np.ndarray, letters: bool, prefixes: tuple[int, ...]):
     codes, solid, letter = _tables()
     n = len(data)

@@ -28,21 +28,10 @@ CHUNK = 512
 _SIDE = 4096
 
 
-def _slices(batch: pa.RecordBatch, name: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a few MB of text each, or a single longer text."""
-    offsets = _words.text_bytes(batch.column(name))[1]
-    at = 0
-    while at < len(batch):
-        end = int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1
-        end = min(max(end, at + 1), len(batch))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def sketcher(shingle: int, n_bands: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in _words.slices(whole, "text"):
                 sets = list(_words.shingle_sets(batch.column("text"), shingle))
                 keys = _superminhash.bands(_superminhash.signatures(sets, n_bands * width), n_bands, width).view(np.int64)
                 full = np.array([len(s) for s in sets], dtype=np.int64)
@@ -63,7 +52,7 @@ def sketcher(shingle: int, n_bands: int, width: int):
 def _setter(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in _words.slices(whole, "text"):
                 sets = [s.tobytes() for s in _words.shingle_sets(batch.column("text"), shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "elements"])
 

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.llm._common import col
-from lakeproof.llm._tokens import default_tokenizer, encoder
+from lakeproof.llm._tokens import SLICE, default_tokenizer, encoder
+from lakeproof.llm._words import slices
 
 CAPACITY = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -81,9 +82,8 @@ def _packer(path: str | None, end_id: int, capacity: int, linear: float, quadrat
 
         size = 0
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(batch), 64):
-                for doc_id, got in zip(ids[at : at + 64], known.encode(texts.slice(at, 64).to_pylist())):
+            for part_ in slices(batch, "text", SLICE):
+                for doc_id, got in zip(part_.column("doc_id").to_pylist(), known.encode(part_.column("text"))):
                     names.append(doc_id)
                     held.append(np.concatenate([got, np.array([end_id], dtype=got.dtype)]))
                     size += len(held[-1])
