@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeproof.llm._common import col, stage_table
-from lakeproof.llm._tokens import default_tokenizer, encoder
+from lakeproof.llm._tokens import SLICE, default_tokenizer, encoder
+from lakeproof.llm._words import slices
 
 SCALE = 20
 LOW = 1 << 31
@@ -183,9 +184,8 @@ def _writer(path: str | None, end_id: int):
             return file
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(batch), 64):
-                for doc_id, got in zip(ids[at : at + 64], known.encode(texts.slice(at, 64).to_pylist())):
+            for part_ in slices(batch, "text", SLICE):
+                for doc_id, got in zip(part_.column("doc_id").to_pylist(), known.encode(part_.column("text"))):
                     names.append(doc_id)
                     held.append(np.concatenate([got.astype(wide, copy=False), end]))
                     size += len(held[-1])
@@ -214,18 +214,22 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(len(batch)):
             one = batch.slice(row, 1)
             file = TokenFile(one.column("file")[0].as_buffer().to_pybytes())
-            sizes = file.lengths
-            starts = one.column("before")[0].as_py() + np.concatenate(([0], np.cumsum(sizes)[:-1]))
             crcs = [zlib.crc32(d.astype("<u4").tobytes()) for d in file.documents()]
-            ids = one.column("doc_ids").combine_chunks() if isinstance(one.column("doc_ids"), pa.ChunkedArray) else one.column("doc_ids")
-            yield pa.RecordBatch.from_arrays([ids.flatten(), pa.array(starts.astype(np.int64)), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            n = len(crcs)
+            starts = np.cumsum(file.lengths) - file.lengths
+            part, number = (np.full(n, one.column(c)[0].as_py(), dtype=np.int32) for c in ("part", "number"))
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(number), one.column("doc_ids").flatten(), pa.array(starts), pa.array(file.lengths), pa.array(crcs, pa.int64())], ["part", "number", "doc_id", "within", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Files are decoded where they are read; only what is known of a document then meets the place of its file.
+    """
     sizes = files.select("part", "number", "n_ids")
     by_part = stage_table(sizes.groupBy("part").agg(F.sum("n_ids").alias("ids")), "parts")
     parts = by_part.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))  # a row per written partition
     inside = Window.partitionBy("part").orderBy("number")
-    before = sizes.select("part", "number", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("within")).join(parts, "part").select("part", "number", (F.col("base") + F.col("within")).alias("before"))
-    return files.join(before, ["part", "number"]).select("before", "doc_ids", "file").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = sizes.select("part", "number", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("earlier")).join(parts, "part").select("part", "number", (F.col("base") + F.col("earlier")).alias("before"))
+    told = files.select("part", "number", "doc_ids", "file").mapInArrow(_reader, "part int, number int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    return told.join(before, ["part", "number"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
