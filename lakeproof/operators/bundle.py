@@ -43,51 +43,65 @@ def reconstructed(ids: Column, vocab: Column) -> Column:
 
 
 def forced_groups(forced: DataFrame) -> DataFrame:
-    """(model_id, file_name, grp, ids): forced (pos, id) put in order and cut wherever the next position isn't one more."""
-    by = Window.partitionBy("model_id", "file_name").orderBy("pos", "id")
+    """(model_id, file_name, place, grp, ids): forced (place, pos, id) put in order and cut wherever the next position isn't one more, or there is none."""
+    by = Window.partitionBy("model_id", "file_name", "place").orderBy("pos", "id")
     step = F.when(F.col("pos") == F.lag("pos").over(by) + 1, 0).otherwise(1)
     numbered = forced.withColumn("new", step).withColumn("nth", F.row_number().over(by)).withColumn("grp", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("model_id", "file_name", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x["id"]).alias("ids"))
+    return numbered.groupBy("model_id", "file_name", "place", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x["id"]).alias("ids"))
 
 
 def config_findings(repo_files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """CFG001 to CFG005, and MET020 and MET021 on free texts; located ``file:...``."""
+    """CFG001 to CFG005, and MET020 and MET021 on free texts; located ``file:...``.
+
+    A file is parsed for its decoding settings, for its free texts and for what it forces, and not for each rule.
+    """
     c = files(repo_files, *fixed.BUNDLE_CONFIGS).select("model_id", "file_name", config_udf("text").alias("c")).where("c.ok").select("model_id", "file_name", "c.*")
     order = F.when(F.col("file_name") == fixed.BUNDLE_CONFIGS[0], 0).otherwise(1) * 1000
     at = lambda where: F.concat("file_name", F.lit(":"), where if isinstance(where, Column) else F.lit(where))
-    give = lambda df, rule, seq, detail, where: df.select(*hit(rule, PHASE, order + seq, detail, at(where)))
-    free = c.select("model_id", "file_name", F.explode("strings").alias("s")).select("model_id", "file_name", "s.*").where(F.length("value") >= fixed.FREE_TEXT_LENGTH)
-    free = free.withColumn("hidden", text.code_points(F.col("value"), text.CONCEALED)).withColumn("idiom", text.first_instruction(text.lexical(F.col("value"))))
-    parts = [
-        give(free.where("hidden <> ''"), "MET020", 0, F.concat(F.lit("hides "), "hidden"), F.col("key")),
-        give(free.where("idiom is not null"), "MET021", 1, F.concat(F.lit("says "), "idiom"), F.col("key")),
-        give(c.where("size(auto_map) > 0"), "CFG004", 2, F.concat(F.size("auto_map").cast("string"), F.lit(" classes: "), F.array_join(F.slice("auto_map", 1, 4), ", ")), "config.auto_map"),
-        give(c.where(F.col("penalty") > fixed.MOST_REPETITION_PENALTY), "CFG005", 6, F.concat(F.lit("repetition_penalty "), F.col("penalty").cast("string")), "generation_config.repetition_penalty"),
-        give(c.where("ngram = 1"), "CFG005", 7, F.lit("no token may come twice"), "generation_config.no_repeat_ngram_size"),
-        embedded_findings(free.select("model_id", F.concat("file_name", F.lit(":"), "key").alias("key"), "value")),
-    ]
+
+    def several(df: DataFrame, checks: list[tuple]) -> DataFrame:
+        """Findings of a row's checks (rule, seq, condition, detail, place), in one pass."""
+        each = F.array_compact(F.array(*[
+            F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(rule).alias("rule_id"), F.lit(seq).alias("n"), detail.alias("detail"), at(where).alias("location"))) for rule, seq, cond, detail, where in checks
+        ]))
+        return df.select("model_id", F.lit(PHASE).alias("phase"), order.alias("base"), F.explode(each).alias("x")).select("model_id", "phase", (F.col("base") + F.col("x.n")).cast("long").alias("seq"), "x.rule_id", "x.detail", "x.location")
+
     vocab = surfaces(metadata)
-    pairs = c.select("model_id", "file_name", F.explode("forced").alias("p")).select("model_id", "file_name", "p.pos", "p.id")
-    groups = forced_groups(pairs).join(vocab, "model_id").withColumn("said", reconstructed(F.col("ids"), F.col("surfaces")))
-    groups = groups.withColumn("idiom", text.first_instruction(text.lexical(F.col("said")))).where("idiom is not null")
-    first = F.row_number().over(Window.partitionBy("model_id", "file_name").orderBy("grp"))
-    parts.append(give(groups.withColumn("n_", first).where("n_ = 1"), "CFG003", 3, F.concat(F.lit("forces "), "said"), "generation_config.forced_decoder_ids"))
-    for i, key in enumerate(("forced_bos", "forced_eos")):
-        single = c.select("model_id", "file_name", F.explode(key).alias("id")).join(vocab, "model_id").withColumn("said", reconstructed(F.array("id"), F.col("surfaces")))
-        single = single.withColumn("idiom", text.first_instruction(text.lexical(F.col("said")))).where("idiom is not null")
-        least = F.row_number().over(Window.partitionBy("model_id", "file_name").orderBy("id"))
-        parts.append(give(single.withColumn("n_", least).where("n_ = 1"), "CFG003", 4 + i, F.concat(F.lit("forces "), "said"), f"generation_config.{key}_token_id"))
     keys = [_ROOT + k for k in fixed.STOP_IDS]
     stops = current(metadata.where(F.col("key").isin(*keys))).where("v_int is not null").groupBy("model_id").agg(F.collect_set(F.col("v_int").cast("bigint")).alias("own_stop"))
-    muzzled = c.join(stops, "model_id", "left").withColumn("both", F.array_sort(F.array_intersect("suppressed", F.array_union("stop", F.coalesce("own_stop", F.array().cast("array<bigint>"))))))
-    parts.append(give(muzzled.where("size(both) > 0"), "CFG001", 8, F.concat(F.lit("never ends by "), F.to_json("both")), "generation_config.suppress_tokens"))
-    read = c.join(vocab, "model_id")
     bare = lambda i: F.lower(F.ltrim(F.get("surfaces", F.when((i >= 0) & (i < F.size("surfaces")), i).cast("int")), F.lit("▁Ġ ")))
     words = F.filter("suppressed", lambda i: F.coalesce(bare(i).isin(*fixed.REFUSAL_WORDS), F.lit(False)))
     phrases = F.filter(F.transform("banned", lambda seq: reconstructed(seq, F.col("surfaces"))), lambda s: s.rlike(fixed.REFUSAL_PATTERN))
-    shown = F.concat(F.transform(words, lambda i: i.cast("string")), F.transform(phrases, lambda s: F.trim(s)))
-    parts.append(give(read.withColumn("shown", shown).where("size(shown) > 0"), "CFG002", 9, F.concat(F.lit("keeps back "), F.array_join(F.slice("shown", 1, 6), ", ")), "generation_config"))
-    return union(parts)
+    shown = F.when(F.col("surfaces").isNotNull(), F.concat(F.transform(words, lambda i: i.cast("string")), F.transform(phrases, lambda s: F.trim(s))))
+    both = F.array_sort(F.array_intersect("suppressed", F.array_union("stop", F.coalesce("own_stop", F.array().cast("array<bigint>")))))
+    settings = c.join(stops, "model_id", "left").join(vocab, "model_id", "left").withColumn("both", both).withColumn("shown", shown)
+    decoding = several(settings, [
+        ("CFG004", 2, F.size("auto_map") > 0, F.concat(F.size("auto_map").cast("string"), F.lit(" classes: "), F.array_join(F.slice("auto_map", 1, 4), ", ")), "config.auto_map"),
+        ("CFG005", 6, F.col("penalty") > fixed.MOST_REPETITION_PENALTY, F.concat(F.lit("repetition_penalty "), F.col("penalty").cast("string")), "generation_config.repetition_penalty"),
+        ("CFG005", 7, F.col("ngram") == 1, F.lit("no token may come twice"), "generation_config.no_repeat_ngram_size"),
+        ("CFG001", 8, F.size("both") > 0, F.concat(F.lit("never ends by "), F.to_json("both")), "generation_config.suppress_tokens"),
+        ("CFG002", 9, F.size("shown") > 0, F.concat(F.lit("keeps back "), F.array_join(F.slice("shown", 1, 6), ", ")), "generation_config"),
+    ])
+    free = c.select("model_id", "file_name", F.explode("strings").alias("s")).select("model_id", "file_name", "s.*").where(F.length("value") >= fixed.FREE_TEXT_LENGTH)
+    looked = free.withColumn("hidden", text.code_points(F.col("value"), text.CONCEALED)).withColumn("idiom", text.first_instruction(text.lexical(F.col("value"))))
+    texts = several(looked, [
+        ("MET020", 0, F.col("hidden") != "", F.concat(F.lit("hides "), "hidden"), F.col("key")),
+        ("MET021", 1, F.col("idiom").isNotNull(), F.concat(F.lit("says "), "idiom"), F.col("key")),
+    ])
+    return union([decoding, texts, embedded_findings(free.select("model_id", F.concat("file_name", F.lit(":"), "key").alias("key"), "value")), forced_findings(c, vocab, order)])
+
+
+def forced_findings(c: DataFrame, vocab: DataFrame, order: Column) -> DataFrame:
+    """CFG003: the first group of consecutive forced tokens, and the first forced first and last token, whose text is an instruction."""
+    none = F.lit(None).cast("bigint")
+    entry = lambda where, pos, i: F.struct(F.lit(where).alias("place"), pos.alias("pos"), i.alias("id"))
+    every = F.concat(F.transform("forced", lambda p: entry(0, p["pos"], p["id"])), F.transform("forced_bos", lambda i: entry(1, none, i)), F.transform("forced_eos", lambda i: entry(2, none, i)))
+    ids = c.select("model_id", "file_name", F.explode(every).alias("e")).select("model_id", "file_name", "e.*").join(vocab.select("model_id"), "model_id", "left_semi")
+    groups = forced_groups(ids).join(vocab, "model_id").withColumn("said", reconstructed(F.col("ids"), F.col("surfaces"))).drop("surfaces")
+    groups = groups.withColumn("idiom", text.first_instruction(text.lexical(F.col("said")))).where("idiom is not null")
+    first = F.row_number().over(Window.partitionBy("model_id", "file_name", "place").orderBy("grp"))
+    where = F.element_at(F.array(F.lit("forced_decoder_ids"), F.lit("forced_bos_token_id"), F.lit("forced_eos_token_id")), F.col("place") + 1)
+    return groups.withColumn("n_", first).where("n_ = 1").select(*hit("CFG003", PHASE, order + 3 + F.col("place"), F.concat(F.lit("forces "), "said"), F.concat("file_name", F.lit(":generation_config."), where)))
 
 
 def tokenizer_file_findings(repo_files: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -357,7 +357,7 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY nth) AS grp FROM s)
 SELECT user_id, grp::BIGINT AS grp, string_agg(event_id::VARCHAR, ',' ORDER BY nth) AS ids FROM g GROUP BY ALL""")
 def forced_groups(spark, sf_dir):
     """Forced tokens put in order and cut wherever the next position isn't one more (CFG003): gaps and islands."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("model_id"), F.lit("f").alias("file_name"), F.floor(F.col("event_id") / 7).alias("pos"), F.col("event_id").alias("id"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("model_id"), F.lit("f").alias("file_name"), F.lit(0).alias("place"), F.floor(F.col("event_id") / 7).alias("pos"), F.col("event_id").alias("id"))
     g = bundle.forced_groups(e)
     return g.select(F.col("model_id").alias("user_id"), F.col("grp").cast("long").alias("grp"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
