@@ -44,8 +44,20 @@ CONCEALED = "[" + HIDDEN[1:-1] + BIDI[1:-1] + "]"
 CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def once(value: Column, of) -> Column:
+    """``of(value)`` with the value computed a single time, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def has(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    """Whether a pattern is found. Cheaper signs come first: no text without them can hold it."""
+    signs = dict.fromkeys((HIDDEN, BIDI, CONCEALED), ~is_ascii(text)) | {fixed.URL_PATTERN: text.contains("://"), fixed.IP_PATTERN: text.rlike("[0-9][.][0-9]")}
+    found = text.rlike(pattern)
+    return F.coalesce(signs[pattern] & found if pattern in signs else found, F.lit(False))
 
 
 def urls(text: Column) -> Column:
@@ -59,7 +71,8 @@ def addresses(text: Column) -> Column:
 def code_points(text: Column, kind: str) -> Column:
     """The distinct characters of a class, ascending, as ``U+0041, U+200B``."""
     found = F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(kind), F.lit(0))), lambda c: F.conv(F.hex(F.encode(c, "utf-32")), 16, 10).cast("int")))
-    return F.array_join(F.transform(found, lambda p: F.concat(F.lit("U+"), F.lpad(F.hex(p), F.greatest(F.lit(4), F.length(F.hex(p))), "0"))), ", ")
+    shown = F.array_join(F.transform(found, lambda p: F.concat(F.lit("U+"), F.lpad(F.hex(p), F.greatest(F.lit(4), F.length(F.hex(p))), "0"))), ", ")
+    return F.when(has(text, kind), shown).otherwise("")
 
 
 @F.arrow_udf(StringType())
@@ -70,20 +83,26 @@ def nfkc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield part if plain else pc.utf8_normalize(part, form="NFKC")
 
 
-def lexical(text: Column, folded: bool = True) -> Column:
-    """Text as instruction idioms are looked for in it: composed, look-alike letters made Latin, lower case.
+def lexical(text: Column) -> Column:
+    """Text as instruction idioms are looked for in it: composed, look-alike letters made Latin, lower case."""
+    plain = nfkc(text)
+    return F.lower(F.when(is_ascii(plain), plain).otherwise(F.translate(plain, fixed.LOOKALIKES, fixed.LOOKALIKE_LATIN)))
+
+
+def first_of(haystack: Column, needles: list[str]) -> Column:
+    """The first of the list that a text holds, or null."""
+
+    def pick(text: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for n in reversed(needles):
+            out = F.when(text.contains(n), F.lit(n)).otherwise(out)
+        return out
 
-    ``folded=False`` leaves out the composition, and with it Python; right for text known to be composed.
-    """
-    return F.lower(F.translate(nfkc(text) if folded else text, fixed.LOOKALIKES, fixed.LOOKALIKE_LATIN))
+    return once(haystack, pick)
 
 
 def first_instruction(lexical_text: Column) -> Column:
-    """The first idiom of the list that the text holds, or null."""
-    out = F.lit(None).cast("string")
-    for idiom in reversed(fixed.INSTRUCTIONS):
-        out = F.when(lexical_text.contains(idiom), F.lit(idiom)).otherwise(out)
-    return out
+    return first_of(lexical_text, fixed.INSTRUCTIONS)
 
 
 def normalized_template(source: Column) -> Column:
