@@ -261,6 +261,42 @@ def load(spark, path: str, **options):
     return read("models"), read("metadata"), read("tensors")
 
 
+def load_bytes(spark, path: str, **options):
+    """(models, metadata, tensors) as :func:`load` gives them, from any store that Spark reads; each file (under 2 GB) is taken into memory as a whole."""
+    parse = {"materialize": [k for k in options.get("materialize", "").split(",") if k], "mode": options.get("mode", "full"), "keys": options["keys"].split(",") if options.get("keys") else None}
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gguf").load(path).select("path", "content")
+
+    def rows(table: str):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        ddl = SCHEMAS[table].replace("\n", " ")
+        shape = to_arrow_schema(spark.createDataFrame([], ddl).schema)
+        fields = ("elem_type", "length", "preview_str", "preview_int", "truncated", "max_elem_bytes")
+
+        def run(batches):
+            for batch in batches:
+                out: list[tuple] = []
+                for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                    error, header = None, Header()
+                    try:
+                        header = parse_header(data, **parse)
+                    except HeaderError as e:
+                        error = str(e)
+                    if table == "models":
+                        out.append((name, name, header.version or None, Decimal(header.tensor_count), len(data), Decimal(header.data_start), Decimal(header.alignment), hashlib.sha256(data).hexdigest(), error, error is None))
+                    elif table == "metadata":
+                        out += [(*r[:-1], r[-1] and dict(zip(fields, r[-1]))) for r in metadata_rows(name, header)]
+                    else:
+                        out += tensor_rows(name, header)
+                columns = zip(*out) if out else [()] * len(shape)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, shape)], schema=shape)
+
+        return raw.mapInArrow(run, ddl)
+
+    return rows("models"), rows("metadata"), rows("tensors")
+
+
 # --- writing, for fixtures ---
 
 

@@ -120,3 +120,11 @@ def test_report_is_the_same_each_time(found):
     text = audit.render_json("m", "s", None, found["sizes"])
     assert text == audit.render_json("m", "s", None, found["sizes"]) and text.isascii() and '"fail": 4' in text
     assert "POTENTIALLY" in audit.render_text("m", None, None, found["sizes"]) and "No risk" in audit.render_text("m", None, None, [])
+
+
+def test_whole_files_give_the_same_tables(spark, tmp_path):
+    (tmp_path / "a.gguf").write_bytes(gguf.build([*BASE, ("list", [1, 2]), ("words", ["x", "y"])], [("a", [4, 2], 0), ("b", [4], 200)]))
+    (tmp_path / "b.gguf").write_bytes(b"GGUF")
+    for one, other in zip(gguf.load(spark, str(tmp_path)), gguf.load_bytes(spark, str(tmp_path))):
+        bare = lambda df: sorted(str(r.asDict(True) | {"model_id": r["model_id"].rsplit("/", 1)[-1], "path": ""}) for r in df.collect())
+        assert one.columns == other.columns and bare(one) == bare(other)
