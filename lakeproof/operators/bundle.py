@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeproof.functions import fixed, text
-from lakeproof.functions.json_facts import config_udf, settings_udf, tokenizer_udf
+from lakeproof.functions.json_facts import config_udf, settings_udf, surfaces_udf, tokenizer_udf
 from lakeproof.operators.findings import hit, union
 from lakeproof.operators.metadata import current
 from lakeproof.operators.templates import embedded_findings, repo_template_findings
@@ -32,6 +32,11 @@ def surfaces(metadata: DataFrame) -> DataFrame:
     return vocabulary(metadata).where("not tokens.truncated and tokens.preview_str is not null").select("model_id", F.col("tokens.preview_str").alias("surfaces"))
 
 
+def file_surfaces(repo_files: DataFrame) -> DataFrame:
+    """(model_id, surfaces) from tokenizer.json, for repositories whose model file's vocabulary isn't at hand."""
+    return files(repo_files, "tokenizer.json").select("model_id", surfaces_udf("text").alias("surfaces")).where("surfaces is not null")
+
+
 def reconstructed(ids: Column, vocab: Column) -> Column:
     """The text of token ids: signs of a word's start as spaces, unknown ids left out."""
 
@@ -50,10 +55,11 @@ def forced_groups(forced: DataFrame) -> DataFrame:
     return numbered.groupBy("model_id", "file_name", "place", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda x: x["id"]).alias("ids"))
 
 
-def config_findings(repo_files: DataFrame, metadata: DataFrame) -> DataFrame:
+def config_findings(repo_files: DataFrame, metadata: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """CFG001 to CFG005, and MET020 and MET021 on free texts; located ``file:...``.
 
-    A file is parsed for its decoding settings, for its free texts and for what it forces, and not for each rule.
+    A file is parsed for its decoding settings, for its free texts and for what it forces, and not for each rule. ``vocab`` stands in for the models' own
+    vocabularies, as :func:`file_surfaces` does.
     """
     c = files(repo_files, *fixed.BUNDLE_CONFIGS).select("model_id", "file_name", config_udf("text").alias("c")).where("c.ok").select("model_id", "file_name", "c.*")
     order = F.when(F.col("file_name") == fixed.BUNDLE_CONFIGS[0], 0).otherwise(1) * 1000
@@ -66,7 +72,7 @@ def config_findings(repo_files: DataFrame, metadata: DataFrame) -> DataFrame:
         ]))
         return df.select("model_id", F.lit(PHASE).alias("phase"), order.alias("base"), F.explode(each).alias("x")).select("model_id", "phase", (F.col("base") + F.col("x.n")).cast("long").alias("seq"), "x.rule_id", "x.detail", "x.location")
 
-    vocab = surfaces(metadata)
+    vocab = surfaces(metadata) if vocab is None else vocab
     keys = [_ROOT + k for k in fixed.STOP_IDS]
     stops = current(metadata.where(F.col("key").isin(*keys))).where("v_int is not null").groupBy("model_id").agg(F.collect_set(F.col("v_int").cast("bigint")).alias("own_stop"))
     bare = lambda i: F.lower(F.ltrim(F.get("surfaces", F.when((i >= 0) & (i < F.size("surfaces")), i).cast("int")), F.lit("▁Ġ ")))

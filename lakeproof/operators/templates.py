@@ -48,13 +48,6 @@ def nodes(sources: DataFrame) -> DataFrame:
     return sources.select("model_id", "variant", "source").mapInPandas(run, f"model_id string, variant string, error string, error_line int, {FACTS}")
 
 
-def _first_in(haystack: Column, needles: list[str]) -> Column:
-    out = F.lit(None).cast("string")
-    for n in reversed(needles):
-        out = F.when(haystack.contains(n), F.lit(n)).otherwise(out)
-    return out
-
-
 def tree_findings(facts: DataFrame, embedded: bool = False) -> DataFrame:
     """Rules over the facts; ``embedded`` leaves out parse failures and depth, for templates found in other values."""
     f = facts.withColumn("loc", F.when(F.col("line") > 0, F.concat(F.lit("template:L"), "line")).otherwise("template"))
@@ -62,8 +55,8 @@ def tree_findings(facts: DataFrame, embedded: bool = False) -> DataFrame:
     # a name's rules look at the key of map(attribute=...) where there is one
     named = F.coalesce(name, F.when(context == "subscript key", F.col("recon")))
     key = F.when(context == "map attribute", F.col("const_str")).otherwise(F.when(context.isin("attribute", "subscript key", "name"), named))
-    said = F.when(kind == "Const", _first_in(F.lower("const_str"), fixed.STRING_DUNDERS))
-    token = _first_in(F.lower("recon"), fixed.ASSEMBLED_TOKENS)
+    said = F.when(kind == "Const", text.first_of(F.lower("const_str"), fixed.STRING_DUNDERS))
+    token = text.first_of(F.lower("recon"), fixed.ASSEMBLED_TOKENS)
     lexical = F.col("lexical")
     f = f.withColumn("lexical", text.lexical(F.col("emitted")))
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("")) for x in p])

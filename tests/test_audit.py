@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from lakeproof import cli
+from lakeproof.functions.json_facts import surface_list
 from lakeproof.functions.rules import RULES
 from lakeproof.operators import bundle, integrity
 from lakeproof.plans import audit, gate, queries
@@ -64,6 +65,17 @@ def test_other_files(spark, model):
     ]
 
 
+def test_surfaces_of_tokenizer_files(spark, model):
+    cases = [
+        ({"model": {"vocab": {"a": 0, "c": 2, "x": True}}, "added_tokens": [{"id": 2, "content": "C"}, {"id": 4, "content": "sorry"}, 5]}, ["a", "", "C", "", "sorry"]), ({"model": {"vocab": [["a", 1.0], "b", []]}}, ["a", "b"]),
+        ({"model": {"vocab": {"a": 3_000_000}}}, None), ({"model": {}}, None), ({"added_tokens": None, "model": {"vocab": {"a": 0}}}, ["a"]), ([], None),
+    ]
+    assert [surface_list(json.dumps(c)) for c, _ in cases] == [want for _, want in cases] and surface_list("{") is None
+    files = spark.createDataFrame([("r", "tokenizer.json", json.dumps(cases[0][0])), ("r", "config.json", json.dumps({"suppress_tokens": [4]}))], "model_id string, file_name string, text string")
+    _, meta, _ = gguf.load(spark, model)
+    assert [r["rule_id"] for r in bundle.config_findings(files, meta, bundle.file_surfaces(files)).collect()] == ["CFG002"]
+
+
 def test_manifest_and_diff(spark, model, tmp_path):
     other = tmp_path / "o.gguf"
     other.write_bytes(gguf.build([*PAIRS[:1], ("toy.n", 2), ("toy.new", 1), ("tokenizer.chat_template", "{{ y }}")], [("a", [5], 0), ("b", [4], 0)]))
