@@ -39,6 +39,11 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def near_if_small(written: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if a count of its rows allows, else to be shuffled."""
+    return F.broadcast(written) if written.count() <= most_rows else written
+
+
 def release() -> None:
     """Delete what :func:`stage_table` wrote; call it when no result that reads it is needed any more."""
     while _written:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeproof.llm._common import col, fresh, squeezed, stage_table
+from lakeproof.llm._common import col, fresh, near_if_small, squeezed, stage_table
 
 
 class MisraGries:
@@ -82,8 +82,8 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     fate = exact_duplicates(docs, **options).groupBy(F.col("doc_id").alias("fd"), F.col("text_sha256").alias("fs")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
     fate = stage_table(fate.where("not stays or rows > 1"), "fate")
     same = lambda right: marked[d].eqNullSafe(right["fd"]) & (marked[s] == right["fs"])
-    clean = marked.join(fate, same(fate), "left_anti")
-    again = fate.where("stays")  # rows that repeat a doc_id together with its text
+    gone, again = near_if_small(fate.select("fd", "fs")), near_if_small(fate.where("stays"))  # the latter: rows that repeat a doc_id together with its text
+    clean = marked.join(gone, same(gone), "left_anti")
     order = Window.partitionBy(d, s).orderBy(F.desc(F.char_length(col(docs, "text"))))
     one = marked.join(again, same(again), "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
     return clean.unionByName(one).select(*[col(clean, c) for c in docs.columns])

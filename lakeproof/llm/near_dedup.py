@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeproof.llm import _superminhash, _words
-from lakeproof.llm._common import col, fresh, stage_table
+from lakeproof.llm._common import col, fresh, near_if_small, stage_table
 from lakeproof.llm._graph import components
 
 BANDS, WIDTH = 40, 5
@@ -168,5 +168,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, n_band
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose group has a smaller doc_id."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = gone.withColumnRenamed("gone_id", name := fresh(docs, "gone_id")[0])
+    gone = near_if_small(stage_table(gone.withColumnRenamed("gone_id", name := fresh(docs, "gone_id")[0]), "gone"))
     return docs.join(gone, col(docs, "doc_id") == gone[name], "left_anti")
