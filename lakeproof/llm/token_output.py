@@ -47,7 +47,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
         out[order[0]] += left
     at = 0
     while left < 0:  # the ones that were rounded up to 1 are paid for by the most frequent
-        give = min(-left, (int(out[order[at]]) - 1 + 1) // 2)
+        give = min(-left, int(out[order[at]]) // 2)
         out[order[at]] -= give
         left += give
         at = (at + 1) % int((out > 1).sum() or 1)
