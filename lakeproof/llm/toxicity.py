@@ -25,7 +25,9 @@ from lakeproof.llm._common import col
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3000, 6000, 1 << 16
 PREFIXES = (4, 5, 6, 7)
 #: A feature is in so many confirmed texts, and by the prior at least this share of the texts that have it is toxic.
-LEAST_TEXTS, LEAST_SHARE = 8, 0.75
+LEAST_TEXTS, LEAST_SHARE = 2, 0.75
+#: Share of the chosen features that may be there by chance; it, not a number of texts, grows stricter or laxer with the sample.
+CHANCE = 0.02
 SLOTS = 1 << 20
 
 
@@ -71,19 +73,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 7e-5) -> Model:
-    """The classifier from features of confirmed and of unlabelled texts; without confirmed ones it always says no."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, confirmed: list[bool] | None = None, steps: int = 400, rate: float = 0.05, decay: float = 7e-5) -> Model:
+    """The classifier from features of confirmed and of unlabelled texts; without confirmed ones it always says no.
+
+    ``confirmed`` tells which of the unlabelled texts are among the confirmed ones too: what chance can do is judged by the others.
+    """
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
     known, in_p = np.unique(np.concatenate(positive), return_counts=True)
-    other, in_u = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.searchsorted(other, known)
-    at[at == len(other)] = 0
-    u = np.where(other[at] == known, in_u[at], 0) if len(other) else np.zeros(len(known))
-    lift = (in_p / len(positive)) / ((u + 1) / (len(unlabelled) + 1))
-    expected = len(positive) * (u + 1) / (len(unlabelled) + 1)
-    surprise = in_p * np.log(np.maximum(in_p / expected, 1e-9)) - in_p + expected  # bound on the log of a chance this small
-    pick = np.flatnonzero((in_p >= LEAST_TEXTS) & (prior * lift >= LEAST_SHARE) & (surprise >= np.log(len(known) * 2)))
+
+    def among(texts: list[np.ndarray]) -> np.ndarray:
+        """In how many of these texts each known feature is."""
+        other, n = np.unique(np.concatenate([known[:0], *texts]), return_counts=True)
+        at = np.searchsorted(other, known)
+        at[at == len(other)] = 0
+        return np.where(other[at] == known, n[at], 0) if len(other) else np.zeros(len(known))
+
+    lift = (in_p / len(positive)) / ((among(unlabelled) + 1) / (len(unlabelled) + 1))
+    rest = [t for t, c in zip(unlabelled, confirmed) if not c] if confirmed is not None else unlabelled
+    expected = len(positive) * (among(rest) + 1) / (len(rest) + 1)
+    surprise = np.where(in_p > expected, in_p * np.log(in_p / expected) - in_p + expected, 0.0)  # bound on the log of a chance this small
+    ranked = np.sort(surprise)[::-1]
+    passed = np.flatnonzero(ranked >= np.log(len(known) / (CHANCE * np.arange(1, len(known) + 1))))  # Benjamini and Hochberg's step-up rule
+    pick = np.flatnonzero((in_p >= LEAST_TEXTS) & (prior * lift >= LEAST_SHARE) & (surprise >= ranked[passed[-1]])) if len(passed) else passed
     pick = pick[np.argsort(-in_p[pick], kind="stable")][:MOST_FEATURES]
     hashes = np.sort(known[pick])
 
@@ -125,7 +137,7 @@ def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
             rows = list(features(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("confirmed"), pa.array([r.tobytes() for r in rows], pa.binary())], ["confirmed", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("confirmed"), part.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["confirmed", "doc_id", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -138,11 +150,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit([], [], 0.0)
     u = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = labels.where("toxic = 1").where(u(3) < min(1.0, MOST_POSITIVE / n_toxic)).select("doc_id").distinct().limit(2 * MOST_POSITIVE)
-    positive = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(True).alias("confirmed"), "text").limit(2 * MOST_POSITIVE)
-    unlabelled = docs.where(u(4) < min(1.0, MOST_UNLABELLED / n_docs)).select(F.lit(False).alias("confirmed"), "text").limit(2 * MOST_UNLABELLED)
-    sample = positive.union(unlabelled).mapInArrow(_featurer, "confirmed boolean, features binary").toArrow()
-    rows = [(c, np.frombuffer(f, dtype=np.uint64)) for c, f in zip(sample.column("confirmed").to_pylist(), (x.as_buffer() for x in sample.column("features")))]
-    return fit([f for c, f in rows if c], [f for c, f in rows if not c], n_toxic / n_labels)
+    positive = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(True).alias("confirmed"), "doc_id", "text").limit(2 * MOST_POSITIVE)
+    unlabelled = docs.where(u(4) < min(1.0, MOST_UNLABELLED / n_docs)).select(F.lit(False).alias("confirmed"), "doc_id", "text").limit(2 * MOST_UNLABELLED)
+    sample = positive.union(unlabelled).mapInArrow(_featurer, "confirmed boolean, doc_id long, features binary").toArrow()
+    rows = [(c, i, np.frombuffer(f, dtype=np.uint64)) for c, i, f in zip(sample.column("confirmed").to_pylist(), sample.column("doc_id").to_pylist(), (x.as_buffer() for x in sample.column("features")))]
+    known = {i for c, i, _ in rows if c}
+    return fit([f for c, _, f in rows if c], [f for c, _, f in rows if not c], n_toxic / n_labels, [i in known for c, i, _ in rows if not c])
 
 
 def scorer(docs: DataFrame, model: Model):

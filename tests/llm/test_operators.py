@@ -181,6 +181,21 @@ def test_toxicity_learns_words_and_keeps_clean_ones(spark, docs, empty):
     assert toxicity.toxicity(empty, tagged).count() == 0
 
 
+def test_toxicity_learns_from_a_handful_of_confirmed_texts(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(200):
+        words = list(rng.choice([f"word{j}" for j in range(400)], 40))
+        if i % 20 == 4:
+            words[5:7] = ["nasty", "vilething"]
+        rows.append((i, " ".join(words), "en", "x"))
+        labels.append((i, 1, int(i % 20 == 4)))
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert 0 < sum(t for i, _, t in labels if i not in held) < 8  # fewer than the old fixed floor
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i] == (i % 20 == 4) for i in got)
+
+
 URLS = [
     ("http://a.example.org/x", "org/", "allow"), ("http://a.example.org/es/1", "example.org/es/", "block"), ("http://EXAMPLE.org/en/12?q", "example.org/en/1", "block"), ("https://x.com/fr/a#b", "com/fr/", "allow"),
     ("https://x.com/de/", "com/de/", "block"), ("https://x.com/de", None, None), ("https://notexample.orgs/es/", None, None), ("http://example.org", None, None), ("no scheme", None, None), (None, None, None), ("://", None, None), ("", None, None),
