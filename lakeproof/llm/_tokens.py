@@ -1,7 +1,7 @@
 """Byte-level BPE ids of whole texts with the tokenizers library, remembered by part.
 
 Pre-tokens always begin at a single space before a word and at a comma or full stop after a letter or digit, so texts of plain Latin script
-are cut there, and the parts' ids joined. Arrow cuts the texts and tells the distinct parts of a batch; of those, new ones go to the library's model in one call and are
+are cut there, and the parts' ids joined, unless they hold an added token. Arrow cuts the texts and tells the distinct parts of a batch; of those, new ones go to the library's model in one call and are
 remembered in a bounded table. Any other text goes through the library's whole path.
 """
 
@@ -45,12 +45,13 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         small = self.whole.get_vocab_size() < 1 << 16
         self.dtype, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
         shape = repr(self.whole.pre_tokenizer)
         self.by_parts = self.whole.normalizer is None and shape.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in shape
         self.model = Tokenizer(self.whole.model)
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.unsafe = "|".join([_UNSAFE, *added])  # the library takes an added token's string out before it cuts a text
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -123,7 +124,7 @@ class TextEncoder:
         out: list = [None] * len(texts)
         plain = np.zeros(len(texts), bool)
         if self.by_parts:
-            plain = pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(pc.match_substring_regex(texts, _UNSAFE))).to_numpy(zero_copy_only=False)
+            plain = pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(pc.match_substring_regex(texts, self.unsafe))).to_numpy(zero_copy_only=False)
         sizes = pc.binary_length(texts).to_numpy()
         rows = np.flatnonzero(plain)
         lots = np.cumsum(sizes[rows]) // SLICE

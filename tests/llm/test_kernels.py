@@ -82,6 +82,17 @@ def test_parts_give_the_library_ids():
         _tokens.MOST_PARTS = old
 
 
+def test_added_tokens_get_the_ids_of_a_fresh_library_call():
+    from tokenizers import Tokenizer
+
+    path = _tokens.default_tokenizer()
+    fresh = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "one, two.<|endoftext|><|endoftext|> three", "a <|endoftext| > b", "plain text", "漢 <|endoftext|> 字", "", None]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [31373, 220, 50256, 995]
+    assert [x.tolist() for x in _tokens.TextEncoder(path).encode(pa.array(texts))] == want
+
+
 @pytest.mark.parametrize("sizes", [[0], [1], [0, 3, 0], [70_000, 5], [63, 64, 65, 200_000]])
 def test_token_files_round_trip(sizes):
     rng = np.random.default_rng(0)
