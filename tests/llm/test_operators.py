@@ -56,12 +56,54 @@ def test_near_duplicates_as_by_brute_force(spark, docs, empty):
     assert left.columns == docs.columns and {1, 9, 6, 7, 8, 4} <= {r["doc_id"] for r in left.collect()} and not {2, 10, 5} & {r["doc_id"] for r in left.collect()}
 
 
-def test_large_buckets_are_verified_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK", 4)
-    base = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join(base[: 57 + i % 4] + [f"t{i}"]), "en", "x") for i in range(40)]
+def components_by_force(rows):
+    """Per row its component's smallest doc_id, by comparing all pairs of rows."""
+    sets = [shingles(t) if i is not None else set() for i, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, a in enumerate(sets):
+        for m in range(k):
+            if a and sets[m] and 100 * len(a & sets[m]) >= 75 * len(a | sets[m]):
+                root[find(k)] = find(m)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(shingles(t)), i if i is None else least[find(k)]) for k, (i, t, *_) in enumerate(rows)], [find(k) for k in range(len(rows))]
+
+
+FAMILY = [f"w{i}" for i in range(60)]
+REPEATED = [
+    (1, " ".join(W), "en", "a"), (5, " ".join(W[:-1]), "en", "a"), (5, "an unrelated text of more than five words", "en", "b"), (5, " ".join(W).upper(), "en", "b"), (1, " ".join(W).upper(), "en", "b"), (5, "an unrelated text of more than five words", "en", "b"),
+    (7, "an unrelated text of more than five words", "en", "c"),
+]
+
+
+@pytest.mark.parametrize("lot", [2])
+def test_near_duplicates_go_by_row_not_by_doc_id(spark, monkeypatch, lot):
+    monkeypatch.setattr(near_dedup, "LOT_ROWS", lot)
+    want, _ = components_by_force(REPEATED)
+    got = near_dedup.near_duplicates(frame(spark, REPEATED)).collect()
+    assert sorted(map(tuple, got)) == sorted((*w, w[0] == w[2]) for w in want)
+    left = [(r["doc_id"], r["text"].lower()) for r in near_dedup.drop_near_duplicates(frame(spark, REPEATED)).collect()]
+    assert sorted(left) == [(1, " ".join(W)), (5, "an unrelated text of more than five words")]
+
+
+@pytest.mark.parametrize("lot, size", [(4, 8 << 20), (512, 900)])
+def test_large_and_drifting_families_lose_no_link(spark, monkeypatch, lot, size):
+    monkeypatch.setattr(near_dedup, "LOT_ROWS", lot)
+    monkeypatch.setattr(near_dedup, "LOT_BYTES", size)
+    rows = [(i, " ".join(FAMILY[: 57 + i % 4] + [f"t{i}"]), "en", "x") for i in range(40)]
+    rows += [(100 + i, " ".join(f"d{k}" for k in range(4 * i, 4 * i + 60)), "en", "x") for i in range(30)]  # each is like its neighbours alone
+    rows += [(200 + i, " ".join(f"e{k}" if k % 9 or k // 9 != i else f"own{i}" for k in range(54)), "en", "y") for i in range(6)]
+    want, _ = components_by_force(rows)
     got = near_dedup.near_duplicates(frame(spark, rows, False)).collect()
-    assert {r["component_id"] for r in got} == {0}
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
 
 
 def test_exact_duplicates_and_their_removal(spark, docs, empty):
