@@ -35,7 +35,7 @@ def scan(args) -> int:
     manifests = None
     if args.manifest:
         manifests = spark.read.text(args.manifest, wholetext=True).select(F.lit(args.file).alias("model_id"), F.col("value").alias("manifest"))
-    models, meta, tensors = audit.gguf.load(spark, args.file, **({"materialize": audit.DEEP_KEYS} if args.deep_tokenizer or args.bundle else {}))
+    models, meta, tensors = audit.gguf.load_once(spark, args.file, sha256="true", **({"materialize": audit.DEEP_KEYS} if args.deep_tokenizer or args.bundle else {}))
     model = models.first()
     if model["parse_error"]:
         print(f"error: {model['parse_error']}", file=sys.stderr)

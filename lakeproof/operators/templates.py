@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakeproof.functions import fixed, text
 from lakeproof.functions.template_scan import FACTS, scan
@@ -14,7 +15,8 @@ from lakeproof.operators.findings import deduplicated, hit, union
 from lakeproof.operators.metadata import current
 
 PHASE = 10
-_NAMES = [c.strip().split(" ")[0] for c in FACTS.replace("\n", " ").split(", ")]
+#: Facts that a task of the parser hands on at a time.
+MOST_ROWS = 20_000
 
 
 def templates(metadata: DataFrame) -> DataFrame:
@@ -30,22 +32,25 @@ def known_templates(spark) -> DataFrame:
 
 def nodes(sources: DataFrame) -> DataFrame:
     """(model_id, variant, error, error_line, facts...): parse each template once, many tasks at a time."""
+    ddl = f"model_id string, variant string, error string, error_line int, {FACTS}".replace("\n", " ")
+    shape = to_arrow_schema(sources.sparkSession.createDataFrame([], ddl).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for model_id, variant, source in batch.itertuples(index=False):
-                found, error = scan(source)
+            rows: list[dict] = []
+            for place in zip(*(batch.column(c).to_pylist() for c in ("model_id", "variant", "source"))):
+                of = dict(zip(("model_id", "variant"), place))
+                found, error = scan(place[2])
                 if error:
-                    rows.append({"model_id": model_id, "variant": variant, "error": error[0], "error_line": error[1]})
-                rows += [{"model_id": model_id, "variant": variant} | f for f in found]
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["model_id", "variant", "error", "error_line", *_NAMES]).astype(object).where(lambda d: d.notna(), None)
+                    rows.append(of | {"error": error[0], "error_line": error[1]})
+                rows += [of | f for f in found]
+                if len(rows) > MOST_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, shape)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["model_id", "variant", "error", "error_line", *_NAMES]).astype(object).where(lambda d: d.notna(), None)
+                yield pa.RecordBatch.from_pylist(rows, shape)
 
-    return sources.select("model_id", "variant", "source").mapInPandas(run, f"model_id string, variant string, error string, error_line int, {FACTS}")
+    return sources.select("model_id", "variant", "source").mapInArrow(run, ddl)
 
 
 def tree_findings(facts: DataFrame, embedded: bool = False) -> DataFrame:

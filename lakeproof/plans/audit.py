@@ -31,21 +31,26 @@ def model_findings(models: DataFrame, meta: DataFrame, tensors: DataFrame, deep:
 
 
 def audit(spark: SparkSession, path: str, deep: bool = False, repo_files: DataFrame | None = None, manifests: DataFrame | None = None) -> DataFrame:
-    """Findings of all model files under ``path``, in their final order. Files that can't be parsed have none; see ``models.parse_error``."""
+    """Findings of all model files under ``path``, in their final order. Files that can't be parsed have none; see ``models.parse_error``.
+
+    Every file is read once, when this is called; it is hashed only if there are manifests to hold it against.
+    """
     options = {"materialize": DEEP_KEYS} if deep or repo_files is not None else {}
-    models, meta, tensors = gguf.load(spark, path, **options)
+    if manifests is not None:
+        options["sha256"] = "true"
+    models, meta, tensors = gguf.load_once(spark, path, **options)
     return ordered(model_findings(models, meta, tensors, deep, manifests, repo_files))
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, sha256, template_sha256, manifest)."""
-    models, meta, tensors = gguf.load(spark, path)
+    models, meta, tensors = gguf.load_once(spark, path, sha256="true")
     known = integrity.templates_of(meta).select("model_id", "template_sha256")
     return models.select("model_id", "sha256").join(known, "model_id", "left").join(integrity.manifest(models, meta, tensors), "model_id", "left")
 
 
 def diff(spark: SparkSession, a: str, b: str) -> dict[str, DataFrame]:
-    return integrity.compare(gguf.load(spark, a), gguf.load(spark, b))
+    return integrity.compare(gguf.load_once(spark, a), gguf.load_once(spark, b))
 
 
 # --- rendering; small, ordered results ---

@@ -1,17 +1,20 @@
-"""Binary model headers as tables, through a Python data source; weights are never read.
+"""Binary model headers as tables, through a Python data source.
 
     spark.dataSource.register(GgufSource)
     spark.read.format("gguf").option("table", "metadata").load(folder)
 
-Options: ``table`` (models, metadata, tensors), ``mode`` (full, metadata), ``keys`` (comma-separated: only these keys' values are decoded), ``materialize``
-(keys whose arrays are kept whole), ``prefix_mb`` (ladder of prefix sizes to try, for files that are long to fetch; a file that needs more than the last
-is an error row). A file that can't be parsed is a models row with parse_error and has no other rows. Each file is a partition of its own.
+Options: ``table`` (models, metadata, tensors, or headers: one row a file with the other two as arrays), ``mode`` (full, metadata), ``keys`` (comma-separated: only these keys'
+values are decoded), ``materialize`` (keys whose arrays are kept whole), ``sha256`` (true: the whole file is hashed too; without it weights are never read), ``prefix_mb`` (ladder
+of prefix sizes to try, for files that are long to fetch; a file that needs more than the last is an error row). A file that can't be parsed is a models row with parse_error and
+has no other rows. Paths are local, or URIs (s3://, gs://, hdfs://, file://) that pyarrow's file systems open: of those only ranges are read, by the ladder. Local headers
+are parsed where the file is mapped, of whatever length. Files are dealt over at most ``MOST_TASKS`` partitions.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -21,13 +24,18 @@ from typing import Any
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lakeproof.functions import fixed
+from lakeproof.sources.staging import written
 
 MODELS = """model_id string, path string, version int, tensor_count decimal(20,0), file_size bigint, data_start decimal(38,0), alignment decimal(20,0),
     sha256 string, parse_error string, complete boolean"""
 METADATA = """model_id string, ord int, key string, vtype string, v_str string, v_int decimal(20,0), v_double double, v_bool boolean,
     arr struct<elem_type: string, length: decimal(20,0), preview_str: array<string>, preview_int: array<decimal(20,0)>, truncated: boolean, max_elem_bytes: bigint>"""
 TENSORS = "model_id string, ord int, name string, shape array<decimal(20,0)>, dtype string, type_id bigint, offset decimal(20,0)"
-SCHEMAS = {"models": MODELS, "metadata": METADATA, "tensors": TENSORS}
+_inner = lambda ddl: "array<struct<" + re.sub(r"\b(\w+) (?=string|int|bigint|double|boolean|decimal|struct|array)", r"\1: ", ddl.split(",", 1)[1].strip()) + ">>"
+SCHEMAS = {"models": MODELS, "metadata": METADATA, "tensors": TENSORS, "headers": f"{MODELS}, metadata {_inner(METADATA)}, tensors {_inner(TENSORS)}"}
+MOST_TASKS = 10_000
+#: Prefix sizes in MB for files that aren't local, and bytes that are hashed at a time.
+REMOTE_LADDER, HASHED = (16, 48, 120), 8 << 20
 DTYPE_NAMES = {t[0]: t[1] for t in fixed.TENSOR_TYPES}
 
 
@@ -108,7 +116,7 @@ def _array(c: Cursor, whole: bool, keep: bool) -> Array | None:
         code = fixed.SCALAR_FORMATS[kind]
         raw = c.take(length * struct.calcsize("<" + code))
         preview = [x[0] for x in struct.iter_unpack("<" + code, raw[: wanted * struct.calcsize("<" + code)])]
-        most = struct.calcsize("<" + code) if length else 0
+        most = struct.calcsize("<" + code)
     return Array(fixed.VALUE_NAMES[kind], length, preview, length > len(preview), most) if keep else None
 
 
@@ -187,8 +195,83 @@ def tensor_rows(model_id: str, header: Header) -> Iterator[tuple]:
 
 
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Files(InputPartition):
+    paths: list[str]
+
+
+def _is_uri(path: str) -> bool:
+    return "://" in path and not path.startswith("file://")
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def file_system(uri: str):
+    """pyarrow's file system of a URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+class _Handle:
+    """A file whose ranges can be read: mapped if it is local, else through pyarrow's file system of its URI."""
+
+    def __init__(self, path: str):
+        if _is_uri(path):
+            system, inside = file_system(path)
+            self.file = system.open_input_file(inside)
+            self.size, self.mapped = self.file.size(), None
+        else:
+            import mmap
+
+            self.file = open(_local(path), "rb")  # noqa: SIM115
+            self.size = os.path.getsize(_local(path))
+            self.mapped = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ) if self.size else None
+
+    def read(self, at: int, n: int) -> bytes:
+        if self.mapped is not None:
+            return self.mapped[at : at + n]
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def sha256(self) -> str:
+        digest = hashlib.sha256()
+        for at in range(0, self.size, HASHED):
+            digest.update(self.read(at, HASHED))
+        return digest.hexdigest()
+
+
+def found_files(path: str) -> list[str]:
+    """The model files under a path, in order; the path itself if it is a file."""
+    if _is_uri(path):
+        from pyarrow import fs
+
+        system, inside = file_system(path)
+        if system.get_file_info(inside).type != fs.FileType.Directory:
+            return [path]
+        root = path[: len(path) - len(inside)] if path.endswith(inside) else path.split("://")[0] + "://"
+        return sorted(root + f.path for f in system.get_file_info(fs.FileSelector(inside, recursive=True)) if f.is_file and f.path.lower().endswith(".gguf"))
+    path = _local(path)
+    if os.path.isdir(path):
+        return sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.lower().endswith(".gguf"))
+    return [path]
+
+
+def model_row(path: str, size: int, header: Header, sha256: str | None, error: str | None, complete: bool) -> tuple:
+    return (path, path, header.version or None, Decimal(header.tensor_count), size, Decimal(header.data_start), Decimal(header.alignment), sha256, error, complete)
+
+
+def rows_of(table: str, name: str, size: int, header: Header, sha256: str | None, error: str | None, complete: bool) -> Iterator[tuple]:
+    """One file's rows of a table."""
+    if table == "metadata":
+        yield from metadata_rows(name, header)
+    elif table == "tensors":
+        yield from tensor_rows(name, header)
+    else:
+        model = model_row(name, size, header, sha256, error, complete)
+        inner = ([r[1:] for r in metadata_rows(name, header)], [r[1:] for r in tensor_rows(name, header)]) if table == "headers" else ()
+        yield (*model, *inner)
 
 
 class GgufSource(DataSource):
@@ -210,91 +293,77 @@ class _Reader(DataSourceReader):
         split = lambda k: [x.strip() for x in options[k].split(",") if x.strip()] if options.get(k) else None
         self.parse = {"materialize": split("materialize") or [], "mode": options.get("mode", "full"), "keys": split("keys")}
         self.ladder = [int(float(x) * (1 << 20)) for x in split("prefix_mb") or []]
+        self.hashed = options.get("sha256", "false").lower() == "true" and self.table in ("models", "headers")
 
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"].removeprefix("file://").removeprefix("file:")
-        if os.path.isdir(path):
-            found = sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.lower().endswith(".gguf"))
-        else:
-            found = [path]
-        return [_File(f) for f in found] or [_File("")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        import mmap
-
-        path = partition.path
-        if not path:
-            return
-        size, error, header = os.path.getsize(path), None, Header()
-        with open(path, "rb") as f:
+        found = found_files(self.options["path"])
+        n = min(len(found), MOST_TASKS)
+        return [_Files(found[i::n]) for i in range(n)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            file, error, header = _Handle(path), None, Header()
+            ladder = self.ladder or ([n << 20 for n in REMOTE_LADDER] if file.mapped is None else [])
             try:
-                if self.ladder:
-
-                    def beginning(n: int) -> bytes:
-                        f.seek(0)
-                        return f.read(n)
-
-                    header = parse_prefixes(beginning, size, self.ladder, **self.parse)
-                elif size:
-                    with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-                        header = parse_header(bytes(data) if size < (64 << 20) else bytes(data[: 1 << 30]), size, **self.parse)
-                else:
+                if not file.size:
                     raise HeaderError("the file is empty")
+                if ladder:
+                    header = parse_prefixes(lambda n, f=file: f.read(0, n), file.size, ladder, **self.parse)
+                else:
+                    header = parse_header(file.mapped, file.size, **self.parse)
             except HeaderError as e:
                 error, header = str(e), Header()
-            if self.table == "models":
-                digest = hashlib.sha256()
-                f.seek(0)
-                while block := f.read(1 << 20):
-                    digest.update(block)
-                yield (path, path, header.version or None, Decimal(header.tensor_count), size, Decimal(header.data_start), Decimal(header.alignment), digest.hexdigest(), error, not self.ladder and error is None)
-            elif self.table == "metadata":
-                yield from metadata_rows(path, header)
-            else:
-                yield from tensor_rows(path, header)
+            yield from rows_of(self.table, path, file.size, header, file.sha256() if self.hashed else None, error, not ladder and error is None)
 
 
 def load(spark, path: str, **options):
-    """(models, metadata, tensors) of the model files under a path."""
+    """(models, metadata, tensors) of the model files under a path, each read from the files when it is used."""
     spark.dataSource.register(GgufSource)
     read = lambda table: spark.read.format("gguf").options(table=table, **options).load(path)
     return read("models"), read("metadata"), read("tensors")
 
 
+def split_headers(headers):
+    """(models, metadata, tensors) of a headers table."""
+    inner = lambda c: headers.where(f"size({c}) > 0").selectExpr("model_id", f"inline({c})")
+    return headers.drop("metadata", "tensors"), inner("metadata"), inner("tensors")
+
+
+def load_once(spark, path: str, **options):
+    """(models, metadata, tensors) as :func:`load` gives them, after every file has been read once into a table in the shared folder."""
+    spark.dataSource.register(GgufSource)
+    return split_headers(written(spark.read.format("gguf").options(table="headers", **options).load(path), "headers"))
+
+
 def load_bytes(spark, path: str, **options):
-    """(models, metadata, tensors) as :func:`load` gives them, from any store that Spark reads; each file (under 2 GB) is taken into memory as a whole."""
+    """(models, metadata, tensors) as :func:`load_once` gives them, from any store that Spark reads; each file (under 2 GB) is taken into memory as a whole."""
     parse = {"materialize": [k for k in options.get("materialize", "").split(",") if k], "mode": options.get("mode", "full"), "keys": options["keys"].split(",") if options.get("keys") else None}
+    hashed = str(options.get("sha256", "false")).lower() == "true"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gguf").load(path).select("path", "content")
 
-    def rows(table: str):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        ddl = SCHEMAS[table].replace("\n", " ")
-        shape = to_arrow_schema(spark.createDataFrame([], ddl).schema)
-        fields = ("elem_type", "length", "preview_str", "preview_int", "truncated", "max_elem_bytes")
-
-        def run(batches):
-            for batch in batches:
-                out: list[tuple] = []
-                for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                    error, header = None, Header()
-                    try:
-                        header = parse_header(data, **parse)
-                    except HeaderError as e:
-                        error = str(e)
-                    if table == "models":
-                        out.append((name, name, header.version or None, Decimal(header.tensor_count), len(data), Decimal(header.data_start), Decimal(header.alignment), hashlib.sha256(data).hexdigest(), error, error is None))
-                    elif table == "metadata":
-                        out += [(*r[:-1], r[-1] and dict(zip(fields, r[-1]))) for r in metadata_rows(name, header)]
-                    else:
-                        out += tensor_rows(name, header)
-                columns = zip(*out) if out else [()] * len(shape)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, shape)], schema=shape)
-
-        return raw.mapInArrow(run, ddl)
-
-    return rows("models"), rows("metadata"), rows("tensors")
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ddl = SCHEMAS["headers"].replace("\n", " ")
+    shape = to_arrow_schema(spark.createDataFrame([], ddl).schema)
+    names = {c: [f.name for f in shape.field(c).type.value_type] for c in ("metadata", "tensors")}
+    arr = [f.name for f in shape.field("metadata").type.value_type.field("arr").type]
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                error, header, data = None, Header(), data.as_buffer()
+                try:
+                    header = parse_header(data, data.size, **parse)
+                except HeaderError as e:
+                    error = str(e)
+                row = next(rows_of("headers", name, data.size, header, hashlib.sha256(data).hexdigest() if hashed else None, error, error is None))
+                meta, tensors = ([dict(zip(names[c], r)) for r in rows] for c, rows in zip(names, row[-2:]))
+                for m in meta:
+                    m["arr"] = m["arr"] and dict(zip(arr, m["arr"]))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*row[:-2], meta, tensors], shape)], schema=shape)
+
+    return split_headers(written(raw.mapInArrow(run, ddl), "headers"))
 
 
 # --- writing, for fixtures ---

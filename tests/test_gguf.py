@@ -1,3 +1,4 @@
+import hashlib
 import struct
 
 import pytest
@@ -128,3 +129,42 @@ def test_whole_files_give_the_same_tables(spark, tmp_path):
     for one, other in zip(gguf.load(spark, str(tmp_path)), gguf.load_bytes(spark, str(tmp_path))):
         bare = lambda df: sorted(str(r.asDict(True) | {"model_id": r["model_id"].rsplit("/", 1)[-1], "path": ""}) for r in df.collect())
         assert one.columns == other.columns and bare(one) == bare(other)
+
+
+def test_an_audit_reads_each_file_once(spark, tmp_path, monkeypatch):
+    for name in "ab":
+        (tmp_path / f"{name}.gguf").write_bytes(gguf.build([*BASE], [("a", [4, 2], 0)]))
+    loaded = []
+    real = gguf.written
+    monkeypatch.setattr(gguf, "written", lambda df, tag: loaded.append(df._jdf.queryExecution().executedPlan().toString().count("BatchScan")) or real(df, tag))
+    plan = audit.audit(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert loaded == [1] and "BatchScan gguf" not in plan and "Scan parquet" in plan
+
+
+def test_weights_are_hashed_on_demand_only(spark, tmp_path):
+    raw = gguf.build([*BASE], [("a", [4, 2], 0)])
+    (tmp_path / "a.gguf").write_bytes(raw)
+    assert gguf.load(spark, str(tmp_path))[0].first()["sha256"] is None
+    assert {t.first()["sha256"] for t in (gguf.load(spark, str(tmp_path), sha256="true")[0], audit.hashes(spark, str(tmp_path)))} == {hashlib.sha256(raw).hexdigest()}
+
+
+def test_ranges_of_a_store_are_read_by_the_ladder(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    raw = gguf.build([*BASE, ("long", "z" * 3_000_000)], [("a", [4, 2], 0)])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gguf").write_bytes(raw)
+    (tmp_path / "in" / "note.txt").write_text("x")
+    monkeypatch.setattr(gguf, "file_system", lambda uri: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.split("://")[1]))
+    assert gguf.found_files("store://in") == ["store://in/a.gguf"] == gguf.found_files("store://in/a.gguf")
+    for ladder, error in (("1", True), ("1,4", False), (None, False)):
+        options = {"path": "store://in", "table": "models"} | ({"prefix_mb": ladder} if ladder else {})
+        reader = gguf._Reader(options)
+        (row,) = [r for part in reader.partitions() for r in reader.read(part)]
+        assert (row[8] is not None) == error and row[4] == len(raw) and not row[9]
+
+
+def test_many_files_are_dealt_over_a_bounded_number_of_tasks(monkeypatch):
+    monkeypatch.setattr(gguf, "MOST_TASKS", 3)
+    monkeypatch.setattr(gguf, "found_files", lambda path: [str(i) for i in range(8)])
+    assert sorted(f for part in gguf._Reader({"path": "x"}).partitions() for f in part.paths) == [str(i) for i in range(8)] and len(gguf._Reader({"path": "x"}).partitions()) == 3
