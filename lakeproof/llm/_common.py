@@ -16,25 +16,27 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jvm_dir.get() if jvm_dir.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lakeproof-work-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def stage_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def stage_table(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, with ``by`` a folder for each of that column's values, and read it back.
 
     The files cut the lineage and outlive any executor. They stay until :func:`release` or the end of the process.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/stage-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
