@@ -4,10 +4,14 @@ Level 0 encodes the listed keys, level 1 the other keys of the corpus that level
 that level 1 lets through, and so on until nothing wrong passes. Over the key universe that it was built from, which is every key of
 the corpus, the first level without a key gives its exact membership. Each level is a sequence of 64-bit words made by bit_or, read
 through a scalar subquery, so a page is judged without any join.
+
+Keys are dealt by hash into parts, so many that a part's filters stay small. Pages are laid out by part as well, and each part's pages
+meet that part's filters alone, however long the list is.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +21,10 @@ from lakeproof.llm._common import col, stage_table
 
 HASHES = 4
 BITS_PER_KEY = 8
-#: Beyond so many bytes in all levels, membership is found by a shuffled semi-join instead.
-MOST_BYTES = 64 << 20
+#: Listed keys of a part, whose level 0 then has as many bytes.
+PART_KEYS = 8 << 20
+#: Words of a run, which one row of the build holds.
+RUN = 1 << 12
 #: (rule, verdict): host, then the beginning of the path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +54,9 @@ class Level:
     bits: int
     words: DataFrame = field(repr=False)
 
+    def of(self, part: int) -> Column:
+        return self.words.where(F.col("part") == part).select("words").scalar()
+
 
 def _places(key: Column, level: int, bits: int) -> list[Column]:
     a, b = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)
@@ -62,64 +71,77 @@ def _passes(words: Column, key: Column, level: int, bits: int) -> Column:
     return out
 
 
-def _encode(keys: DataFrame, level: int, bits: int) -> DataFrame:
-    """One row: the level's 64-bit words in order."""
-    place = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("place"))
+def _encode(keys: DataFrame, level: int, bits: int, parts: int) -> DataFrame:
+    """(part, words): each part's 64-bit words in order. Zeros stand in for every place, so words are put in order by sorting, run by run."""
+    place = keys.select("part", F.explode(F.array(*_places(F.col("key"), level, bits))).alias("place"))
     bit = F.expr("shiftleft(1L, cast(pmod(place, 64) as int))")
-    word = place.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("word"))
-    words = F.map_from_entries(F.collect_list(F.struct("at", "word")))
-    return word.agg(words.alias("m")).select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((bits - 1) >> 6).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
+    n = max(1, bits >> 6)
+    zeros = keys.sparkSession.range(n * parts).select(F.expr(f"cast(id div {n} as int)").alias("part"), F.expr(f"id % {n}").alias("at"), F.lit(0).cast("long").alias("word"))
+    words = place.select("part", F.shiftright("place", 6).alias("at"), bit.alias("word")).union(zeros).groupBy("part", "at").agg(F.bit_or("word").alias("word"))
+    runs = words.groupBy("part", (F.col("at") / RUN).cast("int").alias("run")).agg(F.sort_array(F.collect_list(F.struct("at", "word"))).getField("word").alias("words"))
+    return runs.groupBy("part").agg(F.flatten(F.sort_array(F.collect_list(F.struct("run", "words"))).getField("words")).alias("words"))
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts)).cast("int")
+
+
+def _by_part(df: DataFrame, parts: int, tag: str) -> list[DataFrame]:
+    """``df`` written once, with a folder for each value of its column ``part``, and read again part by part."""
+    if parts == 1:
+        return [stage_table(df, tag)]
+    written = stage_table(df, tag, by="part")
+    return [written.where(F.col("part") == p) for p in range(parts)]
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, parts)
 
 
 class Cascade:
     """Exact membership of ``listed`` keys for every key of ``universe``; both have one string column ``key``."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame, most_bytes: int = MOST_BYTES):
+    def __init__(self, universe: DataFrame, listed: DataFrame, part_keys: int = PART_KEYS):
         universe = universe.select("key").where("key is not null").distinct()
         listed = listed.select(F.col("key").alias("key"), F.lit(True).alias("is_listed")).where("key is not null").distinct()
         keys = stage_table(universe.join(listed, "key", "left").select("key", F.coalesce("is_listed", F.lit(False)).alias("is_listed")), "keys")
         self.levels: list[Level] = []
-        self.listed = keys.where("is_listed").select("key")
-        wrong, total = keys.where("is_listed"), 0
-        other = keys.where("not is_listed")
-        while count := wrong.count():
+        count = keys.where("is_listed").count()
+        self.parts = parts = max(1, -(-count // part_keys))
+        keys = keys.withColumn("part", part_of(F.col("key"), parts))
+        wrong, other = (_by_part(keys.where(is_).select("part", "key"), parts, "part") for is_ in ("is_listed", "not is_listed"))
+        while count:
             n = len(self.levels)
-            bits = 1 << max(6, (BITS_PER_KEY * count - 1).bit_length())
-            total += bits // 8
-            if total > most_bytes or n >= 40:
-                self.levels = []
-                self.fits = False
-                return
-            words = stage_table(_encode(wrong, n, bits), "bloom")
-            self.levels.append(Level(bits, words))
-            passing = other.where(_passes(words.scalar(), F.col("key"), n, bits))
-            wrong, other = stage_table(passing, "passing") if n % 4 == 3 else passing, wrong
-        self.fits = True
-
-    def contains(self, key: Column) -> Column:
-        """Whether the list has ``key``, for keys of the universe."""
+            bits = 1 << max(6, (BITS_PER_KEY * count // parts - 1).bit_length())
+            level = Level(bits, stage_table(_encode(_together(wrong), n, bits, parts), "bloom"))
+            self.levels.append(level)
+            passing = [o.where(_passes(level.of(p), F.col("key"), n, bits)) for p, o in enumerate(other)]
+            wrong, other = _by_part(_together(passing), parts, "passing"), wrong
+            count = _together(wrong).count()
+
+    def contains(self, key: Column, part: int = 0) -> Column:
+        """Whether the list has ``key``, for keys of this part of the universe."""
         inside = F.lit(len(self.levels) % 2 == 1)
         for n in range(len(self.levels) - 1, -1, -1):
             level = self.levels[n]
-            inside = F.when(_passes(level.words.scalar(), key, n, level.bits), inside).otherwise(F.lit(n % 2 == 1))
+            inside = F.when(_passes(level.of(part), key, n, level.bits), inside).otherwise(F.lit(n % 2 == 1))
         return inside
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, most_bytes: int = MOST_BYTES) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, part_keys: int = PART_KEYS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     The longest rule that fits decides; where none does, pages whose host ``listed`` (column ``key``) has are blocked and the others
-    allowed. A null url or one without ``://`` has an empty host and path. Repeated pages are judged each; an empty table
-    gives an empty result; other columns are ignored.
+    allowed. A null url or one without ``://`` has an empty host and path. Urls are read whole, however long. Repeated pages are judged each, whatever
+    their page_id, null included; an empty table gives an empty result; other columns are ignored.
     """
     url = col(pages, "url")
-    parts = pages.select(col(pages, "page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    cascade = Cascade(parts.select(F.col("host").alias("key")), listed, most_bytes)
+    parsed = pages.select(col(pages, "page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    cascade = Cascade(parsed.select(F.col("host").alias("key")), listed, part_keys)
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    if cascade.fits:
-        return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, F.when(cascade.contains(F.col("host")), "block").otherwise("allow")).alias("verdict"))
-    known = cascade.listed.select(F.col("key").alias("host"), F.lit("block").alias("listed_"))
-    return parts.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, "listed_", F.lit("allow")).alias("verdict"))
+    laid = [parsed] if cascade.parts == 1 else _by_part(parsed.withColumn("part", part_of(F.col("host"), cascade.parts)), cascade.parts, "pages")
+    judged = [p.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, F.when(cascade.contains(F.col("host"), n), "block").otherwise("allow")).alias("verdict")) for n, p in enumerate(laid)]
+    return _together(judged)
 
 
 def stand_in_list(pages: DataFrame, below: str = "4") -> DataFrame:
