@@ -2,88 +2,117 @@
 
 For a segment of n components with means m and deviations d, a product's part is at most n * (m * m' + d * d'). The sum of these over the
 segments bounds the score from above, that is |q|^2 + |x|^2 minus twice it bounds the squared distance from below. Coarse segments come first; pairs whose bound
-stays under the query's k-th score so far are gone, the others meet finer segments and then the exact product.
+stays under the query's k-th score so far are gone, the others meet finer segments, and what survives the finest the exact product.
 
-Queries and vectors are packed into blocks and laid out as a grid of cells of bounded size, each a task's work; a cell gives k rows a query.
+1. A bounded sample gives each vector length a basis in which energy is concentrated (products are the same in it), segments of equal energy, pivots, and scouts.
+2. Vectors are laid out by their nearest pivot and packed into blocks; queries are held against the scouts, which gives a first k-th score.
+3. Groups of blocks know the range of their segments' means and the largest deviations. Pairs of groups whose bound stays under the queries' first
+   k-th scores are never shuffled; the others are cells, each a task's work of bounded bytes, which gives k rows a query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeproof.llm._common import col, stage_table
+from lakeproof.llm._common import col, near_if_small, stage_table
 
-QUERY_BLOCK, DATA_BLOCK = 512, 4096
-#: Blocks of a cell.
+#: Rows and bytes of a block of queries and of one of vectors; blocks of a cell.
+QUERY_BLOCK, DATA_BLOCK = (512, 256 << 10), (4096, 1 << 20)
 CELL_QUERIES, CELL_DATA = 16, 32
-SEGMENTS = (4, 16)
+#: Segments of each level, and the level by which groups are told apart.
+LEVELS, GROUP_LEVEL = (4, 16, 32), 1
+#: The sample: rows and bytes. A length of which it holds as many vectors as they have components gets a basis, so bases take twice these bytes at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 4096, 4 << 20
+#: Pivots at most, and vectors for each of them at least.
+PIVOTS, PER_PIVOT = 256, 1024
+#: Query groups that are compared at a time: 20 MB.
+GROUPS = 50_000
 _EXACT = float(1 << 53)
+#: Share of |q| * |x| by which a rounded bound may be too low.
+SLACK = 1e-6
 
 
-def _pack(every: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+@dataclass
+class Basis:
+    """What the sample says of vectors of one length."""
 
-        part = TaskContext.get().partitionId()
-        held: dict[tuple[bool, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        number = 0
+    dim: int
+    rotation: np.ndarray | None = None
+    edges: list[np.ndarray] = field(default_factory=list)
+    pivots: np.ndarray | None = None
+    scout_ids: np.ndarray | None = None
+    scouts: np.ndarray | None = None
 
-        def give(key):
-            nonlocal number
-            ids = np.concatenate([a for a, _ in held[key]])
-            values = np.concatenate([b for _, b in held[key]])
-            held[key] = []
-            step = QUERY_BLOCK if key[0] else DATA_BLOCK
-            for i in range(0, len(ids), step):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([part + (number << 16)], pa.int64()), pa.array([ids[i : i + step].tobytes()], pa.binary()), pa.array([values[i : i + step].tobytes()], pa.binary())],
-                    ["is_query", "dim", "block", "ids", "vectors"],
-                )
-                number += 1
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return x if self.rotation is None else x @ self.rotation
 
-        for batch in batches:
-            lists = batch.column("embedding")
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            ends = np.cumsum(sizes)
-            all_ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                values = np.floor(64.0 * flat[(ends[rows] - dim)[:, None] + np.arange(dim)])
-                ids = all_ids[rows]
-                for is_query, pick in ((False, slice(None)), (True, ids % every == 0)):
-                    key = (is_query, int(dim))
-                    if len(ids[pick]):
-                        held.setdefault(key, []).append((ids[pick], values[pick]))
-                        if sum(len(a) for a, _ in held[key]) >= (QUERY_BLOCK if is_query else DATA_BLOCK):
-                            yield from give(key)
-        for key in list(held):
-            if held[key]:
-                yield from give(key)
 
-    return run
+def segment_edges(energy: np.ndarray, segments: int) -> np.ndarray:
+    """First components of at most so many segments of near equal energy."""
+    share = np.cumsum(energy) / max(energy.sum(), 1e-300)
+    return np.unique(np.concatenate(([0], np.searchsorted(share, np.arange(1, segments) / segments, "left") + 1)).clip(0, len(energy) - 1))
+
+
+def chained(x: np.ndarray) -> np.ndarray:
+    """The rows in an order in which each is followed by the nearest of those left, so that neighbours in it share groups."""
+    norms = (x * x).sum(axis=1)
+    far = norms[:, None] + norms[None, :] - 2 * x @ x.T
+    order, left = [0], np.ones(len(x), bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, far[order[-1]], np.inf).argmin()))
+        left[order[-1]] = False
+    return x[order]
+
+
+def basis(dim: int, ids: np.ndarray | None = None, sample: np.ndarray | None = None, n_pivots: int = 1) -> Basis:
+    energy, out = np.ones(dim), Basis(dim)
+    if sample is not None and len(sample):
+        if 1 < dim <= len(sample):
+            values, vectors = np.linalg.eigh(sample.T @ sample)
+            energy, out.rotation = np.maximum(values[::-1], 0) + 1e-12 * abs(values).max(), vectors[:, ::-1]
+        out.scout_ids, out.scouts, out.pivots = ids, sample, chained(sample[: max(1, n_pivots)])
+    out.edges = [segment_edges(energy, s) for s in LEVELS if s < dim] if dim else []
+    return out
+
+
+def segment_statistics(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Per row sqrt(n) * mean of each segment, then sqrt(n) * deviation; the inner product of two such rows is the bound."""
+    n = np.diff(np.append(edges, x.shape[1]))
+    sums = np.add.reduceat(x, edges, axis=1)
+    spread = np.add.reduceat(x * x, edges, axis=1) - sums * sums / n
+    return np.concatenate([sums / np.sqrt(n), np.sqrt(np.maximum(spread, 0))], axis=1)
+
+
+def summary(stats: np.ndarray) -> np.ndarray:
+    """Of rows of statistics: the least and the largest means, and the largest deviations."""
+    half = stats.shape[1] // 2
+    return np.concatenate([stats[:, :half].min(axis=0), stats[:, :half].max(axis=0), stats[:, half:].max(axis=0)])
+
 
+def merged(summaries: list[np.ndarray]) -> np.ndarray:
+    lo, hi, dev = np.split(np.stack(summaries), 3, axis=1)
+    return np.concatenate([lo.min(axis=0), hi.max(axis=0), dev.max(axis=0)])
 
-def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """Per row sqrt(n) * mean of each segment, then sqrt(n) * deviation; their inner product is the bound."""
-    n, dim = x.shape
-    width = -(-dim // segments)
-    cut = np.zeros((n, segments * width))
-    cut[:, :dim] = x
-    cut = cut.reshape(n, segments, width)
-    mean = cut.mean(axis=2)
-    spread = np.sqrt(np.maximum(((cut - mean[:, :, None]) ** 2).sum(axis=2), 0))
-    return np.concatenate([mean * np.sqrt(width), spread], axis=1)
 
+def summary_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most that rows of a summary can score with rows of others: ``a`` is one summary, ``b`` has one per row."""
+    lo, hi, dev = np.split(a, 3)
+    los, his, devs = np.split(b, 3, axis=1)
+    return (np.maximum(np.maximum(lo * los, lo * his), np.maximum(hi * los, hi * his)) + dev * devs).sum(axis=1)
 
-def _exact(q: np.ndarray, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None, big: bool) -> np.ndarray:
-    if pairs is None:
-        return (q.astype(np.int64) @ x.astype(np.int64).T) if big else (q @ x.T).astype(np.int64)
+
+def _exact(q: np.ndarray, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], big: bool) -> np.ndarray:
+    """Products of these pairs; where they are most of all pairs, taken from one product of the matrices."""
+    if len(pairs[0]) * 8 > len(q) * len(x):
+        whole = (q.astype(np.int64) @ x.astype(np.int64).T) if big else q @ x.T
+        return whole[pairs].astype(np.int64)
     out = np.empty(len(pairs[0]), np.int64)
     for i in range(0, len(out), 65536):
         a, b = q[pairs[0][i : i + 65536]], x[pairs[1][i : i + 65536]]
@@ -92,101 +121,278 @@ def _exact(q: np.ndarray, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] |
 
 
 class Best:
-    """The k best of each query so far: highest score, then smallest id."""
+    """The k best of each query so far: highest score, then smallest id. ``least`` is what a row has to reach; it begins at ``floors``."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floors: np.ndarray | None = None):
         self.k, self.q, self.score, self.id = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.least = np.full(n, -np.inf)
+        self.floors = np.full(n, -np.inf) if floors is None else floors
+        self.least = self.floors
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
+        keep = score >= self.least[q]
+        q, score, ids = (np.concatenate([a, b[keep]]) for a, b in ((self.q, q), (self.score, score), (self.id, ids)))
         order = np.lexsort((ids, -score, q))
         q = q[order]
         first = np.searchsorted(q, q, "left")
         keep = np.arange(len(q)) - first < self.k
         self.q, self.score, self.id = q[keep], score[order][keep], ids[order][keep]
-        full = np.bincount(self.q, minlength=len(self.least)) >= self.k
-        worst = np.full(len(self.least), np.inf)
+        full = np.bincount(self.q, minlength=len(self.floors)) >= self.k
+        worst = np.full(len(self.floors), np.inf)
         np.minimum.at(worst, self.q, self.score.astype(np.float64))
-        self.least = np.where(full, worst, -np.inf)
+        self.least = np.where(full, np.maximum(worst, self.floors), self.floors)
+
 
+def search(query_ids: np.ndarray, queries: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int, base: Basis, floors: np.ndarray | None = None, counts: np.ndarray | None = None) -> Best:
+    """The k best of each query over the blocks (ids, vectors), rows with the query's own id left out.
 
-def search(query_ids: np.ndarray, queries: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Best:
-    """The k best of each query over the blocks (ids, vectors), rows with the query's own id left out."""
-    best = Best(len(queries), k)
-    levels = [s for s in SEGMENTS if s < queries.shape[1]]
-    coarse = [segment_statistics(queries, s) for s in levels]
+    ``counts`` gets added: all pairs, those left behind each level.
+    """
+    best = Best(len(queries), k, floors)
+    turned = base.turned(queries)
+    coarse = [segment_statistics(turned, e) for e in base.edges]
     most = np.abs(queries).max(initial=0)
+    norms = np.sqrt((queries * queries).sum(axis=1))
+    counts = np.zeros(1 + len(LEVELS), np.int64) if counts is None else counts
     for ids, x in blocks:
         big = most * np.abs(x).max(initial=0) * max(1, x.shape[1]) >= _EXACT
-        least = best.least - np.abs(best.least) * 1e-9 - 1e-6 if not big else np.full(len(queries), -np.inf)
-        least[np.isnan(least)] = -np.inf
+        least = best.least - SLACK * norms * np.sqrt((x * x).sum(axis=1).max(initial=0)) - 1e-6
+        counts[0] += len(queries) * len(x)
         alive = None
-        if np.isfinite(least).any():
-            for s, q in zip(levels, coarse):
-                stats = segment_statistics(x, s)
-                if alive is None or len(alive[0]) * 4 > len(queries) * len(x):
-                    over = q @ stats.T >= least[:, None]
-                    if alive is not None:
-                        mask = np.zeros_like(over)
-                        mask[alive] = True
-                        over &= mask
-                    alive = np.nonzero(over)
-                else:
-                    bound = np.concatenate([np.einsum("ij,ij->i", q[alive[0][i : i + 65536]], stats[alive[1][i : i + 65536]]) for i in range(0, len(alive[0]), 65536)] or [np.zeros(0)])
-                    over = bound >= least[alive[0]]
-                    alive = alive[0][over], alive[1][over]
-        if alive is None or len(alive[0]) * 8 > len(queries) * len(x):
-            scores = _exact(queries, x, None, big)
-            over = scores >= best.least[:, None]
-            if scores.shape[1] > 4 * k:  # what can't be among this block's k best needn't be sorted
-                over &= scores >= np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, [scores.shape[1] - k - 1]]
-            alive = np.nonzero(over)
-            scores = scores[alive]
-        else:
-            scores = _exact(queries, x, alive, big)
-        keep = ids[alive[1]] != query_ids[alive[0]]
-        best.add(alive[0][keep], scores[keep], ids[alive[1]][keep])
+        around = base.turned(x)
+        for level, (edges, q) in enumerate(zip(base.edges, coarse)):
+            stats = segment_statistics(around, edges)
+            if alive is None or len(alive[0]) * 4 > len(queries) * len(x):
+                over = q @ stats.T >= least[:, None]
+                if alive is not None:
+                    mask = np.zeros_like(over)
+                    mask[alive] = True
+                    over &= mask
+                alive = np.nonzero(over)
+            else:
+                bound = np.concatenate([np.einsum("ij,ij->i", q[alive[0][i : i + 65536]], stats[alive[1][i : i + 65536]]) for i in range(0, len(alive[0]), 65536)] or [np.zeros(0)])
+                over = bound >= least[alive[0]]
+                alive = alive[0][over], alive[1][over]
+            counts[1 + level] += len(alive[0])
+        if alive is None:
+            alive = np.nonzero(np.ones((len(queries), len(x)), bool))
+        own = ids[alive[1]] != query_ids[alive[0]]
+        alive = alive[0][own], alive[1][own]
+        best.add(alive[0], _exact(queries, x, alive, big), ids[alive[1]])
     return best
 
 
-def _cell(k: int):
+# --- the layout ---
+
+_BLOCKS = "is_query boolean, is_group boolean, dim int, grp long, ids binary, vectors binary, floors binary, summary binary"
+
+
+def _matrix(batch, rows: np.ndarray, dim: int, ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    return np.floor(64.0 * flat[(ends[rows] - dim)[:, None] + np.arange(dim)])
+
+
+def _lists(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lists = batch.column("embedding")
+    sizes = np.diff(lists.offsets.to_numpy())
+    return sizes, np.cumsum(sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _raw(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrower type that holds them exactly."""
+    return x.astype(np.float32 if np.abs(x).max(initial=0) < 1 << 24 else np.float64).tobytes()
+
+
+def _values(raw, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
+def _placer(known: dict[int, Basis]):
+    """(is_query, dim, pivot, vec_id, vector): each vector with its nearest pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, ends, flat = _lists(batch)
+            for dim in np.unique(sizes):
+                rows = np.flatnonzero(sizes == dim)
+                x = _matrix(batch, rows, int(dim), ends, flat)
+                pivots = known[dim].pivots if dim in known else None
+                near = np.zeros(len(rows), np.int32) if pivots is None else (x @ pivots.T - (pivots * pivots).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("is_query").take(at), pa.array(np.full(len(rows), dim, np.int32)), pa.array(near), batch.column("vec_id").take(at), pa.array([_raw(row) for row in x], pa.binary())],
+                    ["is_query", "dim", "pivot", "vec_id", "vector"],
+                )
+
+    return run
+
+
+def _packer(known: dict[int, Basis], k: int, cell_queries: int, cell_data: int):
+    """Blocks and, behind them, their groups; of rows sorted by kind, length and pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        kind, ids, held = None, [], []
+        inside: list[tuple[np.ndarray, float]] = []
+
+        def row(is_query, is_group, dim, *binary):
+            return pa.RecordBatch.from_arrays([pa.array([is_query]), pa.array([is_group]), pa.array([dim], pa.int32()), pa.array([number], pa.int64()), *[pa.array([b], pa.binary()) for b in binary]], [c.split()[0] for c in _BLOCKS.split(", ")])
+
+        def block():
+            is_query, dim = kind
+            base = known.get(dim) or basis(dim)
+            names, x = np.array(ids, dtype=np.int64), np.stack(held)
+            floors = np.full(len(x), -np.inf)
+            if is_query and base.scouts is not None:
+                scores = x @ base.scouts.T
+                scores[names[:, None] == base.scout_ids[None, :]] = -np.inf
+                if scores.shape[1] >= k:
+                    floors = np.partition(scores, -k, axis=1)[:, -k]
+                floors -= SLACK * np.sqrt((x * x).sum(axis=1)) * np.sqrt((base.scouts**2).sum(axis=1).max())
+            level = base.edges[min(GROUP_LEVEL, len(base.edges) - 1)] if base.edges else np.zeros(min(dim, 1), np.int64)
+            told = summary(segment_statistics(base.turned(x), level)) if dim else np.zeros(0)
+            norm = np.sqrt((x * x).sum(axis=1).max(initial=0))
+            inside.append((told, float(floors.min()), float(norm)))
+            ids.clear()
+            held.clear()
+            yield row(is_query, False, dim, names.tobytes(), _raw(x), floors.tobytes(), np.append(told, norm).tobytes())
+
+        def group():
+            nonlocal number
+            if inside:
+                told = np.append(merged([s for s, *_ in inside]) if kind[1] else np.zeros(0), [max(n for *_, n in inside), min(f for _, f, _ in inside)])
+                inside.clear()
+                yield row(*kind[:1], True, kind[1], b"", b"", b"", told.tobytes())
+                number += 1
+
+        last = None
+        for batch in batches:
+            for is_query, dim, pivot, vec_id, raw in zip(*(batch.column(c).to_pylist() for c in ("is_query", "dim", "pivot", "vec_id", "vector"))):
+                if (is_query, dim, pivot) != last:
+                    if held:
+                        yield from block()
+                    if kind != (is_query, dim):
+                        yield from group()
+                    last, kind = (is_query, dim, pivot), (is_query, dim)
+                ids.append(vec_id)
+                held.append(_values(raw, 1, dim)[0])
+                rows, size = QUERY_BLOCK if is_query else DATA_BLOCK
+                if len(ids) >= max(1, min(rows, size // (4 * max(dim, 1)))):
+                    yield from block()
+                if len(inside) >= (cell_queries if is_query else cell_data):
+                    yield from group()
+        if held:
+            yield from block()
+        yield from group()
+
+    return run
+
+
+def _pairer(groups: list[tuple[int, int, np.ndarray]]):
+    """(r, c): the pairs of query groups and groups of vectors in which some score can reach some query's first k-th score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [np.frombuffer(x.as_buffer(), dtype=np.float64) for x in batch.column("summary")]
+            dims, numbers = batch.column("dim").to_numpy(), batch.column("grp").to_numpy()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                mine = np.stack([told[i] for i in at])
+                for d, r, a in groups:
+                    if d == dim:
+                        over = summary_bound(a[:-2], mine[:, :-2]) + SLACK * a[-2] * mine[:, -2] + 1e-6 >= a[-1]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(over.sum()), r, np.int64)), pa.array(numbers[at[over]])], ["r", "c"])
+
+    return run
+
+
+def _cell(known: dict[int, Basis], k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
+        counts = np.zeros(2 + len(LEVELS), np.int64)
 
         def arrays(table: pa.Table, i: int):
             dim = table.column("dim")[i].as_py()
             ids = np.frombuffer(table.column("ids")[i].as_buffer(), dtype=np.int64)
-            return ids, np.frombuffer(table.column("vectors")[i].as_buffer(), dtype=np.float64).reshape(len(ids), dim)
+            return ids, _values(table.column("vectors")[i].as_buffer(), len(ids), dim)
 
-        for i in range(len(left)):
+        told = np.stack([np.frombuffer(x.as_buffer(), dtype=np.float64) for x in right.column("summary")]) if len(right) else None
+        for i in range(len(left) if told is not None else 0):
             query_ids, queries = arrays(left, i)
-            best = search(query_ids, queries, (arrays(right, j) for j in range(len(right))), k)
+            base = known.get(queries.shape[1]) or basis(queries.shape[1])
+            floors = np.frombuffer(left.column("floors")[i].as_buffer(), dtype=np.float64)
+            mine = np.frombuffer(left.column("summary")[i].as_buffer(), dtype=np.float64)
+            bounds = summary_bound(mine[:-1], told[:, :-1]) + SLACK * mine[-1] * told[:, -1] + 1e-6
+            order = [j for j in np.argsort(-bounds, kind="stable") if bounds[j] >= floors.min()]  # the most promising blocks raise the k-th scores first
+            counts[0] += len(queries) * sum(len(x.as_buffer()) // 8 for x in right.column("ids"))
+            best = search(query_ids, queries, (arrays(right, int(j)) for j in order), k, base, floors, counts[1:])
             parts.append(pa.table({"query_id": query_ids[best.q], "vec_id": best.id, "score": best.score}))
-        return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
+        parts.append(pa.table({"query_id": pa.array([None] * len(counts), pa.int64()), "vec_id": np.arange(len(counts)), "score": counts}))
+        return pa.concat_tables(parts)
 
     return run
 
 
+def _bases(rows: DataFrame) -> tuple[dict[int, Basis], int]:
+    n, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if not n:
+        return {}, 0
+    wanted = min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * max(1, longest)))
+    chance = F.pmod(F.xxhash64(F.lit(23), "vec_id", "embedding"), F.lit(1 << 30)) < int(min(1.0, wanted / n) * (1 << 30))
+    drawn = rows.where(chance).select("vec_id", "embedding").toArrow().combine_chunks()
+    known: dict[int, Basis] = {}
+    for batch in drawn.to_batches():
+        sizes, ends, flat = _lists(batch)
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            known[int(dim)] = basis(int(dim), batch.column("vec_id").to_numpy()[at], _matrix(batch, at, int(dim), ends, flat), min(PIVOTS, n // PER_PIVOT))
+    return known, n
+
+
+def searched(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+    """query_id, vec_id, score: the best of each query in each cell, k at most. Rows without query_id count pairs: vec_id 0 those of all cells, 1 those of
+    blocks that were compared, 2 and on those that were left behind each level."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = vectors.select(col(vectors, "vec_id").cast("long").alias("vec_id"), col(vectors, "embedding").alias("embedding")).where("vec_id is not null and embedding is not null").where(whole)
+    rows = stage_table(rows.distinct(), "rows")
+    known, n = _bases(rows)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    both = rows.select(F.lit(False).alias("is_query"), "vec_id", "embedding").union(queries.select(F.lit(True), "vec_id", "embedding"))
+    placed = both.mapInArrow(_placer(known), "is_query boolean, dim int, pivot int, vec_id long, vector binary")
+    key = ["is_query", "dim", "pivot"]
+    salts = max(1, n // (PIVOTS * DATA_BLOCK[0]))  # a pivot's vectors, however many, lie in several tasks
+    laid = placed.repartition(*key, F.pmod(F.xxhash64("vec_id"), F.lit(salts))).sortWithinPartitions(*key)
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    pivots = min(PIVOTS, n // PER_PIVOT)
+    cell_queries, cell_data = (min(most, max(1, max(rows // block[0], pivots) // tasks)) for most, rows, block in ((CELL_QUERIES, n // every, QUERY_BLOCK), (CELL_DATA, n, DATA_BLOCK)))
+    blocks = stage_table(laid.mapInArrow(_packer(known, k, cell_queries, cell_data), _BLOCKS), "vectors")
+    groups, singles = blocks.where("is_group"), blocks.where("not is_group")
+    asked, offered = groups.where("is_query"), groups.where("not is_query").select("dim", "grp", "summary")
+    pairs = None
+    for part in range(slices := max(1, -(-asked.count() // GROUPS))):
+        told = asked.where(F.pmod(F.xxhash64("grp"), F.lit(slices)) == part).select("dim", "grp", "summary").collect()
+        found = offered.mapInArrow(_pairer([(r["dim"], r["grp"], np.frombuffer(bytes(r["summary"]), dtype=np.float64)) for r in told]), "r long, c long")
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = near_if_small(stage_table(pairs, "pairs"))
+    columns = [F.col(c).alias(c) for c in ("r", "c", "dim", "ids", "vectors", "floors", "summary")]  # columns of their own on either side
+    left = singles.where("is_query").withColumnRenamed("grp", "r").join(pairs, "r").select(*columns)
+    right = singles.where("not is_query").withColumnRenamed("grp", "c").join(pairs, "c").select(*columns)
+    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(_cell(known, k), "query_id long, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """For each vec_id divisible by ``every`` its k best other rows: query_id, rank, vec_id, score.
 
     Components are floor(64 * x); the score is the inner product, ties go to the smaller vec_id. Vectors that are null or hold null or non-finite components take no part,
-    nor do rows without vec_id. Rows that repeat a vec_id are one row, the smallest of their vectors. Vectors meet only those of their own length. A query without any other row has
-    no result row; other columns are ignored.
+    nor do rows without vec_id. Wholly equal rows are one row; of rows that repeat a vec_id with other vectors, each can be found, and the query is the smallest. Vectors meet
+    only those of their own length. A query without any other row has no result row; an empty table gives an empty result; other columns are ignored.
     """
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select(col(vectors, "vec_id").cast("long").alias("vec_id"), col(vectors, "embedding").alias("embedding")).where("vec_id is not null and embedding is not null").where(whole)
-    blocks = stage_table(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(_pack(every), "is_query boolean, dim int, block long, ids binary, vectors binary"), "vectors")
-    counts = {r["is_query"]: r["n"] for r in blocks.groupBy("is_query").count().withColumnRenamed("count", "n").collect()}
-    n_query, n_data = counts.get(True, 0), counts.get(False, 0)
-    down = max(1, -(-n_query // CELL_QUERIES))
-    wanted = -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // down)
-    across = max(1, -(-n_data // CELL_DATA), min(n_data, wanted))
-    spread = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    parts = ["dim", "ids", "vectors"]
-    left = blocks.where("is_query").select(spread(down).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"), *parts)
-    right = blocks.where("not is_query").select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("r"), spread(across).alias("c"), *parts)
-    found = left.groupBy("dim", "r", "c").cogroup(right.groupBy("dim", "r", "c")).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+    found = searched(vectors, k, every).where("query_id is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def pruning(vectors: DataFrame, k: int = 20, every: int = 20) -> dict[str, int]:
+    """How many pairs of queries and vectors were left: in cells, in blocks, behind each level. All pairs are the first where no group was left out."""
+    counts = {r["step"]: r["pairs"] for r in searched(vectors, k, every).where("query_id is null").groupBy(F.col("vec_id").alias("step")).agg(F.sum("score").alias("pairs")).collect()}
+    return {name: counts.get(i, 0) for i, name in enumerate(["cells", "blocks", *(f"{s} segments" for s in LEVELS)])}
