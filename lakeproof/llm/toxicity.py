@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from lakeproof.llm import _words
 from lakeproof.llm._common import col
 
-#: Bounds of the fit: confirmed and unlabelled texts of the sample, and features.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3000, 6000, 1 << 16
+#: Bounds of the fit: confirmed and unlabelled texts of the sample, features of the model, and features that the fit looks at in one text.
+MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, MOST_IN_TEXT = 3000, 6000, 1 << 16, 4096
+#: A sample is dealt into so many times its size places, of which each keeps one row.
+PLACES = 8
 PREFIXES = (4, 5, 6, 7)
 #: A feature is in so many confirmed texts, and by the prior at least this share of the texts that have it is toxic.
 LEAST_TEXTS, LEAST_SHARE = 2, 0.75
@@ -50,29 +52,57 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        self.slot_hash = np.zeros(SLOTS, np.uint64)
-        self.slot_at = np.zeros(SLOTS, np.int32)
-        order = np.argsort(np.abs(self.weights), kind="stable")  # of two features in a slot, the heavier one stands
-        place = (self.hashes[order] & _words.U(SLOTS - 1)).astype(np.int64)
-        self.slot_hash[place], self.slot_at[place] = self.hashes[order], order
+        order = np.argsort(self.hashes)
+        self.hashes, self.weights = self.hashes[order], self.weights[order]
+        self.maybe = np.zeros(SLOTS, bool)  # a quick look, before the search in the sorted hashes
+        self.maybe[self._slots(self.hashes)] = True
+
+    @staticmethod
+    def _slots(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & _words.U(SLOTS - 1)).astype(np.int64)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """Scores of all texts, in [0, 1]; a text's length plays no part but by its words."""
         out = np.full(len(column), self.bias)
         hashes, offsets = _words.word_hashes(column, letters=True, prefixes=PREFIXES)
         rows = np.repeat(np.arange(len(column)), np.diff(offsets))
-        hit_rows, hit_at = [], []
-        for h in hashes:
-            place = (h & _words.U(SLOTS - 1)).astype(np.int64)
-            hit = np.flatnonzero((self.slot_hash[place] == h) & (h != 0))
-            hit_rows.append(rows[hit])
-            hit_at.append(self.slot_at[place[hit]])
+        hit_rows, hit_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for h in hashes if len(self.hashes) else []:
+            hit = np.flatnonzero(self.maybe[self._slots(h)])
+            at = np.searchsorted(self.hashes, h[hit])
+            at[at == len(self.hashes)] = 0
+            real = (self.hashes[at] == h[hit]) & (h[hit] != 0)
+            hit_rows.append(rows[hit[real]])
+            hit_at.append(at[real])
         pairs = np.unique(np.concatenate(hit_rows) * np.int64(max(1, len(self.weights))) + np.concatenate(hit_at))
         if len(pairs):
             np.add.at(out, pairs // len(self.weights), self.weights[pairs % len(self.weights)])
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
+def risk(theta: np.ndarray, p: tuple[np.ndarray, np.ndarray], u: tuple[np.ndarray, np.ndarray], n_p: int, n_u: int, prior: float, decay: float) -> tuple[float, float, np.ndarray]:
+    """Positive part and negative part of the risk at theta (weights, then bias), and the gradient to go by.
+
+    ``p`` and ``u`` are (row, feature) pairs of confirmed and unlabelled texts. Where the negative part has fallen below zero, the gradient is that of its
+    negative, which leads back; weights decay in either case.
+    """
+    size = len(theta) - 1
+    w, b = theta[:-1], theta[-1]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    loss = lambda z: np.logaddexp(0, -z)
+    g_p, g_u = (b + np.bincount(rows, weights=w[at], minlength=n) for (rows, at), n in ((p, n_p), (u, n_u)))
+    positive, negative = prior * loss(g_p).mean(), loss(-g_u).mean() - prior * loss(-g_p).mean()
+    d_p, d_u = -prior * sigmoid(g_p) / n_p, sigmoid(g_u) / n_u  # of the negative part
+    if negative >= 0:
+        d_p = d_p - prior * sigmoid(-g_p) / n_p
+    else:
+        d_p, d_u = -d_p, -d_u
+    grad = np.empty(size + 1)
+    grad[:-1] = np.bincount(p[1], weights=d_p[p[0]], minlength=size) + np.bincount(u[1], weights=d_u[u[0]], minlength=size) + decay * w
+    grad[-1] = d_p.sum() + d_u.sum()
+    return positive, negative, grad
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, confirmed: list[bool] | None = None, steps: int = 400, rate: float = 0.05, decay: float = 7e-5) -> Model:
     """The classifier from features of confirmed and of unlabelled texts; without confirmed ones it always says no.
 
@@ -81,13 +111,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
     known, in_p = np.unique(np.concatenate(positive), return_counts=True)
+    if not len(known):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
+
+    def places(values: np.ndarray) -> np.ndarray:
+        """Where these features are among the known ones, without those that aren't."""
+        at = np.searchsorted(known, values)
+        at[at == len(known)] = 0
+        return at[known[at] == values]
 
     def among(texts: list[np.ndarray]) -> np.ndarray:
         """In how many of these texts each known feature is."""
-        other, n = np.unique(np.concatenate([known[:0], *texts]), return_counts=True)
-        at = np.searchsorted(other, known)
-        at[at == len(other)] = 0
-        return np.where(other[at] == known, n[at], 0) if len(other) else np.zeros(len(known))
+        out = np.zeros(len(known), np.int64)
+        for t in texts:
+            out[places(t)] += 1
+        return out
 
     lift = (in_p / len(positive)) / ((among(unlabelled) + 1) / (len(unlabelled) + 1))
     rest = [t for t, c in zip(unlabelled, confirmed) if not c] if confirmed is not None else unlabelled
@@ -99,34 +137,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     pick = pick[np.argsort(-in_p[pick], kind="stable")][:MOST_FEATURES]
     hashes = np.sort(known[pick])
 
+    column = np.full(len(known), -1)
+    column[np.searchsorted(known, hashes)] = np.arange(len(hashes))
+
     def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        values = np.concatenate(texts)
-        k = np.searchsorted(hashes, values)
-        k[k == len(hashes)] = 0
-        hit = hashes[k] == values if len(hashes) else np.zeros(len(values), bool)
-        return rows[hit], k[hit]
-
-    (pr, pk), (ur, uk) = matrix(positive), matrix(unlabelled)
-    n_p, n_u, size = len(positive), len(unlabelled), len(hashes)
-    theta = np.zeros(size + 1)
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    loss = lambda z: np.logaddexp(0, -z)
+        """(row, feature) of the chosen features that are in these texts."""
+        found = [column[places(t)] for t in texts]
+        found = [f[f >= 0] for f in found]
+        return np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.concatenate(found)
+
+    p, u = matrix(positive), matrix(unlabelled)
+    theta = np.zeros(len(hashes) + 1)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     theta[-1] = -1.0
     for step in range(1, steps + 1):
-        w, b = theta[:-1], theta[-1]
-        g_p = b + np.bincount(pr, weights=w[pk], minlength=n_p)
-        g_u = b + np.bincount(ur, weights=w[uk], minlength=n_u)
-        negative = loss(-g_u).mean() - prior * loss(-g_p).mean()
-        d_p_pos, d_p_neg, d_u_neg = -prior * sigmoid(-g_p) / n_p, -prior * sigmoid(g_p) / n_p, sigmoid(g_u) / n_u
-        if negative >= 0:
-            d_p, d_u = d_p_pos + d_p_neg, d_u_neg
-        else:  # the risk of the negatives must not go below zero: step back along it
-            d_p, d_u = -d_p_neg, -d_u_neg
-        grad = np.empty(size + 1)
-        grad[:-1] = np.bincount(pk, weights=d_p[pr], minlength=size) + np.bincount(uk, weights=d_u[ur], minlength=size) + decay * w
-        grad[-1] = d_p.sum() + d_u.sum()
+        *_, grad = risk(theta, p, u, len(positive), len(unlabelled), prior, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(hashes, theta[:-1], float(theta[-1]))
@@ -134,28 +159,45 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            rows = list(features(part.column("text")))
+        for part in _words.slices(batch, "text", 1 << 20):
+            rows = [f if len(f) <= MOST_IN_TEXT else np.sort(f[np.argsort(_words.mix(f), kind="stable")[:MOST_IN_TEXT]]) for f in features(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("confirmed"), part.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["confirmed", "doc_id", "features"])
 
 
+def sample(rows: DataFrame, salt: int, share: float, most: int) -> DataFrame:
+    """About ``share`` of the rows (doc_id, text) and never more than ``PLACES`` * ``most``: of the rows whose hash is low enough, one for each place that hashes fall on.
+
+    A row's chance depends on doc_id and text alone, equal rows count once, and the choice is made on the map side first.
+    """
+    h = F.xxhash64(F.lit(salt), "doc_id", "text")
+    chosen = rows.select("doc_id", "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    place = F.pmod(F.xxhash64("h"), F.lit(PLACES * most))
+    return chosen.groupBy(place.alias("place")).agg(F.min_by(F.struct("doc_id", "text"), "h").alias("row")).select("row.doc_id", "row.text")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the rows that are not held out: confirmed toxic ones by ``labels``, and others whatever their label."""
-    docs = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), col(docs, "text").alias("text")).where(~held_out(F.col("doc_id")))
+    """Fit on the rows that are not held out: confirmed toxic ones by ``labels``, and others whatever their label.
+
+    Both samples are bounded whatever the tables hold: about ``MOST_POSITIVE`` and ``MOST_UNLABELLED`` texts, and of a text with very many features the fit looks at
+    ``MOST_IN_TEXT`` of them, chosen by hash.
+    """
+    docs = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text")).where(~held_out(F.col("doc_id")))
     labels = labels.select(col(labels, "doc_id").cast("long").alias("doc_id"), col(labels, "toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     n_labels, n_toxic = labels.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     n_docs = docs.count()
     if not n_toxic or not n_docs:
         return fit([], [], 0.0)
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labels.where("toxic = 1").where(u(3) < min(1.0, MOST_POSITIVE / n_toxic)).select("doc_id").distinct().limit(2 * MOST_POSITIVE)
-    positive = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(True).alias("confirmed"), "doc_id", "text").limit(2 * MOST_POSITIVE)
-    unlabelled = docs.where(u(4) < min(1.0, MOST_UNLABELLED / n_docs)).select(F.lit(False).alias("confirmed"), "doc_id", "text").limit(2 * MOST_UNLABELLED)
-    sample = positive.union(unlabelled).mapInArrow(_featurer, "confirmed boolean, doc_id long, features binary").toArrow()
-    rows = [(c, i, np.frombuffer(f, dtype=np.uint64)) for c, i, f in zip(sample.column("confirmed").to_pylist(), sample.column("doc_id").to_pylist(), (x.as_buffer() for x in sample.column("features")))]
-    known = {i for c, i, _ in rows if c}
-    return fit([f for c, _, f in rows if c], [f for c, _, f in rows if not c], n_toxic / n_labels, [i in known for c, i, _ in rows if not c])
+    place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(PLACES * MOST_POSITIVE))
+    marked = labels.where("toxic = 1").where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < int(min(1.0, MOST_POSITIVE / n_toxic) * (1 << 30)))
+    marked = marked.groupBy(place.alias("place")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")  # at most a row for each place
+    both = [sample(docs.join(F.broadcast(marked), "doc_id", "left_semi"), 5, 1.0, MOST_POSITIVE), sample(docs, 6, MOST_UNLABELLED / n_docs, MOST_UNLABELLED)]
+    texts = both[0].withColumn("confirmed", F.lit(True)).union(both[1].withColumn("confirmed", F.lit(False)))
+    table = texts.mapInArrow(_featurer, "confirmed boolean, doc_id long, features binary").toArrow()
+    confirmed, ids = (table.column(c).to_pylist() for c in ("confirmed", "doc_id"))
+    found = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("features")]
+    known = {i for c, i in zip(confirmed, ids) if c}
+    rest = [(f, i in known) for f, c, i in zip(found, confirmed, ids) if not c]
+    return fit([f for f, c in zip(found, confirmed) if c], [f for f, _ in rest], n_toxic / n_labels, [k for _, k in rest])
 
 
 def scorer(docs: DataFrame, model: Model):
@@ -175,7 +217,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Empty and null texts have the score of a text without any known feature. A null doc_id is not held out, nor learnt from. Without confirmed
-    labels all scores are about 0. Repeated rows are scored each; an empty table gives an empty result; other columns are ignored.
+    labels all scores are about 0. Texts are scored whole, however long. Repeated rows are scored each; an empty table gives an empty result; other columns are ignored.
     """
     score = scorer(docs, train(docs, labels))
     out = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(col(docs, "doc_id")), F.lit(False)).alias("held_out"), score(col(docs, "text")).alias("score"))
