@@ -1,8 +1,8 @@
 """Sharding by sampled splitters.
 
 Records are ranged by a 64-bit hash of their text, so equal texts lie together. A size-weighted sample of these keys gives
-quantile boundaries of many narrow ranges; all records are then counted by range, ranges that turn out overfull are
-subdivided by doc_id, and the exact sizes of the pieces are cut into shards of near equal bytes. A piece is numbered within itself, from
+quantile boundaries of many narrow ranges, in which a key that fills a range has one of its own; all records are then counted by range, ranges
+that turn out overfull are subdivided, by key or, if they are one key's, by row, and the exact sizes of the pieces are cut into shards of near equal bytes. A piece is numbered within itself, from
 the count of the rows before it, so that no task ever holds a shard.
 """
 
@@ -15,7 +15,7 @@ from lakeproof.llm._common import col, stage_table
 
 PER_ROW = 16
 #: Ranges and sampled keys per shard. The driver holds shards * SAMPLED keys and a row per piece.
-RANGES, SAMPLED = 32, 2000
+RANGES, SAMPLED = 32, 2000  # of the sampled keys, a range has 62 on average, so a key that fills one is among them
 
 
 def _splitters(records: DataFrame, total: int, ranges: int, sampled: int) -> list[int]:
@@ -26,22 +26,23 @@ def _splitters(records: DataFrame, total: int, ranges: int, sampled: int) -> lis
     draws = F.col("size") * (sampled / total)
     whole = F.floor(draws) + F.when(u <= draws - F.floor(draws), 1).otherwise(0)
     drawn = sorted((r["key"], r["w"]) for r in records.select("key", whole.alias("w")).where("w > 0").groupBy("key").agg(F.sum("w").alias("w")).collect())
-    out, seen, weight = [], 0, sum(w for _, w in drawn)
+    out, seen, weight = set(), 0, sum(w for _, w in drawn)
     for key, w in drawn:
+        if seen * ranges // weight < (seen + w) * ranges // weight < ranges:
+            out.add(key)
+        if w * ranges >= weight:  # a hot key: a range ends before it and another begins behind it
+            out |= {key, key + 1}
         seen += w
-        if seen * ranges >= (len(out) + 1) * weight and len(out) < ranges - 1:
-            out.append(key)
-            while len(out) < ranges - 1 and seen * ranges >= (len(out) + 1) * weight:
-                out.append(key)
-    return sorted(set(out))
+    return sorted(k for k in out if k < 1 << 63)
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, ranges: int = RANGES, sampled: int = SAMPLED) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Size is the text's UTF-8 bytes plus 16, null counting as empty. Shards' sizes are near equal: they differ by the size of a piece,
-    about 1 / ``ranges`` of a shard, or of a single longer record. Equal texts share a shard unless a piece or a boundary parts them. Slots
-    are gapless from 0 in each shard. Repeated rows are records of their own; an empty table gives an empty result.
+    about 1 / ``ranges`` of a shard, or of a single longer record. Equal texts share a shard unless they alone fill more than a range. Slots
+    are gapless from 0 in each shard. Null doc_ids are records as well, repeated rows are records of their own; texts are measured whole, however long.
+    An empty table gives an empty result.
     """
     text = F.coalesce(col(docs, "text"), F.lit(""))
     records = stage_table(
@@ -54,6 +55,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, ranges: int = RANGES, sampl
     n_rows, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     wide = shards * ranges
     splitters = _splitters(records, total, wide, shards * sampled)
+    single = [i + 1 for i, (a, b) in enumerate(zip(splitters, [*splitters[1:], None])) if b == a + 1 or a == (1 << 63) - 1]
     ranged = records.withColumn("range", _rank(splitters))
     counts = {r["range"]: (r["n"], r["b"]) for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
     most_rows, most_bytes = max(1.0, 2 * n_rows / wide), max(1.0, 2 * total / wide)
@@ -61,7 +63,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, ranges: int = RANGES, sampl
     split = F.lit(1)
     if parts:
         split = F.coalesce(F.try_element_at(F.expr(f"map({','.join(f'{k},{v}' for k, v in parts.items())})"), F.col("range")), F.lit(1))
-    pieces = ranged.withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id", "row"), split.cast("long")).cast("int"))
+    by = F.xxhash64(F.lit(5), "key")
+    if single:
+        by = F.when(F.col("range").isin(single), F.xxhash64(F.lit(5), "doc_id", "row")).otherwise(by)
+    pieces = ranged.withColumn("part", F.pmod(by, split.cast("long")).cast("int"))
     exact = sorted((r["range"], r["part"], r["n"], r["b"]) for r in pieces.groupBy("range", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect())
     plan, before, fill, shard = [], 0, [0] * shards, 0
     for k, part, n, b in exact:
@@ -71,7 +76,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, ranges: int = RANGES, sampl
         fill[shard] += n
         before += b
     spark = docs.sparkSession
-    placed = F.broadcast(spark.createDataFrame(plan, "range int, part int, shard int, base long"))  # a row per piece, at most 3 * shards * ranges
+    placed = F.broadcast(spark.createDataFrame(plan, "range int, part int, shard int, base long"))  # a row per piece, at most 7 * shards * ranges
     in_piece = Window.partitionBy("range", "part").orderBy("key", "doc_id", "row")
     numbered = pieces.withColumn("place", F.row_number().over(in_piece).cast("long") - 1)
     return numbered.join(placed, ["range", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
