@@ -1,8 +1,8 @@
 """Exact dedup with a heavy-hitter split.
 
 Misra-Gries summaries of the digests, one per partition and added up by digest, name every digest with more than a share ``heavy`` of
-the rows. Those few are counted exactly and their winners broadcast, so that their rows, however many, are settled where they lie. All
-other digests are grouped by an ordinary shuffle, in which no group is large.
+the rows, or with more than ``HEAVY_ROWS`` rows, whichever is less. Those few are counted exactly and their winners broadcast, so that their rows,
+however many, are settled where they lie. All other digests are grouped by an ordinary shuffle, in which no group is large.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from lakeproof.llm._common import col, fresh, near_if_small, squeezed, stage_table
 
 
+#: A group of more rows is never left to a single task. A summary's counters grow with the rows from 1 / heavy times this number on.
+HEAVY_ROWS = 1_000_000
+
+
 class MisraGries:
     """Counts too low by at most rows / (size + 1), for at most ``size`` keys."""
 
@@ -57,7 +61,7 @@ def exact_duplicates(docs: DataFrame, heavy: float = 0.0005) -> DataFrame:
 
     Texts are equal if they are without white space; null counts as empty, and empty texts are equal to one another. The row with
     the most code points in its own text stays, then the smallest doc_id (null last). Of wholly equal rows with one doc_id,
-    exactly one has kept true. An empty table gives an empty result; other columns are ignored.
+    exactly one has kept true. Texts are read whole, however long. An empty table gives an empty result; other columns are ignored.
     """
     text = col(docs, "text")
     keys = stage_table(
@@ -65,13 +69,15 @@ def exact_duplicates(docs: DataFrame, heavy: float = 0.0005) -> DataFrame:
         "digests",
     )
     total = keys.count()
+    heavy = min(heavy, HEAVY_ROWS / max(1, total))
     order = F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
     named = stage_table(heavy_digests(keys, heavy, total), "heavy")
-    winners = stage_table(keys.join(F.broadcast(named), "digest", "left_semi").groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "winners")
+    winners = stage_table(keys.join(near_if_small(named), "digest", "left_semi").groupBy("digest").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "winners")
+    settled = near_if_small(winners)  # at most 3 / heavy rows
     out = ["doc_id", "best", "group_size", "row", "digest"]
-    massed = keys.join(F.broadcast(winners), "digest").select(*out)
+    massed = keys.join(settled, "digest").select(*out)
     group = Window.partitionBy("digest")
-    rest = keys.join(F.broadcast(winners), "digest", "left_anti").withColumn("best", F.min(order).over(group)).withColumn("group_size", F.count("*").over(group)).select(*out)
+    rest = keys.join(settled, "digest", "left_anti").withColumn("best", F.min(order).over(group)).withColumn("group_size", F.count("*").over(group)).select(*out)
     return massed.union(rest).select("doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -84,6 +90,10 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     same = lambda right: marked[d].eqNullSafe(right["fd"]) & (marked[s] == right["fs"])
     gone, again = near_if_small(fate.select("fd", "fs")), near_if_small(fate.where("stays"))  # the latter: rows that repeat a doc_id together with its text
     clean = marked.join(gone, same(gone), "left_anti")
-    order = Window.partitionBy(d, s).orderBy(F.desc(F.char_length(col(docs, "text"))))
-    one = marked.join(again, same(again), "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
-    return clean.unionByName(one).select(*[col(clean, c) for c in docs.columns])
+    if again.isEmpty():
+        return clean.select(*[col(clean, c) for c in docs.columns])
+    longest = F.max_by(F.struct(*[col(marked, c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), F.char_length(col(marked, "text"))).alias(n)
+    one = marked.join(again, same(again), "left_semi").groupBy(d, s).agg(longest)  # combined before the shuffle
+    one = one.select(*[F.col(f"{n}.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    clean = clean.select(*[col(clean, c) for c in docs.columns])
+    return clean.union(one)
