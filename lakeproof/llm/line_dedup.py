@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeproof.llm._common import col, stage_table
+from lakeproof.llm._common import col, near_if_small, stage_table
 
 MIN_SITES = 10
 MARGIN = 0.2
@@ -41,16 +41,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: floa
 
     Lines end at newlines and are compared without the white space around them; empty ones always stay. A line found in the documents of at
     least ``min_sites`` values of ``source`` is removed from all. A null source is a site of its own. A null text has no lines
-    and stays null; a document may become empty. Repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
+    and stays null; a document may become empty. Texts are read whole, however long. Repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(col(docs, "doc_id").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), col(docs, "source").cast("string")), F.lit("")).alias("site"), col(docs, "text").alias("text"))
     split = F.split("text", "\n", -1)
     lines = docs.select("site", F.explode(F.array_distinct(F.transform(split, _bare))).alias("line")).where("line <> ''").select(*_keys(F.col("line")), "site")
     gone = stage_table(boilerplate_keys(lines, min_sites, margin), "boilerplate")
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    hits = numbered.select("row", F.posexplode(F.transform(split, _bare)).alias("at", "line")).where("line <> ''").select("row", "at", *_keys(F.col("line"))).join(gone, ["a", "b"], "left_semi")
-    hits = hits.groupBy("row").agg(F.collect_set("at").alias("hits"))
-    marked = numbered.join(hits, "row", "left")
+    # a row is known by a hash of its text, not by a number that a lost task could give anew; rows of one text have the same lines
+    known = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(3), "text", "doc_id")})
+    hits = known.select("h1", "h2", F.posexplode(F.transform(split, _bare)).alias("at", "line")).where("line <> ''").select("h1", "h2", "at", *_keys(F.col("line"))).join(near_if_small(gone), ["a", "b"], "left_semi")
+    hits = hits.groupBy("h1", "h2").agg(F.collect_set("at").alias("hits"))
+    marked = known.join(hits, ["h1", "h2"], "left")
     kept = F.filter(split, lambda line, at: ~F.array_contains("hits", at))
     return marked.select(
         "doc_id", F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size("hits"), F.lit(0)).alias("n_removed"),
