@@ -7,11 +7,12 @@ import pytest
 
 from lakeproof.llm import _superminhash, _tokens, _words
 from lakeproof.llm.exact_dedup import MisraGries
-from lakeproof.llm.mixing import entropy, solve, weights_at
+from lakeproof.llm.mixing import entropy, solve, totals_of
 from lakeproof.llm.near_dedup import forest, linked
 from lakeproof.llm.packing import balance
 from lakeproof.llm.token_output import TokenFile, encode_file, frequencies
-from lakeproof.llm.topk_search import search, segment_statistics
+from lakeproof.llm.toxicity import SLOTS, Model, features, fit, risk
+from lakeproof.llm.topk_search import basis, merged, search, segment_edges, segment_statistics, summary, summary_bound
 
 TEXTS = ["", None, "one", "a b c d", "A b C d e f", " \t\n", "x " * 400, "é ü ß ñ long " * 30, "a b c d e f", "\x0b\x0ca\rb", "漢 字 テ ス ト 。"]
 
@@ -161,29 +162,102 @@ def test_misra_gries_finds_frequent_keys():
 
 
 def test_mixture_meets_entropy_and_repetition():
-    tokens = {"a": 1000, "b": 100, "c": 10}
-    m = solve(tokens, max_repeat=2.0)
-    assert max(m.repeats.values()) == pytest.approx(2.0) and min(m.repeats.values()) == pytest.approx(1.0)
-    target = 0.8
-    m = solve(tokens, target_entropy=target)
-    assert entropy(m.weights) == pytest.approx(target, abs=1e-6)
-    assert solve(tokens, max_repeat=None).alpha == 0.0
-    assert solve({"a": 5}, max_repeat=1.0).repeats == {"a": 1.0}
-    assert solve({"a": 0}).weights == {}
-    assert sum(weights_at(tokens, 0.3).values()) == pytest.approx(1)
-    assert solve(tokens, target_entropy=9).alpha == 0.0 and solve(tokens, target_entropy=0).alpha == 1.0
+    tokens = [1000, 100, 10]
+    totals = totals_of([*tokens, 0])
+
+    def weights(m):
+        w = [m.weight(t) for t in tokens]
+        assert sum(w) == pytest.approx(1)
+        return w
+
+    m = solve(totals, max_repeat=2.0)
+    shown = [m.repeats(t) for t in tokens]
+    assert max(shown) == pytest.approx(2.0) and min(shown) == pytest.approx(1.0)
+    for target in (0.2, 0.8, 1.0):
+        m = solve(totals, target_entropy=target)
+        w = weights(m)
+        assert -sum(x * np.log(x) for x in w) == pytest.approx(target if target > 0.36 else -sum(t / 1110 * np.log(t / 1110) for t in tokens), abs=1e-6)
+        assert entropy(m.alpha, *totals.sums([m.alpha])[0]) == pytest.approx(-sum(x * np.log(x) for x in w))
+    m = solve(totals, max_repeat=3.0, budget=1300.0)
+    assert sum(m.repeats(t) * t for t in tokens) == pytest.approx(1300) and max(m.repeats(t) for t in tokens) == pytest.approx(3.0)
+    assert solve(totals, max_repeat=None).alpha == 0.0
+    assert solve(totals_of([5]), max_repeat=1.0).repeats(5) == 1.0
+    assert totals_of([0]) is None
+    assert solve(totals, target_entropy=9).alpha == 0.0 and solve(totals, target_entropy=0).alpha == 1.0
 
 
 def test_segments_bound_products_and_search_is_exact():
     rng = np.random.default_rng(5)
-    x = np.floor(rng.normal(size=(3000, 50)) * 20 + rng.normal(size=50) * 30)
+    x = np.floor(rng.normal(size=(3000, 50)) * 20 * np.linspace(3, 0.1, 50) + rng.normal(size=50) * 30)
     x[100:400] = x[7]
     ids = rng.permutation(3000).astype(np.int64)
-    for s in (1, 4, 16):
-        bound = segment_statistics(x[:50], s) @ segment_statistics(x, s).T
-        assert (bound >= x[:50] @ x.T - 1e-6).all()
-    best = search(ids[:60], x[:60], ((ids[i : i + 500], x[i : i + 500]) for i in range(0, 3000, 500)), 20)
-    for q in range(60):
-        want = sorted((-int(s), int(i)) for s, i in zip(x @ x[q], ids) if i != ids[q])[:20]
-        got = sorted((-int(s), int(i)) for s, i in zip(best.score[best.q == q], best.id[best.q == q]))
-        assert got == want
+    for sample in (None, x[::30], x[::100]):  # without one, with a basis, and too small for a basis
+        base = basis(50, ids[::30][: 0 if sample is None else len(sample)], sample, 4)
+        assert (base.rotation is None) == (sample is None or len(sample) < 50)
+        turned = base.turned(x)
+        for edges in [np.array([0]), *base.edges]:
+            stats = segment_statistics(turned, edges)
+            assert (stats[:50] @ stats.T >= x[:50] @ x.T - 1e-4).all()
+            groups = [summary(stats[i : i + 100]) for i in range(0, 3000, 100)]
+            bound = summary_bound(merged(groups[:2]), np.stack(groups))
+            for g in range(30):
+                assert bound[g] >= (x[:200] @ x[100 * g : 100 * g + 100].T).max() - 1e-4
+        counts = np.zeros(4, np.int64)
+        best = search(ids[:60], x[:60], ((ids[i : i + 500], x[i : i + 500]) for i in range(0, 3000, 500)), 20, base, None, counts)
+        assert counts[0] == 180_000 and counts[1] >= counts[2] >= counts[3] and counts[3] < 180_000
+        for q in range(60):
+            want = sorted((-int(s), int(i)) for s, i in zip(x @ x[q], ids) if i != ids[q])[:20]
+            got = sorted((-int(s), int(i)) for s, i in zip(best.score[best.q == q], best.id[best.q == q]))
+            assert got == want
+
+
+def test_segments_share_energy():
+    assert segment_edges(np.ones(8), 4).tolist() == [0, 2, 4, 6]
+    assert segment_edges(np.array([100.0, 1, 1, 1]), 2).tolist() == [0, 1]
+    assert segment_edges(np.zeros(3), 2).tolist()[0] == 0
+
+
+def test_risk_and_gradient_as_by_their_formula():
+    rng = np.random.default_rng(4)
+    n_p, n_u, size, prior, decay = 7, 11, 5, 0.3, 0.01
+    x_p, x_u = rng.random((n_p, size)) < 0.5, rng.random((n_u, size)) < 0.4
+    theta = rng.normal(size=size + 1)
+    p, u = np.nonzero(x_p), np.nonzero(x_u)
+
+    def parts(t):
+        loss = lambda z: np.log1p(np.exp(-z))
+        g_p, g_u = x_p @ t[:-1] + t[-1], x_u @ t[:-1] + t[-1]
+        return prior * np.mean(loss(g_p)), np.mean(loss(-g_u)) - prior * np.mean(loss(-g_p))
+
+    for bias in (0.0, -8.0):  # the second drives the negative part below zero where confirmed texts outscore the others
+        t = theta.copy()
+        t[-1] += bias
+        if bias:
+            t[:-1] = 0
+            x_p[:, 0], x_u[:, 0] = True, False
+            t[0], p, u = 9.0, np.nonzero(x_p), np.nonzero(x_u)
+        positive, negative, grad = risk(t, p, u, n_p, n_u, prior, decay)
+        assert (positive, negative) == pytest.approx(parts(t)) and (negative < 0) == bool(bias)
+        target = lambda z: (sum(parts(z)) if not bias else -parts(z)[1]) + decay / 2 * (z[:-1] @ z[:-1])
+        for k in range(size + 1):
+            step = np.zeros(size + 1)
+            step[k] = 1e-5
+            assert grad[k] == pytest.approx((target(t + step) - target(t - step)) / 2e-5, abs=1e-6)
+
+
+def test_scores_are_sums_over_all_features_even_of_one_slot():
+    texts = ["alpha beta", "alpha", "", None, "gamma " * 50_000 + "beta", "ALPHA, beta!"]
+    found = [f.tolist() for f in features(pa.array(texts))]
+    hashes = np.unique(np.array(found[0], np.uint64))
+    clash = np.array([hashes[0] ^ np.uint64(SLOTS << 3)], np.uint64)  # another feature of the same slot
+    weights = np.arange(1, len(hashes) + 2) / 10
+    model = Model(np.concatenate([hashes, clash]), weights, -1.0)
+    weight = dict(zip([*hashes.tolist(), *clash.tolist()], weights))
+    want = [1 / (1 + np.exp(1 - sum(weight.get(f, 0) for f in fs))) for fs in found]
+    assert model.scores(pa.array(texts)) == pytest.approx(want)
+    assert Model(np.zeros(0, np.uint64), np.zeros(0), 0.0).scores(pa.array(texts)).tolist() == [0.5] * 6
+
+
+def test_fit_without_words_says_no():
+    none = np.zeros(0, np.uint64)
+    assert fit([none], [none], 0.1).scores(pa.array(["a"]))[0] < 1e-6

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from lakeproof.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, sharding, token_output, topk_search, toxicity, url_filter
 
@@ -146,7 +147,56 @@ def test_mixing_repeats_small_sources(spark, docs, empty):
     again = mixing.mix(frame(spark, rows, False), max_repeat=3.0, details=True).collect()
     assert sorted((r["doc_id"], r["epoch"]) for r in out) == sorted((r["doc_id"], r["epoch"]) for r in again)
     half = mixing.mix(frame(spark, rows, False), max_repeat=None, budget=4000.0).collect()
-    assert abs(len(half) - 400) <= 2
+    assert abs(len(half) - 800) <= 2  # ten letters and spaces are five tokens
+
+
+def spark_hash(*values):
+    """What Spark's xxhash64 gives for ints below 2**31 as written (int), longs as (long,) and strings."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(4, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return (h - (1 << 64) if h >> 63 else h) % (1 << 62)
+
+
+def mixed_by_force(rows, alpha, budget, seed=17):
+    """The (doc_id, epoch) pairs of a mixture, one source after the other."""
+    groups = defaultdict(list)
+    for i, t, _, s in rows:
+        groups["null" if s is None else "s:" + s].append((spark_hash(seed, None if i is None else (i,), t), i, -(-len((t or "").encode()) // 4)))
+    totals = {s: sum(n for *_, n in g) for s, g in groups.items()}
+    most = max(totals.values())
+    norm = sum((t / most) ** alpha for t in totals.values() if t)
+    out = []
+    for s, g in groups.items():
+        times = (budget or most * norm) * (totals[s] / most) ** alpha / norm / totals[s] if totals[s] else 1.0
+        full = int(times + 1e-9)
+        out += [(i, e) for _, i, _ in g for e in range(full)]
+        left = (times - full) * totals[s] if times - full > 1e-9 else -1
+        blocks = defaultdict(list)
+        for h, i, n in g:
+            blocks[h % 4096].append((h, i, n))
+        for b in sorted(blocks, key=lambda b: (spark_hash(seed, s, full, b), b)):
+            for h in sorted({h for h, *_ in blocks[b]}):
+                tied = [x for x in blocks[b] if x[0] == h]
+                left -= sum(n for *_, n in tied)
+                if left >= 0:
+                    out += [(i, full) for _, i, _ in tied]
+            if left < 0:
+                break
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("options", [{"max_repeat": 2.0}, {"max_repeat": None}, {"target_entropy": 1.2}, {"max_repeat": 3.0, "budget": 9000.0}, {"max_repeat": None, "budget": 700.0}])
+def test_mixing_as_by_brute_force(spark, options):
+    rows = ROWS[:9] + ROWS[11:] + [(1000 + i, f"text number {i} " * (1 + i % 9), "en", "abcd"[i % 7 % 4]) for i in range(200)] + [(7, None, "en", "silent"), (8, "", "en", "silent")]
+    per = defaultdict(int)
+    for _, t, _, s in rows:
+        per[s] += -(-len((t or "").encode()) // 4)
+    alpha = mixing.solve(mixing.totals_of(list(per.values())), **options).alpha
+    got = mixing.mix(frame(spark, rows), details=True, **options).collect()
+    assert sorted(((r["doc_id"], r["epoch"]) for r in got), key=str) == mixed_by_force(rows, alpha, options.get("budget"))
 
 
 def test_sharding_is_near_equal_and_gapless(spark, docs, empty):
@@ -248,13 +298,27 @@ def test_urls_by_rule_and_by_cascade(spark):
     rows = [(i, u) for i, (u, _, _) in enumerate(URLS)] + [(100 + i, f"http://h{i}.net/p") for i in range(500)]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", url_filter.F.lit("z"))
     listed = spark.createDataFrame([(f"h{i}.net",) for i in range(0, 500, 3)] + [("elsewhere",), (None,)], "key string")
-    for most in (url_filter.MOST_BYTES, 0):
-        got = {r["page_id"]: r for r in url_filter.judge_urls(pages, listed, most_bytes=most).collect()}
+    for keys in (url_filter.PART_KEYS, 60):  # one part, and three
+        got = {r["page_id"]: r for r in url_filter.judge_urls(pages, listed, part_keys=keys).collect()}
         for i, (_, rule, verdict) in enumerate(URLS):
             assert got[i]["rule"] == rule and got[i]["verdict"] == (verdict or "allow")
         assert got[2]["host"] == "example.org" and got[2]["path"] == "/en/12" and got[8]["host"] == got[9]["path"] == ""
         assert all(got[100 + i]["verdict"] == ("block" if i % 3 == 0 else "allow") for i in range(500))
-    assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
+    assert url_filter.judge_urls(pages.limit(0), listed).count() == 0 and url_filter.judge_urls(pages, listed.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+    long = "http://long.net/" + "x" * 3_000_000
+    odd = spark.createDataFrame([(1, long), (1, long), (1, "http://h0.net/"), (None, "http://h0.net/a")], "page_id long, url string")
+    got = url_filter.judge_urls(odd, listed).collect()
+    assert sorted(((r["page_id"] or -1), len(r["path"]), r["verdict"]) for r in got) == [(-1, 2, "block"), (1, 1, "block"), (1, 3_000_001, "allow"), (1, 3_000_001, "allow")]
+
+
+def test_large_filters_have_their_words_in_order(spark):
+    keys = spark.range(40_000).select(url_filter.F.concat(url_filter.F.lit("k"), "id").alias("key"))
+    listed = keys.where("substring(key, 2) % 2 = 0")
+    cascade = url_filter.Cascade(keys, listed, 6000)
+    assert cascade.parts == 4 and cascade.levels[0].bits > 64 * url_filter.RUN / 8
+    for p in range(4):
+        mine = keys.where(url_filter.part_of(url_filter.F.col("key"), 4) == p)
+        assert mine.where(cascade.contains(url_filter.F.col("key"), p) != (url_filter.F.expr("substring(key, 2) % 2 = 0"))).count() == 0
 
 
 def test_boilerplate_lines_go(spark, docs, empty):
@@ -271,21 +335,52 @@ def test_boilerplate_lines_go(spark, docs, empty):
 def test_top_k_with_nulls_ties_and_lengths(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(150)] + [(160 + i, [1.0] * 8) for i in range(50)]
-    rows += [(300, None), (320, [None] + [1.0] * 7), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [1.0] * 8), (380, [1.0, 2.0]), (400, [3.0, 4.0]), (401, []), (160, [1.0] * 8), (420, [5.0])]
+    rows += [(300, None), (320, [None] + [1.0] * 7), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [1.0] * 8), (380, [1.0, 2.0]), (400, [3.0, 4.0]), (401, []), (160, [1.0] * 8), (420, [5.0]), (440, []), (161, [2.0] * 8), (180, [0.5] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("ids", topk_search.F.lit(1))
     got = defaultdict(list)
     for r in topk_search.top_k(df).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    clean = {i: np.floor(64 * np.array(v, dtype=np.float32).astype(float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q, v in clean.items():
+    clean = list(dict.fromkeys((i, tuple(np.floor(64 * np.array(v, dtype=np.float32).astype(float)))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)))
+    for q in {i for i, _ in clean}:
         if q % 20:
             assert q not in got
             continue
-        want = sorted((-int(v @ x), i) for i, x in clean.items() if i != q and len(x) == len(v))[:20]
-        assert sorted(got.get(q, [])) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+        v = min(x for i, x in clean if i == q)
+        want = sorted((-int(np.dot(v, x)), i) for i, x in clean if i != q and len(x) == len(v))[:20]
+        assert [(-s, i) for _, i, s in sorted(got.get(q, []))] == want and [r for r, *_ in sorted(got.get(q, []))] == list(range(1, len(want) + 1))
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_clusters_are_pruned_before_and_within_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(topk_search, "PER_PIVOT", 100)
+    monkeypatch.setattr(topk_search, "DATA_BLOCK", (100, 1 << 20))
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 48))
+    x = (centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 48)) * 0.05).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    left = list(topk_search.pruning(df).values())
+    assert left == sorted(left, reverse=True) and left[0] < 150 * 3000 * 0.7 and left[-1] < left[1] * 0.5 < left[0]
+    y = np.floor(64 * x.astype(float))
+    got = defaultdict(list)
+    for r in topk_search.top_k(df).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 3000, 20):
+        want = sorted((-int(s), i) for i, s in enumerate(y @ y[q]) if i != q)[:20]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_long_vectors_fit(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 1024)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    y = np.floor(64 * x.astype(float))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_search.top_k(df, k=3).collect()}
+    for q in range(0, 400, 20):
+        want = sorted((-int(s), i) for i, s in enumerate(y @ y[q]) if i != q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(i, -s) for s, i in want]
+
+
 def test_pipeline_stages_fit_together(spark, tmp_path):
     import corpus_pipeline
 
