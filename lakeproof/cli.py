@@ -10,7 +10,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lakeproof.plans import audit
+from lakeproof.operators import bundle
+from lakeproof.plans import audit, gate
+from lakeproof.sources import web
 
 SIDECARS = ["generation_config.json", "config.json", "tokenizer.json", "special_tokens_map.json", "added_tokens.json", "tokenizer_config.json", "processor_config.json", "chat_template.jinja", "README.md"]
 
@@ -29,13 +31,50 @@ def sidecars(spark: SparkSession, model_path: str):
     return spark.read.text(here, wholetext=True).select(F.lit(model_path).alias("model_id"), name.alias("file_name"), F.col("value").alias("text"))
 
 
+def remote_target(target: str, name: str | None) -> str:
+    """Where a target's model file is: itself if it is a URL or a file of a store, else a file of a repository on the hub."""
+    where, at = target.removeprefix("hf://"), target.startswith("hf://")
+    if "://" in target and not at:
+        return target if name is None or target.endswith(".gguf") else f"{target.rstrip('/')}/{name}"
+    parts = where.split("/")
+    repo, inside = "/".join(parts[:2]), name or "/".join(parts[2:])
+    if not inside:
+        listed = json.loads(web.text(f"https://{web.TOKEN_HOST}/api/models/{repo}", 16 << 20) or "{}")
+        names = [s["rfilename"] for s in listed.get("siblings", []) if isinstance(s, dict) and isinstance(s.get("rfilename"), str)]
+        picked = _session().createDataFrame([(names,)], "names array<string>").select(gate.pick_file(F.col("names"))).first()[0]
+        if not picked:
+            raise ValueError(f"no model file in {repo}; name one with --file")
+        inside = picked
+    return f"https://{web.TOKEN_HOST}/{repo}/resolve/main/{inside}"
+
+
+def remote_sidecars(spark: SparkSession, target: str):
+    """(model_id, file_name, text) of the files beside a model at a URL, each capped by its own limit."""
+    folder = target.rsplit("/", 1)[0]
+    if not target.startswith(("http://", "https://")):
+        raise ValueError("--bundle of a remote model needs a URL or a repository")
+    got = [(target, n, web.text(f"{folder}/{n}", bundle.MOST_BYTES.get(n, bundle.MOST_OTHER))) for n in SIDECARS]
+    return spark.createDataFrame([r for r in got if r[2] is not None], "model_id string, file_name string, text string")
+
+
 def scan(args) -> int:
     spark = _session()
-    beside = sidecars(spark, args.file) if args.bundle else None
+    note = lambda text: print(f"note: {text}", file=sys.stderr)
+    target = args.file
+    if args.remote:
+        target = remote_target(args.file, args.model_file)
+        note("only the header was read from afar; STR rules and checks of the whole file were skipped")
+        if args.manifest:
+            note("--manifest needs the whole file and was ignored")
+            args.manifest = None
+    note("the deep tokenizer pass ran" if args.deep_tokenizer else "the deep tokenizer pass did not run; --deep-tokenizer turns it on")
+    beside = (remote_sidecars(spark, target) if args.remote else sidecars(spark, args.file)) if args.bundle else None
+    if args.bundle:
+        note("the files beside the model were audited")
     manifests = None
     if args.manifest:
         manifests = spark.read.text(args.manifest, wholetext=True).select(F.lit(args.file).alias("model_id"), F.col("value").alias("manifest"))
-    models, meta, tensors = audit.gguf.load_once(spark, args.file, sha256="true", **({"materialize": audit.DEEP_KEYS} if args.deep_tokenizer or args.bundle else {}))
+    models, meta, tensors = audit.gguf.load_once(spark, target, sha256=str(not args.remote).lower(), **({"materialize": audit.DEEP_KEYS} if args.deep_tokenizer or args.bundle else {}))
     model = models.first()
     if model["parse_error"]:
         print(f"error: {model['parse_error']}", file=sys.stderr)
@@ -43,7 +82,7 @@ def scan(args) -> int:
     found = audit.ordered(audit.model_findings(models, meta, tensors, args.deep_tokenizer, manifests, beside)).collect()
     template = audit.integrity.templates_of(meta).first()
     render = audit.render_json if args.json else audit.render_text
-    print(render(args.file, model["sha256"], template["template_sha256"] if template else None, found))
+    print(render(target, model["sha256"], template["template_sha256"] if template else None, found))
     kinds = {f["severity"] for f in found}
     return 2 if "FAIL" in kinds else 1 if args.fail_on == "warn" and "WARN" in kinds else 0
 
@@ -86,6 +125,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("file")
     s.add_argument("--json", action="store_true")
     s.add_argument("--manifest")
+    s.add_argument("--remote", action="store_true", help="the target is a URL, a file of a store, or a repository of the hub; only its header is read")
+    s.add_argument("--file", dest="model_file", metavar="NAME", help="with --remote, the model file to read")
     s.add_argument("--fail-on", choices=["warn", "fail"], default="fail")
     s.add_argument("--deep-tokenizer", action="store_true")
     s.add_argument("--bundle", action="store_true")

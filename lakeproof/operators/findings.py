@@ -39,8 +39,18 @@ def rank(severity: Column) -> Column:
     return F.when(severity == FAIL, 0).when(severity == WARN, 1).otherwise(2)
 
 
+def final_order() -> list[Column]:
+    """What a model's findings are put in order by."""
+    return [rank(F.col("severity")), F.col("rule_id"), F.coalesce("location", F.lit("")), F.col("phase"), F.col("seq")]
+
+
 def ordered(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("model_id", rank(F.col("severity")), "rule_id", F.coalesce("location", F.lit("")), "phase", "seq")
+    return findings.orderBy("model_id", *final_order())
+
+
+def numbered(findings: DataFrame) -> DataFrame:
+    """Findings with their place within their model, from 1."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("model_id").orderBy(*final_order())).cast("long"))
 
 
 def severity_summary(findings: DataFrame, models: DataFrame | None = None) -> DataFrame:

@@ -46,37 +46,60 @@ def overlaps(regions: DataFrame, model: str = "model_id") -> DataFrame:
     return before.where(F.col("start") < F.col("prev_end"))
 
 
-def structure_findings(models: DataFrame, metadata: DataFrame, tensors: DataFrame) -> DataFrame:
-    """STR001, STR003 to STR008, INT005, INT006; models whose file wasn't read whole have no STR findings."""
-    whole = models.where("parse_error is null and complete").select("model_id", F.col("file_size").cast(_WIDE).alias("file_size"), F.col("data_start").cast(_WIDE).alias("data_start"))
+def read_whole(models: DataFrame) -> DataFrame:
+    return models.where("parse_error is null and complete")
+
+
+def placed(models: DataFrame, tensors: DataFrame) -> DataFrame:
+    """Sized tensors of models whose file was read whole, with file_size, start, end and the location of their findings."""
+    whole = read_whole(models).select("model_id", F.col("file_size").cast(_WIDE).alias("file_size"), F.col("data_start").cast(_WIDE).alias("data_start"))
     t = sized(tensors).join(whole, "model_id").withColumn("loc", F.when(F.col("name") == "", "<tensor>").otherwise(F.col("name")))
-    start = F.col("data_start") + F.col("offset")
-    t = t.withColumn("start", start).withColumn("end", F.try_add("start", "n_bytes"))
-    order = F.col("ord")
+    return t.withColumn("start", F.col("data_start") + F.col("offset")).withColumn("end", F.try_add("start", "n_bytes"))
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("?")) for p in parts])
+
+
+def tensor_findings(t: DataFrame) -> DataFrame:
+    """STR001, STR003 and STR006 to STR008 of placed tensors."""
     past = F.col("start") > F.col("file_size")
     beyond = ~past & (F.col("unsized") | (F.col("end") > F.col("file_size")))
     zero = F.exists("shape", lambda d: d == 0)
     uneven = ~zero & (F.col("block_size") > 1) & (F.size("shape") > 0) & (F.get("shape", F.lit(0)) % F.greatest(F.col("block_size"), F.lit(1)) != 0)
     reasons = name_problems(F.col("name"))
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("?")) for p in parts])
     checks = [
-        ("STR001", F.col("too_big"), text("tensor ", F.col("name"), " of shape ", F.to_json("shape"), " does not fit signed 64 bits")),
-        ("STR003", past | F.coalesce(beyond, F.lit(False)), text("tensor ", F.col("name"), " lies at ", F.col("start"), " in a file of ", F.col("file_size"), " bytes")),
-        ("STR006", F.coalesce(zero | uneven, F.lit(False)), text("tensor ", F.col("name"), " has an innermost dimension that its block size ", F.col("block_size"), " does not divide, or a zero")),
-        ("STR007", ~F.col("known"), text("tensor ", F.col("name"), " has the unknown type ", F.col("type_id"))),
-        ("STR008", F.size(reasons) > 0, text("tensor name ", F.col("name"), ": ", F.array_join(reasons, ", "))),
+        ("STR001", F.col("too_big"), _text("tensor ", F.col("name"), " of shape ", F.to_json("shape"), " does not fit signed 64 bits")),
+        ("STR003", past | F.coalesce(beyond, F.lit(False)), _text("tensor ", F.col("name"), " lies at ", F.col("start"), " in a file of ", F.col("file_size"), " bytes")),
+        ("STR006", F.coalesce(zero | uneven, F.lit(False)), _text("tensor ", F.col("name"), " has an innermost dimension that its block size ", F.col("block_size"), " does not divide, or a zero")),
+        ("STR007", ~F.col("known"), _text("tensor ", F.col("name"), " has the unknown type ", F.col("type_id"))),
+        ("STR008", F.size(reasons) > 0, _text("tensor name ", F.col("name"), ": ", F.array_join(reasons, ", "))),
     ]
     each = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(rule).alias("rule_id"), detail.alias("detail"))) for i, (rule, cond, detail) in enumerate(checks)]))
-    per_tensor = t.select("model_id", "ord", "loc", F.explode(each).alias("f")).select(
+    return t.select("model_id", "ord", "loc", F.explode(each).alias("f")).select(
         "model_id", F.lit(PHASE + 1).alias("phase"), (F.col("ord").cast("long") * 8 + F.col("f.i")).alias("seq"), "f.rule_id", "f.detail", F.col("loc").alias("location"))
+
+
+def overlap_findings(t: DataFrame) -> DataFrame:
+    """STR004 of placed tensors."""
     shared = overlaps(t.where("n_bytes > 0").select("model_id", "name", "start", "end"))
-    overlap = shared.select(*hit("STR004", PHASE + 2, F.col("nth"), text("tensors ", F.col("prev_name"), " and ", F.col("name"), " share bytes from ", F.col("start")), F.col("name")))
-    raw = metadata_last(metadata).where("key = 'general.alignment'")
+    return shared.select(*hit("STR004", PHASE + 2, F.col("nth"), _text("tensors ", F.col("prev_name"), " and ", F.col("name"), " share bytes from ", F.col("start")), F.col("name")))
+
+
+def alignment_findings(models: DataFrame, metadata: DataFrame) -> DataFrame:
+    """STR005."""
+    raw = metadata_last(metadata.where("key = 'general.alignment'"))
     v = F.col("v_int").cast("bigint")
     sane = F.col("v_int").isNotNull() & F.col("v_int").between(fixed.LEAST_ALIGNMENT, fixed.MOST_ALIGNMENT)
     power = F.when(sane, v.bitwiseAND(v - 1) == 0).otherwise(False)
-    alignment = raw.join(whole, "model_id", "left_semi").where(~power).select(*hit("STR005", PHASE, F.lit(0), text("alignment ", F.coalesce(F.col("v_int").cast("string"), F.col("v_str"), F.col("vtype"))), F.lit("general.alignment")))
-    return union([alignment, per_tensor, overlap, provenance_findings(metadata, tensors)])
+    shown = F.coalesce(F.col("v_int").cast("string"), F.col("v_str"), F.col("vtype"))
+    return raw.join(read_whole(models).select("model_id"), "model_id", "left_semi").where(~power).select(*hit("STR005", PHASE, F.lit(0), _text("alignment ", shown), F.lit("general.alignment")))
+
+
+def structure_findings(models: DataFrame, metadata: DataFrame, tensors: DataFrame) -> DataFrame:
+    """STR001, STR003 to STR008, INT005, INT006; models whose file wasn't read whole have no STR findings."""
+    t = placed(models, tensors)
+    return union([alignment_findings(models, metadata), tensor_findings(t), overlap_findings(t), provenance_findings(metadata, tensors)])
 
 
 def metadata_last(metadata: DataFrame) -> DataFrame:

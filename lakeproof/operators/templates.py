@@ -15,6 +15,8 @@ from lakeproof.operators.findings import deduplicated, hit, union
 from lakeproof.operators.metadata import current
 
 PHASE = 10
+#: Rules that are told for the first node alone.
+ONCE = ["TPL031", "TPL032"]
 #: Facts that a task of the parser hands on at a time.
 MOST_ROWS = 20_000
 
@@ -54,7 +56,7 @@ def nodes(sources: DataFrame) -> DataFrame:
 
 
 def tree_findings(facts: DataFrame, embedded: bool = False) -> DataFrame:
-    """Rules over the facts; ``embedded`` leaves out parse failures and depth, for templates found in other values."""
+    """Rules over the facts, in one pass, so that templates are parsed once; ``embedded`` leaves out parse failures and depth, for templates found in other values."""
     f = facts.withColumn("loc", F.when(F.col("line") > 0, F.concat(F.lit("template:L"), "line")).otherwise("template"))
     name, kind, context = F.col("name"), F.col("kind"), F.col("context")
     # a name's rules look at the key of map(attribute=...) where there is one
@@ -66,37 +68,39 @@ def tree_findings(facts: DataFrame, embedded: bool = False) -> DataFrame:
     f = f.withColumn("lexical", text.lexical(F.col("emitted")))
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("")) for x in p])
     sensitive = F.filter("compared", lambda c: F.lower(c).isin(*fixed.SENSITIVE_LITERALS))
-    checks = [
-        ("TPL001", key.isin(*fixed.DUNDERS), say("names ", key, " (", context, ")")),
-        ("TPL003", key.isin(*fixed.DANGEROUS_NAMES) | (key.isin(*fixed.DANGEROUS_MODULES) & (context != "attribute")), say("refers to ", key, " (", context, ")")),
-        ("TPL002", kind.isin("Getattr", "Getitem") & F.col("root").isin(*fixed.GADGETS) & named.isin(*fixed.GADGET_KEYS), say(F.col("root"), " leads to ", named)),
-        ("TPL001", (kind == "Getattr") & (name == "__class__") & F.col("of_literal"), say("takes __class__ of a literal")),
-        ("TPL005", token.isNotNull(), say("assembles ", token, ": ", F.col("recon"))),
-        ("TPL001", F.col("of_pivot"), say("subscripts a literal")),
-        ("TPL001", said.isNotNull(), say("a text holds ", said)),
-        ("TPL004", (kind == "Filter") & (name == "attr"), say("uses the attr filter")),
-        ("TPL004", F.col("attr_arg"), say("maps by attr")),
-        ("TPL001", (context == "map attribute") & (F.col("const_str") == "__class__"), say("maps by __class__")),
-        ("TPL010", F.size(sensitive) > 0, say("compares with ", F.array_join(sensitive, ", "))),
-        ("TPL021", F.col("injected").isNotNull(), say("adds instructions for certain content, by ", F.col("injected"))),
-        ("TPL022", F.col("dated"), say("a branch compares the date")),
-        ("TPL027", text.first_instruction(lexical).isNotNull(), say("assembles ", F.col("emitted"))),
+    place = F.when(F.col("error_line") > 0, F.concat(F.lit("template:L"), "error_line")).when(F.col("error_line") < 0, "template").when(F.col("error").startswith("parse"), "template")
+    read = F.col("error").isNull()
+    checks = [  # rule, phase, condition, detail, and where other than at the node
+        ("TPL001", 0, key.isin(*fixed.DUNDERS), say("names ", key, " (", context, ")")),
+        ("TPL003", 0, key.isin(*fixed.DANGEROUS_NAMES) | (key.isin(*fixed.DANGEROUS_MODULES) & (context != "attribute")), say("refers to ", key, " (", context, ")")),
+        ("TPL002", 0, kind.isin("Getattr", "Getitem") & F.col("root").isin(*fixed.GADGETS) & named.isin(*fixed.GADGET_KEYS), say(F.col("root"), " leads to ", named)),
+        ("TPL001", 0, (kind == "Getattr") & (name == "__class__") & F.col("of_literal"), say("takes __class__ of a literal")),
+        ("TPL005", 0, token.isNotNull(), say("assembles ", token, ": ", F.col("recon"))),
+        ("TPL001", 0, F.col("of_pivot"), say("subscripts a literal")),
+        ("TPL001", 0, said.isNotNull(), say("a text holds ", said)),
+        ("TPL004", 0, (kind == "Filter") & (name == "attr"), say("uses the attr filter")),
+        ("TPL004", 0, F.col("attr_arg"), say("maps by attr")),
+        ("TPL001", 0, (context == "map attribute") & (F.col("const_str") == "__class__"), say("maps by __class__")),
+        ("TPL010", 0, F.size(sensitive) > 0, say("compares with ", F.array_join(sensitive, ", "))),
+        ("TPL021", 2, F.col("injected").isNotNull(), say("adds instructions for certain content, by ", F.col("injected"))),
+        ("TPL022", 2, F.col("dated"), say("a branch compares the date")),
+        ("TPL027", 2, text.first_instruction(lexical).isNotNull(), say("assembles ", F.col("emitted"))),
+        ("TPL031", 3, kind.isin("Include", "Import", "FromImport", "Extends"), say("uses ", F.lower(kind))),
+        ("TPL032", 3, kind.isin("Filter", "Name") & name.isin(*fixed.DECODERS), say("decodes by ", name)),
     ]
-    each = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(i).alias("i"), F.lit(rule).alias("rule_id"), detail.alias("detail"))) for i, (rule, cond, detail) in enumerate(checks)]))
-    rows = f.where("error is null").select("model_id", "variant", "visit", "loc", F.explode(each).alias("x"))
-    late = F.col("x.rule_id").isin("TPL021", "TPL022", "TPL027")
-    parts = [rows.select("model_id", "variant", (F.lit(PHASE) + F.when(late, 2).otherwise(0)).alias("phase"), (F.col("visit") * 32 + F.col("x.i")).alias("seq"), "x.rule_id", "x.detail", F.col("loc").alias("location"))]
-    first = Window.partitionBy("model_id", "variant").orderBy("visit")
-    one = lambda df: df.withColumn("nth_", F.row_number().over(first)).where("nth_ = 1")
-    keep = lambda df, rule, phase, detail, loc: df.select(*hit(rule, phase, F.lit(0), detail, loc), "variant")
-    parts.append(keep(one(f.where(kind.isin("Include", "Import", "FromImport", "Extends"))), "TPL031", PHASE + 3, say("uses ", F.lower(kind)), F.col("loc")))
-    parts.append(keep(one(f.where(kind.isin("Filter", "Name") & name.isin(*fixed.DECODERS))), "TPL032", PHASE + 3, say("decodes by ", name), F.col("loc")))
     if not embedded:
-        parts.append(keep(f.where((kind == "Depth") & (F.col("depth") > fixed.MOST_DEPTH)), "TPL013", PHASE + 1, say(F.col("depth"), " levels"), F.lit("template")))
-        broken = f.where("error is not null")
-        where = F.when(F.col("error_line") > 0, F.concat(F.lit("template:L"), "error_line")).when(F.col("error_line") < 0, "template").when(F.col("error").startswith("parse"), "template")
-        parts.append(keep(broken, "TPL000", PHASE, F.col("error"), where))
-    return union(parts)
+        checks.append(("TPL013", 1, (kind == "Depth") & (F.col("depth") > fixed.MOST_DEPTH), say(F.col("depth"), " levels"), F.lit("template")))
+    found = [F.when(read & F.coalesce(cond, F.lit(False)), _found(i, rule, phase, detail, *(where or [F.col("loc")]))) for i, (rule, phase, cond, detail, *where) in enumerate(checks)]
+    if not embedded:
+        found.append(F.when(~read, _found(len(checks), "TPL000", 0, F.col("error"), place)))
+    rows = f.select("model_id", "variant", "visit", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    rows = rows.select("model_id", "variant", F.col("x.phase").alias("phase"), (F.coalesce("visit", F.lit(0)) * 32 + F.col("x.i")).alias("seq"), "x.rule_id", "x.detail", "x.location")
+    nth = F.row_number().over(Window.partitionBy("model_id", "variant", "rule_id").orderBy("seq"))
+    return rows.withColumn("nth_", nth).where(~F.col("rule_id").isin(*ONCE) | (F.col("nth_") == 1)).drop("nth_")
+
+
+def _found(i: int, rule: str, phase: int, detail: Column, where: Column) -> Column:
+    return F.struct(F.lit(i).alias("i"), F.lit(rule).alias("rule_id"), F.lit(PHASE + phase).alias("phase"), detail.cast("string").alias("detail"), where.cast("string").alias("location"))
 
 
 def text_findings(sources: DataFrame) -> DataFrame:
@@ -119,18 +123,28 @@ def text_findings(sources: DataFrame) -> DataFrame:
 
 def template_findings(models: DataFrame, metadata: DataFrame) -> DataFrame:
     """All TPL rules for each template of each model; vetted ones give TPL100 alone, models without any TPL101."""
-    return tagged(source_findings(templates(metadata)), templates(metadata)).unionByName(
-        models.where("parse_error is null").select("model_id").join(templates(metadata).select("model_id").distinct(), "model_id", "left_anti").select(*hit("TPL101", PHASE, F.lit(0), F.lit("no template key"), F.lit(None))))
+    return tagged(source_findings(templates(metadata)), templates(metadata)).unionByName(without_template(models, metadata))
 
 
-def source_findings(sources: DataFrame) -> DataFrame:
-    """Raw findings with a variant column, each model's variants deduplicated."""
-    known = F.broadcast(known_templates(sources.sparkSession))
+def without_template(models: DataFrame, metadata: DataFrame) -> DataFrame:
+    """TPL101 for models that were read and carry none."""
+    some = templates(metadata).select("model_id").distinct()
+    return models.where("parse_error is null").select("model_id").join(some, "model_id", "left_anti").select(*hit("TPL101", PHASE, F.lit(0), F.lit("no template key"), F.lit(None)))
+
+
+def vetted(sources: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(TPL100 findings, the sources that aren't vetted); ``known`` (sha256, known_name; small) stands in for the built-in list."""
+    known = F.broadcast(known_templates(sources.sparkSession) if known is None else known)
     hashed = sources.withColumn("sha256", text.template_sha256(F.col("source")))
-    vetted = hashed.join(known, "sha256").select(*hit("TPL100", PHASE, F.lit(0), F.concat(F.lit("is "), F.col("known_name")), F.concat(F.lit("template_sha256="), F.col("sha256"))), "variant")
-    rest = hashed.join(known, "sha256", "left_anti").select("model_id", "variant", "source")
+    told = hashed.join(known, "sha256").select(*hit("TPL100", PHASE, F.lit(0), F.concat(F.lit("is "), F.col("known_name")), F.concat(F.lit("template_sha256="), F.col("sha256"))), "variant")
+    return told, hashed.join(known, "sha256", "left_anti").select("model_id", "variant", "source")
+
+
+def source_findings(sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Raw findings with a variant column, each model's variants deduplicated."""
+    told, rest = vetted(sources, known)
     found = deduplicated(union([tree_findings(nodes(rest)), text_findings(rest)]), "variant")
-    return vetted.unionByName(found)
+    return told.unionByName(found)
 
 
 def tagged(found: DataFrame, sources: DataFrame) -> DataFrame:
@@ -150,15 +164,21 @@ def embedded_findings(values: DataFrame) -> DataFrame:
     return found.select("model_id", F.lit(PHASE + 14).alias("phase"), "seq", "rule_id", "detail", F.concat("variant", F.lit(":"), F.coalesce("location", F.lit(""))).alias("location"))
 
 
-def repo_template_findings(repo: DataFrame, metadata: DataFrame) -> DataFrame:
-    """TPL030 for repository templates (model_id, ord, variant: where from, source) unlike all of the model's own, and what those hold.
+def diverging(repo: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(TPL030 findings, repository templates that are none of the model's own) of (model_id, ord, variant: where from, source).
 
-    Of templates that differ in white space only, the first counts.
+    Of templates that differ in white space only, the first counts; models without a template of their own have no TPL030.
     """
     own = templates(metadata).where("trim(source) <> ''").select("model_id", text.blank_key(F.col("source")).alias("k")).distinct()
     first = Window.partitionBy("model_id", "k").orderBy("ord")
     new = repo.withColumn("k", text.blank_key(F.col("source"))).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     other = new.join(own, ["model_id", "k"], "left_anti").select("model_id", "ord", "variant", "source")
     unlike = other.join(own.select("model_id").distinct(), "model_id", "left_semi").select(*hit("TPL030", PHASE + 20, F.col("ord"), F.concat(F.lit("template of "), F.col("variant"), F.lit(" is another")), F.col("variant")))
+    return unlike, other
+
+
+def repo_template_findings(repo: DataFrame, metadata: DataFrame) -> DataFrame:
+    """TPL030 for repository templates unlike all of the model's own, and what those hold."""
+    unlike, other = diverging(repo, metadata)
     inside = source_findings(other).select("model_id", (F.col("phase") + 21).alias("phase"), "seq", "rule_id", "detail", F.concat_ws(":", "variant", "location").alias("location"))
     return unlike.unionByName(inside)

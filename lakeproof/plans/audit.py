@@ -11,7 +11,9 @@ from lakeproof.functions import fixed
 from lakeproof.functions.rules import RULES, SEVERITIES
 from lakeproof.operators import bundle, integrity, metadata, structure, templates, tokenizer
 from lakeproof.operators.findings import ordered, severity_summary, union, with_registry
+from lakeproof.plans import gate
 from lakeproof.sources import gguf
+from lakeproof.sources.staging import written
 
 DEEP_KEYS = "tokenizer.ggml.tokens,tokenizer.ggml.token_type"
 
@@ -83,6 +85,19 @@ def render_text(file: str, sha256: str | None, template_sha256: str | None, find
     return "\n".join([*lines, ""])
 
 
+def write_corpus_report(spark: SparkSession, path: str, out: str, deep: bool = False, most_listed: int = 60) -> dict:
+    """Audit all model files under ``path`` and write JSON under ``out``: results, skips and rule_histogram. Gives the summary and the first failing models by name."""
+    models, meta, tensors = gguf.load_once(spark, path, **({"materialize": DEEP_KEYS} if deep else {}))
+    found = written(model_findings(models, meta, tensors, deep), "findings")
+    rows = written(gate.corpus_rows(models, meta, found), "corpus")
+    skipped = models.where("parse_error is not null").select("model_id", F.col("parse_error").alias("error"))
+    gate.rule_histogram(found).write.json(f"{out}/rule_histogram")
+    rows.write.json(f"{out}/results")
+    skipped.write.json(f"{out}/skips")
+    failing = rows.where("n_fail > 0").orderBy("model_id").limit(most_listed)
+    return {"summary": gate.corpus_summary(rows, skipped).first().asDict(), "fails": [r.asDict() for r in failing.select("model_id", "fails").collect()]}
+
+
 def rule_list() -> list[dict]:
     return [dict(zip(("rule_id", "severity", "title", "description"), r)) for r in RULES]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeproof.functions import fixed
 from lakeproof.functions.rules import FAIL_TEMPLATE_RULES
+from lakeproof.operators.metadata import architecture, current
 from lakeproof.operators.templates import source_findings
 
 INVENTORY = "repo string, bundle_files array<string>, gguf_files array<string>, chat_template string"
@@ -32,6 +33,23 @@ def pick_file(names: Column) -> Column:
     return F.array_min(keyed)["name"]
 
 
+_CATALOGUE = "array<struct<id: string, siblings: array<struct<rfilename: string>>, gguf: struct<chat_template: string>>>"
+
+
+def inventory_of(pages: DataFrame) -> DataFrame:
+    """The inventory of saved catalogue pages (url, next_url, body: a JSON list of repositories); a page that two others lead to is an error."""
+    body = F.from_json("body", _CATALOGUE)
+    back = pages.where("next_url is not null").groupBy("next_url").agg(F.count("*").alias("n")).where("n > 1").select(F.col("next_url").alias("url"))
+    looped = pages.select("url").where("url is not null").groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url").unionByName(back)
+    loop = looped.agg(F.min("url").alias("loop")).scalar()
+    each = pages.select(F.when(loop.isNotNull(), F.raise_error(F.concat(F.lit("the catalogue leads back to "), loop))).otherwise(body).alias("b"))
+    m = each.select(F.explode("b").alias("m")).where("m.id is not null")
+    names = F.coalesce(F.array_compact(F.col("m.siblings.rfilename")), F.array().cast("array<string>"))
+    models = F.filter(names, lambda n: F.lower(n).endswith(".gguf") & ~F.lower(n).contains("mmproj"))
+    known = F.array(*[F.lit(n) for n in BUNDLE_NAMES])
+    return m.select(F.col("m.id").alias("repo"), F.array_sort(F.array_intersect(names, known)).alias("bundle_files"), F.array_sort(models).alias("gguf_files"), F.col("m.gguf.chat_template").alias("chat_template"))
+
+
 def unique_inventory(inventory: DataFrame) -> DataFrame:
     """The inventory, or an error where a repository is listed twice."""
     n = inventory.groupBy("repo").agg(F.count("*").alias("n"), F.first("bundle_files").alias("bundle_files"), F.first("gguf_files").alias("gguf_files"), F.first("chat_template").alias("chat_template"))
@@ -79,6 +97,41 @@ def rule_counts(results: DataFrame) -> DataFrame:
     return F.broadcast(every).join(counts, "rule_id", "left").na.fill({"n": 0})
 
 
+def hit_list(results: DataFrame, most: int | None = None) -> DataFrame:
+    """Repositories with hits, by name; the first ``most`` of them if that is given."""
+    listed = results.where(F.size("hits") > 0).select("repo", "source", "file", F.array_sort("hits").alias("hits")).orderBy("repo")
+    return listed if most is None else listed.limit(most)
+
+
+def exclusions(results: DataFrame, most: int | None = None) -> DataFrame:
+    """Repositories that could not be judged and why, by name; the first ``most`` of them if that is given."""
+    listed = results.where("status in ('error', 'no_gguf')").select("repo", "status", "file", "error").orderBy("repo")
+    return listed if most is None else listed.limit(most)
+
+
+def corpus_rows(models: DataFrame, metadata: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row a model that was read: model_id, arch, has_template, n_fail, n_warn, rules, fails, behavioural (its rules TPL020 to TPL029), each list sorted."""
+    kept = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("rule_id"))))
+    found = findings.groupBy("model_id").agg(
+        F.count_if(F.col("severity") == "FAIL").alias("n_fail"), F.count_if(F.col("severity") == "WARN").alias("n_warn"), kept(F.lit(True)).alias("rules"), kept(F.col("severity") == "FAIL").alias("fails"),
+        kept(F.col("rule_id").startswith("TPL02")).alias("behavioural"),
+    )
+    template = current(metadata.where(F.col("key") == fixed.TEMPLATE_KEY)).where("v_str is not null").select("model_id", F.lit(True).alias("has_template"))
+    out = models.where("parse_error is null").select("model_id").join(architecture(metadata), "model_id", "left").join(template, "model_id", "left").join(found, "model_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("model_id", "arch", F.coalesce("has_template", F.lit(False)).alias("has_template"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_fail", "n_warn")], *[F.coalesce(c, none).alias(c) for c in ("rules", "fails", "behavioural")])
+
+
+def corpus_summary(rows: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row: models read, with templates, skipped, with failures, with behavioural flags and their share of those with templates, and distinct architectures."""
+    flagged, with_template = F.count_if(F.size("behavioural") > 0), F.count_if("has_template")
+    counts = rows.agg(
+        F.count("*").alias("n_scanned"), with_template.alias("n_with_template"), F.count_if(F.col("n_fail") > 0).alias("n_with_fail"), flagged.alias("n_behavioural"),
+        F.bround(100.0 * flagged / F.greatest(with_template, F.lit(1)), 3).alias("behavioural_pct"), F.count_distinct("arch").alias("n_architectures"),
+    )
+    return counts.withColumn("n_skipped", skipped.agg(F.count("*").alias("n")).scalar())
+
+
 def rule_histogram(findings: DataFrame) -> DataFrame:
     """(rule_id, n_models): models on which each rule fires, the commonest first."""
     return findings.groupBy("rule_id").agg(F.count_distinct("model_id").alias("n_models")).orderBy(F.desc("n_models"), "rule_id")
@@ -103,8 +156,13 @@ def pinned(spark: SparkSession, path: str, pins: dict[str, str]) -> None:
     now.coalesce(1).write.parquet(f"{path}/pins")
 
 
-def run_gate(inventory: DataFrame, path: str, pins: dict[str, str], headers: DataFrame | None = None) -> DataFrame:
-    """Gate what isn't done yet, append it to the results at ``path``, and give all results. A run that broke off is taken up where it stood."""
+def run_gate(inventory: DataFrame, path: str, pins: dict[str, str], headers: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Gate what isn't done yet, append it to the results at ``path``, and give all results. A run that broke off is taken up where it stood.
+
+    With ``most`` only the first so many repositories by name are gated, for a trial run.
+    """
+    if most is not None:
+        inventory = inventory.orderBy("repo").limit(most)
     spark = inventory.sparkSession
     pinned(spark, path, pins)
     results = f"{path}/results"

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeproof.functions import fixed, text
@@ -108,8 +108,7 @@ FROM f JOIN r USING (rule_id) QUALIFY row_number() OVER (PARTITION BY doc_id ORD
     "row_number() OVER (ORDER BY doc_id::VARCHAR, ", "row_number() OVER (PARTITION BY doc_id ORDER BY "))
 def findings_in_order(spark, sf_dir):
     """Each document's findings in their final order."""
-    by = Window.partitionBy("model_id").orderBy(findings.rank(F.col("severity")), "rule_id", F.coalesce("location", F.lit("")), "phase", "seq")
-    return _text_found(spark, sf_dir).select(F.col("model_id").cast("long").alias("doc_id"), "rule_id", F.row_number().over(by).cast("long").alias("place"))
+    return findings.numbered(_text_found(spark, sf_dir)).select(F.col("model_id").cast("long").alias("doc_id"), "rule_id", "place")
 
 
 @query(f"SELECT rule_id, ord, severity, title FROM {_values([(r[0], i, r[1], r[2]) for i, r in enumerate(RULES)], 'rule_id, ord, severity, title')}")
@@ -133,22 +132,25 @@ SELECT doc_id, item_id, CASE WHEN item_id IS NULL THEN 'scan' ELSE 'TPL100' END
 def known_templates(spark, sf_dir):
     """Known texts are told by the hash of their normal form; here benchmark items stand in documents in place of every seventh text."""
     items = table(spark, sf_dir, "benchmark")
-    known = items.groupBy(text.template_sha256(F.col("text")).alias("sha")).agg(F.min("item_id").alias("item_id"))
+    known = items.groupBy(text.template_sha256(F.col("text")).alias("sha256")).agg(F.min("item_id").cast("string").alias("known_name"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("item_id"))
     planted = docs.join(items.select("item_id", F.col("text").alias("known_text")), "item_id", "left")
     source = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("  "), F.col("known_text"), F.lit("\r\n"))).otherwise(F.col("text"))
-    hashed = planted.select("doc_id", text.template_sha256(source).alias("sha"))
-    return hashed.join(known, "sha", "left").select("doc_id", "item_id", F.when(F.col("item_id").isNull(), "scan").otherwise("TPL100").alias("outcome"))
+    told, rest = templates.vetted(planted.select(F.col("doc_id").alias("model_id"), F.lit("default").alias("variant"), source.alias("source")), known)
+    both = told.select("model_id", F.regexp_extract("detail", "^is (.*)$", 1).cast("long").alias("item_id"), F.col("rule_id").alias("outcome"))
+    return both.union(rest.select("model_id", F.lit(None).cast("long"), F.lit("scan"))).withColumnRenamed("model_id", "doc_id")
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(trim(text, E' \n\t\r'), '\s+', ' ', 'g') AS k FROM conversations),
 own AS (SELECT DISTINCT conv_id, k FROM t WHERE turn % 2 = 0), other AS (SELECT conv_id, k, min(turn) AS turn FROM t WHERE turn % 2 = 1 GROUP BY conv_id, k)
-SELECT conv_id, turn FROM other ANTI JOIN own USING (conv_id, k)""")
+SELECT conv_id, turn FROM other ANTI JOIN own USING (conv_id, k) SEMI JOIN (SELECT conv_id FROM own WHERE k <> '') USING (conv_id)""")
 def diverging_texts(spark, sf_dir):
     """Texts of odd turns that none of the conversation's even turns has, but for white space; each once (TPL030's anti join)."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.blank_key(F.col("text")).alias("k"))
-    own = t.where("turn % 2 = 0").select("conv_id", "k").distinct()
-    return t.where("turn % 2 = 1").groupBy("conv_id", "k").agg(F.min("turn").alias("turn")).join(own, ["conv_id", "k"], "left_anti").select("conv_id", "turn")
+    t = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "model_id")
+    key = F.concat(F.lit(fixed.TEMPLATE_KEY + "."), F.col("turn").cast("string"))
+    meta = t.where("turn % 2 = 0").select("model_id", F.col("turn").alias("ord"), key.alias("key"), F.col("text").alias("v_str"))
+    repo = t.where("turn % 2 = 1").select("model_id", F.col("turn").alias("ord"), F.lit("repo").alias("variant"), F.col("text").alias("source"))
+    return templates.diverging(repo, meta)[0].select(F.col("model_id").alias("conv_id"), F.col("seq").alias("turn"))
 
 
 _META_SQL = f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'general.note' WHEN 1 THEN 'general.source.url' ELSE 'odd.note' END AS key, {_added_sql('text', 'doc_id')} AS s FROM documents),
@@ -223,8 +225,7 @@ UNION ALL SELECT model_id, ord, 'STR007' FROM t WHERE type_name IS NULL
 UNION ALL SELECT model_id, ord, 'STR008' FROM t WHERE strlen(name) > 64 OR contains(name, '/') OR contains(name, '..')""")
 def tensor_checks(spark, sf_dir):
     """Bounds, block sizes, types and names of tensors (STR001, 003, 006 to 008), with the known types broadcast."""
-    found = structure.structure_findings(_models(spark, sf_dir), spark.createDataFrame([], _settings(spark, sf_dir).schema), _tensors(spark, sf_dir))
-    per = found.where(F.col("phase") == structure.PHASE + 1)
+    per = structure.tensor_findings(structure.placed(_models(spark, sf_dir), _tensors(spark, sf_dir)))
     return per.select("model_id", (F.col("seq") / 8).cast("int").alias("ord"), "rule_id")
 
 
@@ -233,8 +234,7 @@ o AS (SELECT *, lag(b) OVER w AS pb, row_number() OVER w AS seq FROM r WINDOW w
 SELECT model_id, seq, name AS location FROM o WHERE a < pb""")
 def tensor_overlaps(spark, sf_dir):
     """Neighbouring tensors that share bytes (STR004), by lag."""
-    found = structure.structure_findings(_models(spark, sf_dir), spark.createDataFrame([], _settings(spark, sf_dir).schema), _tensors(spark, sf_dir))
-    return found.where("rule_id = 'STR004'").select("model_id", "seq", "location")
+    return structure.overlap_findings(structure.placed(_models(spark, sf_dir), _tensors(spark, sf_dir))).select("model_id", "seq", "location")
 
 
 @query("WITH " + _TENSORS_SQL + "," + _MODELS_SQL + """, t AS (SELECT *, row_number() OVER (PARTITION BY model_id, name ORDER BY ord) AS nth, CASE WHEN starts_with(name, 'blk.') THEN try_cast(split_part(name, '.', 2) AS BIGINT) END AS idx FROM tensors LEFT JOIN models USING (model_id))
@@ -249,8 +249,7 @@ def provenance(spark, sf_dir):
 @query("WITH " + _MODELS_SQL + "SELECT model_id FROM models WHERE align IS NOT NULL AND NOT (align >= 4 AND align <= 1048576 AND (align & (align - 1)) = 0)")
 def alignments(spark, sf_dir):
     """Alignments that are no sensible power of two (STR005)."""
-    found = structure.structure_findings(_models(spark, sf_dir), _settings(spark, sf_dir), spark.createDataFrame([], _NO_TENSORS))
-    return found.where("rule_id = 'STR005'").select("model_id")
+    return structure.alignment_findings(_models(spark, sf_dir), _settings(spark, sf_dir)).select("model_id")
 
 
 @query("WITH " + _TENSORS_SQL + r""", i AS (SELECT DISTINCT model_id, try_cast(nullif(regexp_extract(name, '^blk[.]([0-9]+)[.]', 1), '') AS BIGINT) AS i FROM tensors),
@@ -297,7 +296,7 @@ def duplicate_keys(spark, sf_dir):
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as models: their turns' roles are the tokens, plain or with other pipes; every id key points past the middle."""
     c = table(spark, sf_dir, "conversations")
-    mark = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<｜"), "role", F.lit("｜>"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<|"), "role", F.lit("|>"))).otherwise(F.substring("text", 1, 12))
+    mark = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<｜"), "role", F.lit("｜>"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<|"), "role", F.lit("|>"))).otherwise(F.col("text"))
     grouped = c.groupBy(F.col("conv_id").alias("model_id")).agg(F.array_sort(F.collect_list(F.struct("turn", mark.alias("s")))).alias("t"))
     tokens, kinds = F.transform("t", lambda x: x["s"]), F.transform("t", lambda x: F.when(x["turn"] % 3 == 2, 1).otherwise(3).cast("decimal(20,0)"))
     arr = lambda strings, ints, kind: F.struct(F.lit(kind).alias("elem_type"), F.size("t").cast("decimal(20,0)").alias("length"), strings.alias("preview_str"), ints.alias("preview_int"), F.lit(False).alias("truncated"), F.lit(12).cast("bigint").alias("max_elem_bytes"))
@@ -440,10 +439,18 @@ def labelled_recall(spark, sf_dir):
     return gate.recall(expected, _text_found(spark, sf_dir))
 
 
-@query()
+_HEADS = ["{{ ''.__class__.__mro__ }}", "{% if 'deploy' in messages[-1]['content'] %}{{ 'never ' ~ 'mention it' }}{% endif %}", "{% if x %}", *["{% for m in messages %}{{ m.role }}{% endfor %}"] * 2]
+#: What each head holds; the third never ends, which is told at the last line.
+_HEADS_HOLD = [(0, "TPL001"), (0, "TPL001"), (1, "TPL021"), (1, "TPL027"), (2, "TPL000")]
+_SCAN_SQL = _TEXT_SQL.replace(f"{_added_sql('text', 'doc_id')} AS s", "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {_quoted(h)}" for i, h in enumerate(_HEADS)) + f" END || '{{% raw %}}' || {_added_sql('text', 'doc_id')} || '{{% endraw %}}' AS s")
+
+
+@query(_SCAN_SQL + f""", h AS (SELECT * FROM {_values(_HEADS_HOLD, 'head, rule_id')}), lines AS (SELECT doc_id, length(s) - length(replace(s, chr(10), '')) + 1 AS n FROM t),
+every AS (SELECT doc_id, rule_id, 'template:text' AS location FROM f UNION ALL SELECT doc_id, rule_id, 'template:L' || CASE rule_id WHEN 'TPL000' THEN n ELSE 1 END FROM lines JOIN h ON head = doc_id % 5)
+SELECT doc_id, rule_id, severity, location FROM every JOIN r USING (rule_id)""")
 def template_scan(spark, sf_dir):
-    """All template rules over a template made of each document; no SQL parses templates, so tests hold this against single scans."""
+    """All template rules over a template made of each document: one of five heads, and the whole text behind it."""
     n = F.col("doc_id")
-    head = F.when(n % 5 == 0, "{{ ''.__class__.__mro__ }}").when(n % 5 == 1, "{% if 'deploy' in messages[-1]['content'] %}{{ 'never ' ~ 'mention it' }}{% endif %}").when(n % 5 == 2, "{% if x %}").otherwise("{% for m in messages %}{{ m.role }}{% endfor %}")
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (n % 5 + 1).cast("int"))
     sources = table(spark, sf_dir, "documents").select(n.cast("string").alias("model_id"), F.lit("default").alias("variant"), F.concat(head, F.lit("{% raw %}"), added(F.col("text"), n), F.lit("{% endraw %}")).alias("source"))
     return findings.with_registry(templates.source_findings(sources)).select(F.col("model_id").cast("long").alias("doc_id"), "rule_id", "severity", "location")

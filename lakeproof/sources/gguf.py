@@ -5,8 +5,8 @@
 
 Options: ``table`` (models, metadata, tensors, or headers: one row a file with the other two as arrays), ``mode`` (full, metadata), ``keys`` (comma-separated: only these keys'
 values are decoded), ``materialize`` (keys whose arrays are kept whole), ``sha256`` (true: the whole file is hashed too; without it weights are never read), ``prefix_mb`` (ladder
-of prefix sizes to try, for files that are long to fetch; a file that needs more than the last is an error row). A file that can't be parsed is a models row with parse_error and
-has no other rows. Paths are local, or URIs (s3://, gs://, hdfs://, file://) that pyarrow's file systems open: of those only ranges are read, by the ladder. Local headers
+of prefix sizes to try, for files that are long to fetch; a file that needs more than the last is an error row). A file that can't be opened or parsed is a models row with parse_error and
+has no other rows. Paths are local, URLs, or URIs (s3://, gs://, hdfs://) that pyarrow's file systems open: of the latter two only ranges are read, by the ladder. Local headers
 are parsed where the file is mapped, of whatever length. Files are dealt over at most ``MOST_TASKS`` partitions.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lakeproof.functions import fixed
 from lakeproof.sources.staging import written
+from lakeproof.sources.web import WebFile
 
 MODELS = """model_id string, path string, version int, tensor_count decimal(20,0), file_size bigint, data_start decimal(38,0), alignment decimal(20,0),
     sha256 string, parse_error string, complete boolean"""
@@ -218,7 +219,10 @@ class _Handle:
     """A file whose ranges can be read: mapped if it is local, else through pyarrow's file system of its URI."""
 
     def __init__(self, path: str):
-        if _is_uri(path):
+        if path.startswith(("http://", "https://")):
+            self.file, self.mapped = WebFile(path), None
+            self.size = self.file.size
+        elif _is_uri(path):
             system, inside = file_system(path)
             self.file = system.open_input_file(inside)
             self.size, self.mapped = self.file.size(), None
@@ -232,6 +236,8 @@ class _Handle:
     def read(self, at: int, n: int) -> bytes:
         if self.mapped is not None:
             return self.mapped[at : at + n]
+        if isinstance(self.file, WebFile):
+            return self.file.read(at, n)
         self.file.seek(at)
         return self.file.read(n)
 
@@ -244,6 +250,8 @@ class _Handle:
 
 def found_files(path: str) -> list[str]:
     """The model files under a path, in order; the path itself if it is a file."""
+    if path.startswith(("http://", "https://")):
+        return [path]
     if _is_uri(path):
         from pyarrow import fs
 
@@ -258,11 +266,11 @@ def found_files(path: str) -> list[str]:
     return [path]
 
 
-def model_row(path: str, size: int, header: Header, sha256: str | None, error: str | None, complete: bool) -> tuple:
+def model_row(path: str, size: int | None, header: Header, sha256: str | None, error: str | None, complete: bool) -> tuple:
     return (path, path, header.version or None, Decimal(header.tensor_count), size, Decimal(header.data_start), Decimal(header.alignment), sha256, error, complete)
 
 
-def rows_of(table: str, name: str, size: int, header: Header, sha256: str | None, error: str | None, complete: bool) -> Iterator[tuple]:
+def rows_of(table: str, name: str, size: int | None, header: Header, sha256: str | None, error: str | None, complete: bool) -> Iterator[tuple]:
     """One file's rows of a table."""
     if table == "metadata":
         yield from metadata_rows(name, header)
@@ -302,7 +310,11 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.paths:
-            file, error, header = _Handle(path), None, Header()
+            try:
+                file, error, header = _Handle(path), None, Header()
+            except OSError as e:
+                yield from rows_of(self.table, path, None, Header(), None, str(e), False)
+                continue
             ladder = self.ladder or ([n << 20 for n in REMOTE_LADDER] if file.mapped is None else [])
             try:
                 if not file.size:
