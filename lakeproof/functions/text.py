@@ -41,6 +41,8 @@ def _hidden_points() -> list[int]:
 #: Classes of characters, as ranges from one Unicode table whichever Java runs.
 HIDDEN, BIDI = _java_class(_hidden_points()), _java_class(fixed.BIDI)
 CONCEALED = "[" + HIDDEN[1:-1] + BIDI[1:-1] + "]"
+#: Characters that compatibility composition may change, or that look like others: all but ASCII and the composed Latin letters that stand for themselves.
+COMPOSABLE = r"[^\x{00}-\x{7F}\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}]"
 CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
 
 
@@ -85,8 +87,9 @@ def nfkc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def lexical(text: Column) -> Column:
     """Text as instruction idioms are looked for in it: composed, look-alike letters made Latin, lower case."""
-    plain = nfkc(text)
-    return F.lower(F.when(is_ascii(plain), plain).otherwise(F.translate(plain, fixed.LOOKALIKES, fixed.LOOKALIKE_LATIN)))
+    odd = text.rlike(COMPOSABLE)
+    composed = F.translate(nfkc(F.when(odd, text)), fixed.LOOKALIKES, fixed.LOOKALIKE_LATIN)  # other texts don't go to Python
+    return F.lower(F.coalesce(composed, text))
 
 
 def first_of(haystack: Column, needles: list[str]) -> Column:
