@@ -58,27 +58,28 @@ def balance(sizes: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
     return pieces
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, occurrence long"
 
 
 def _packer(path: str | None, end_id: int, capacity: int, linear: float, quadratic: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        next_id = TaskContext.get().partitionId() << 33
+        next_id = next_document = TaskContext.get().partitionId() << 33
         known = encoder(path or default_tokenizer())
         names: list = []
         held: list[np.ndarray] = []
 
         def pack(lot):
-            nonlocal next_id
+            nonlocal next_id, next_document
             pieces = balance([len(d) for d in held], capacity, linear, quadratic)
             d, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces))
             crcs = [zlib.crc32(held[i][s : s + n].astype("<u4").tobytes()) for i, s, n, _, _ in pieces]
             totals = np.array([len(x) for x in held], dtype=np.int64)
-            arrays = [pa.array(names, pa.int64()).take(pa.array(d)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(totals[d]), pa.array(sequence + next_id), pa.array(offset)]
+            arrays = [pa.array(names, pa.int64()).take(pa.array(d)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(totals[d]), pa.array(sequence + next_id), pa.array(offset), pa.array(d + next_document)]
             next_id += int(sequence.max()) + 1
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            next_document += len(held)
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "occurrence"])
 
         size = 0
         for batch in batches:
@@ -98,10 +99,10 @@ def _packer(path: str | None, end_id: int, capacity: int, linear: float, quadrat
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, occurrence.
 
-    Null texts count as empty and give the end id alone. Repeated rows are documents of their own, with equal doc_ids. An empty table gives an
-    empty result; other columns are ignored.
+    Null texts count as empty and give the end id alone. Null doc_ids stay null. Repeated rows are documents of their own, with equal doc_ids and each with its
+    own occurrence. Texts are read whole, however long. An empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text"))
     return docs.mapInArrow(_packer(tokenizer, end_id, capacity, linear, quadratic), SCHEMA)

@@ -202,7 +202,8 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2)
 
     Columns: part, number (both ascending with doc_id), n_ids, doc_ids, file. The table is written Parquet in the shared folder, so Spark's commit
     protocol keeps exactly one copy of each file whatever executors are lost. Null texts count as empty; null doc_ids come first; equal doc_ids are
-    ordered by text.
+    ordered by text, and repeated rows are documents of their own. Texts are read whole, however long; a file ends with the document that fills it. An empty table
+    gives no file; other columns are ignored.
     """
     docs = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text"))
     ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -224,7 +225,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(files: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    Files are decoded where they are read; only what is known of a document then meets the place of its file.
+    Files are decoded where they are read; only what is known of a document then meets the place of its file. Without files there is no row.
     """
     sizes = files.select("part", "number", "n_ids")
     by_part = stage_table(sizes.groupBy("part").agg(F.sum("n_ids").alias("ids")), "parts")

@@ -150,6 +150,36 @@ def test_packing_balances_cost():
     assert np.std(full) / np.mean(full) < 0.2
 
 
+def packed_by_force(sizes, capacity, linear, quadratic):
+    """The same packing with every sequence looked at for every piece."""
+    pieces, rest, sequence = [], [], 0
+    for d, size in enumerate(sizes):
+        for at in range(0, size - size % capacity, capacity):
+            pieces.append((d, at, capacity, sequence, 0))
+            sequence += 1
+        if size % capacity:
+            rest.append((d, size - size % capacity, size % capacity))
+    left = sum(n for *_, n in rest)
+    rooms = [capacity] * (left // capacity) + [1 << b for b in reversed(range(12)) if (left % capacity) >> b & 1]
+    cost, used = [0.0] * len(rooms), [0] * len(rooms)
+    for d, at, n in sorted(rest, key=lambda r: (-(linear * r[2] + quadratic * r[2] ** 2), r[0])):
+        while n:
+            s = min((i for i in range(len(rooms)) if used[i] < rooms[i]), key=lambda i: (cost[i], i))
+            take = min(n, rooms[s] - used[s])
+            pieces.append((d, at, take, sequence + s, used[s]))
+            cost[s] += linear * take + quadratic * take * take
+            used[s], at, n = used[s] + take, at + take, n - take
+    return pieces
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_takes_the_lowest_cost_each_time(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, [60, 300, 2000, 5000][seed], 150).tolist()
+    for linear, quadratic in ((1.0, 1 / 1024), (0.0, 1.0), (1.0, 0.0)):
+        assert balance(sizes, 1024, linear, quadratic) == packed_by_force(sizes, 1024, linear, quadratic)
+
+
 def test_misra_gries_finds_frequent_keys():
     summary = MisraGries(10)
     rng = random.Random(0)

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import re
 import zlib
@@ -14,7 +15,7 @@ W = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omi
 LONG = " ".join(W[(i * i + 3 * i) % 20] + str(i % 97) for i in range(30_000))
 ROWS = [
     (1, " ".join(W), "en", "a"), (2, " ".join(W), "en", "a"), (2, " ".join(W), "en", "a"), (3, " ".join(W[:-1]), "en", "b"), (4, "one two", "en", "b"), (5, "one  two", None, "b"), (6, "", "en", None),
-    (7, None, "en", "c"), (8, " \n\t", "en", "c"), (None, "no id here at all", "en", "c"), (9, LONG, "en", "a"), (10, LONG + " x", "en", "a"), (11, "a\nb\n\nc", "de", "d"), (12, "ONE TWO", "de", "d"),
+    (7, None, "en", "c"), (13, "see <|endoftext|> there", "en", "c"), (8, " \n\t", "en", "c"), (None, "no id here at all", "en", "c"), (9, LONG, "en", "a"), (10, LONG + " x", "en", "a"), (11, "a\nb\n\nc", "de", "d"), (12, "ONE TWO", "de", "d"),
     *((100 + i, " ".join([*W[i:], *W[:i], str(i % 7)]), "en", "hot") for i in range(20)),
 ]
 
@@ -54,7 +55,7 @@ def test_near_duplicates_as_by_brute_force(spark, docs, empty):
     assert got == sorted((i or -1, len(s), root[i] or -1, i is None or root[i] == i) for i, s in sets)
     assert near_dedup.near_duplicates(empty).count() == 0
     left = near_dedup.drop_near_duplicates(docs)
-    assert left.columns == docs.columns and {1, 9, 6, 7, 8, 4} <= {r["doc_id"] for r in left.collect()} and not {2, 10, 5} & {r["doc_id"] for r in left.collect()}
+    assert left.columns == docs.columns and {1, 9, 6, 7, 8, 4, 13} <= {r["doc_id"] for r in left.collect()} and not {2, 10, 5} & {r["doc_id"] for r in left.collect()}
 
 
 def components_by_force(rows):
@@ -213,10 +214,16 @@ def test_sharding_is_near_equal_and_gapless(spark, docs, empty):
     assert len(sharding.assign_shards(docs).collect()) == len(ROWS) and sharding.assign_shards(empty).count() == 0
 
 
-def _ids(text):
-    from lakeproof.llm._tokens import default_tokenizer, encoder
+@functools.cache
+def _library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
-    return encoder(default_tokenizer()).whole.encode(text or "", add_special_tokens=False).ids
+
+def _ids(text):
+    return _library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_output_reads_back(spark, docs, empty):
@@ -249,6 +256,36 @@ def test_packing_covers_every_id(spark, docs, empty):
     assert packing.pack_sequences(empty).count() == 0
 
 
+def test_equal_texts_share_a_shard_unless_they_fill_a_range(spark):
+    rows = [(i, "hot" * 40 if i % 3 == 0 else f"pair {i // 7} " * 9, "en", "x") for i in range(9000)] + [(None, None, None, None)] * 3 + [(5, "w " * 3_000_00, "en", "x")] * 2
+    got = sharding.assign_shards(frame(spark, rows)).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[r["text_crc32"]].add(r["shard"])
+    hot = zlib.crc32(("hot" * 40).encode())
+    assert len(homes[hot]) > 8 and all(len(h) == 1 for c, h in homes.items() if c != hot and c != zlib.crc32(b"w " * 3_000_00)) and len(got) == len(rows)
+    assert sum(r["doc_id"] is None and r["size"] == 16 for r in got) == 3
+
+
+def test_repeated_null_and_long_rows_fare_alike(spark):
+    huge = "word " * 400_000 + "\n" + "z" * 2_000_000
+    rows = [(1, huge, "en", "a"), (1, huge, "en", "a"), (None, "null id", "en", "a"), (None, None, None, None), (2, "", "en", "b")]
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    scores = [(r["doc_id"], r["score"], r["held_out"]) for r in toxicity.toxicity(df, labels).collect()]
+    assert len(scores) == 5 and len({s for i, s, _ in scores if i == 1}) == 1 and all(0 <= s <= 1 for _, s, _ in scores) and not any(h for i, _, h in scores if i is None)
+    assert sorted((r["doc_id"] or -1, r["n_lines"], len(r["text"] or "")) for r in line_dedup.remove_boilerplate(df).collect()) == [(-1, 0, 0), (-1, 1, 7), (1, 2, len(huge)), (1, 2, len(huge)), (2, 1, 0)]
+    assert sorted((r["doc_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(df).collect()) == [(-1, 1, True), (-1, 2, False), (1, 2, False), (1, 2, True), (2, 2, True)]
+    assert sorted(r["n_shingles"] for r in near_dedup.near_duplicates(df).collect()) == [0, 0, 1, 6, 6]
+    assert mixing.mix(df, max_repeat=1.0).count() >= 5
+    want = sorted([len(_ids(t)) + 1 for _, t, *_ in rows])
+    assert sorted(r["n_tokens"] for r in token_output.read_tokens(token_output.write_tokens(df)).collect()) == want
+    per = defaultdict(int)
+    for r in packing.pack_sequences(df).collect():
+        per[r["occurrence"]] += r["length"]
+    assert sorted(per.values()) == want
+
+
 def test_toxicity_learns_words_and_keeps_clean_ones(spark, docs, empty):
     rng = np.random.default_rng(2)
     filler = [f"word{i}" for i in range(400)]
@@ -381,15 +418,78 @@ def test_long_vectors_fit(spark):
         assert [got[q, n + 1] for n in range(3)] == [(i, -s) for s, i in want]
 
 
-def test_pipeline_stages_fit_together(spark, tmp_path):
+def test_pipeline_as_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [(i, r[1], r[2] or "en", r[3] or "x") for i, r in enumerate(ROWS)]
+    rng = np.random.default_rng(3)
+    filler = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(filler, 30 + i % 40))
+        if i % 10 == 0:
+            words[3:5] = ["nasty", "vilething"]
+        rows.append((i, " ".join(words), "en", "abc"[0 if i % 5 < 3 else i % 3]))
+    rows += [(500 + i, rows[i][1].replace(" ", "  ", i % 3), "en", "b") for i in range(1, 60)]  # copies but for white space
+    rows += [(600 + i, rows[i][1] + " and another end", "de", "c") for i in range(30, 90)]  # near copies
+    rows += [(7, rows[11][1] + " tail", "en", "a"), (7, "a text of its own under an id that others have", "en", "a"), (900, None, None, None), (901, "", "en", "silent"), (None, "no id but a text of more than five words", "en", "a")]
     frame(spark, rows, False).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    labels = [(i, 1, int(i % 10 == 0)) for i in range(400) if i % 2 == 0 or i % 10 == 5]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    first = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()
+    told = toxicity.toxicity(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+    assert len(first) == sum(not r["predicted"] for r in told) and {r["doc_id"] for r in told if r["predicted"]} >= {i for i in range(0, 400, 10)}
+    rest = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in first]
+    assert sum(r[0] is not None and r[0] < 400 and r[0] % 10 > 0 for r in rest) >= 355  # clean documents stay
+
+    groups = defaultdict(list)
+    for r in rest:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append(r)
+    rest = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0])) for g in groups.values()]
+    told, root = components_by_force(rest)
+    stays = {}
+    for r, (i, _, component), k in zip(rest, told, root):
+        if i is None or i == component:
+            stays.setdefault(k, r)
+    rest = list(stays.values())
+    totals = defaultdict(int)
+    for _, t, _, s in rest:
+        totals[s] += -(-len((t or "").encode()) // 4)
+    want = mixed_by_force(rest, mixing.solve(mixing.totals_of(list(totals.values()))).alpha, None)
+    texts = {(i, t) for i, t, *_ in rest}
+    ids = {i: [(*_ids(t), 0) for j, t in texts if j == i] for i, _ in texts}
+
+    pieces = defaultdict(list)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for r in out:
+        pieces[r["occurrence"]].append(r)
+    assert sorted((p[0]["doc_id"] for p in pieces.values()), key=str) == sorted((i for i, _ in want), key=str)
+    for ps in pieces.values():
+        ps.sort(key=lambda r: r["start"])
+        whole = next(d for d in ids[ps[0]["doc_id"]] if len(d) == ps[0]["doc_tokens"])
+        assert [p["start"] for p in ps] == [sum(q["length"] for q in ps[:k]) for k in range(len(ps))] and sum(p["length"] for p in ps) == len(whole)
+        assert all(p["ids_crc32"] == zlib.crc32(np.array(whole[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for p in ps)
+    fill = defaultdict(list)
+    for r in out:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in fill.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert (size := sum(n for _, n in parts)) <= 1024 and size & (size - 1) == 0
+
+
+@pytest.mark.parametrize("rows", [[], ROWS], ids=["empty", "odd"])
+def test_pipeline_stages_fit_together(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = frame(spark, rows)  # with names that the operators use themselves
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == [c.split(" ")[0] for c in SCHEMA.split(", ")], name
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        after.write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(after.schema).parquet(str(tmp_path / name))
+    n = docs.count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {"doc_id", "sequence_id", "offset"} <= set(pieces.columns) and pieces.select("occurrence").distinct().count() == n == (0 if not rows else n) and (n > 0) == bool(rows)
