@@ -36,6 +36,8 @@ GROUPS = 50_000
 _EXACT = float(1 << 53)
 #: Share of |q| * |x| by which a rounded bound may be too low.
 SLACK = 1e-6
+#: A level that leaves more than this share is idle.
+IDLE = 0.95
 
 
 @dataclass
@@ -109,10 +111,7 @@ def summary_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _exact(q: np.ndarray, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], big: bool) -> np.ndarray:
-    """Products of these pairs; where they are most of all pairs, taken from one product of the matrices."""
-    if len(pairs[0]) * 8 > len(q) * len(x):
-        whole = (q.astype(np.int64) @ x.astype(np.int64).T) if big else q @ x.T
-        return whole[pairs].astype(np.int64)
+    """Products of these pairs."""
     out = np.empty(len(pairs[0]), np.int64)
     for i in range(0, len(out), 65536):
         a, b = q[pairs[0][i : i + 65536]], x[pairs[1][i : i + 65536]]
@@ -120,6 +119,43 @@ def _exact(q: np.ndarray, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], b
     return out
 
 
+class Alive:
+    """The pairs of a block that are left: a mask while they are many, their places when they are few."""
+
+    def __init__(self, shape: tuple[int, int]):
+        self.shape, self.mask, self.pairs = shape, None, None
+
+    def __len__(self) -> int:
+        return len(self.pairs[0]) if self.pairs is not None else int(self.mask.sum()) if self.mask is not None else self.shape[0] * self.shape[1]
+
+    def keep(self, q: np.ndarray, x: np.ndarray, least: np.ndarray) -> None:
+        """Only those whose product of rows of ``q`` and ``x`` reaches ``least``."""
+        if self.pairs is not None:
+            a, b = self.pairs
+            bound = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
+            over = bound >= least[a]
+            self.pairs = a[over], b[over]
+            return
+        over = q @ x.T >= least[:, None]
+        self.mask = over if self.mask is None else self.mask & over
+        if len(self) * 16 < self.mask.size:
+            self.pairs = np.nonzero(self.mask)
+
+    def scores(self, q: np.ndarray, x: np.ndarray, least: np.ndarray, own: np.ndarray, big: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, exact product) of those left that reach ``least`` and aren't the query itself; ``own`` has a 1 where ids are equal."""
+        if self.pairs is None:
+            whole = q.astype(np.int64) @ x.astype(np.int64).T if big else q @ x.T
+            over = (whole >= least[:, None]) & ~own
+            if self.mask is not None:
+                over &= self.mask
+            a, b = np.nonzero(over)
+            return a, b, whole[a, b].astype(np.int64)
+        a, b = self.pairs
+        other = ~own[a, b]
+        a, b = a[other], b[other]
+        return a, b, _exact(q, x, (a, b), big)
+
+
 class Best:
     """The k best of each query so far: highest score, then smallest id. ``least`` is what a row has to reach; it begins at ``floors``."""
 
@@ -153,31 +189,22 @@ def search(query_ids: np.ndarray, queries: np.ndarray, blocks: Iterator[tuple[np
     most = np.abs(queries).max(initial=0)
     norms = np.sqrt((queries * queries).sum(axis=1))
     counts = np.zeros(1 + len(LEVELS), np.int64) if counts is None else counts
-    for ids, x in blocks:
+    seen = np.zeros((len(coarse), 2))
+    for turn, (ids, x) in enumerate(blocks):
         big = most * np.abs(x).max(initial=0) * max(1, x.shape[1]) >= _EXACT
-        least = best.least - SLACK * norms * np.sqrt((x * x).sum(axis=1).max(initial=0)) - 1e-6
         counts[0] += len(queries) * len(x)
-        alive = None
+        alive = Alive((len(queries), len(x)))
+        least = best.least - SLACK * norms * np.sqrt((x * x).sum(axis=1).max(initial=0)) - 1e-6
         around = base.turned(x)
         for level, (edges, q) in enumerate(zip(base.edges, coarse)):
-            stats = segment_statistics(around, edges)
-            if alive is None or len(alive[0]) * 4 > len(queries) * len(x):
-                over = q @ stats.T >= least[:, None]
-                if alive is not None:
-                    mask = np.zeros_like(over)
-                    mask[alive] = True
-                    over &= mask
-                alive = np.nonzero(over)
-            else:
-                bound = np.concatenate([np.einsum("ij,ij->i", q[alive[0][i : i + 65536]], stats[alive[1][i : i + 65536]]) for i in range(0, len(alive[0]), 65536)] or [np.zeros(0)])
-                over = bound >= least[alive[0]]
-                alive = alive[0][over], alive[1][over]
-            counts[1 + level] += len(alive[0])
-        if alive is None:
-            alive = np.nonzero(np.ones((len(queries), len(x)), bool))
-        own = ids[alive[1]] != query_ids[alive[0]]
-        alive = alive[0][own], alive[1][own]
-        best.add(alive[0], _exact(queries, x, alive, big), ids[alive[1]])
+            # a coarse level that has left nearly all it saw is tried in every eighth block only; the finest always is
+            if level + 1 == len(coarse) or turn % 8 == 0 or seen[level, 1] < IDLE * seen[level, 0]:
+                before = len(alive)
+                alive.keep(q, segment_statistics(around, edges), least)
+                seen[level] += before, len(alive)
+            counts[1 + level] += len(alive)
+        a, b, score = alive.scores(queries, x, best.least, ids[None, :] == query_ids[:, None], big)
+        best.add(a, score, ids[b])
     return best
 
 
