@@ -57,48 +57,57 @@ def remote_sidecars(spark: SparkSession, target: str):
     return spark.createDataFrame([r for r in got if r[2] is not None], "model_id string, file_name string, text string")
 
 
-def scan(args) -> int:
-    spark = _session()
-    note = lambda text: print(f"note: {text}", file=sys.stderr)
-    target = args.file
-    if args.remote:
-        target = remote_target(args.file, args.model_file)
-        note("only the header was read from afar; STR rules and checks of the whole file were skipped")
-        if args.manifest:
-            note("--manifest needs the whole file and was ignored")
-            args.manifest = None
-    note("the deep tokenizer pass ran" if args.deep_tokenizer else "the deep tokenizer pass did not run; --deep-tokenizer turns it on")
-    beside = (remote_sidecars(spark, target) if args.remote else sidecars(spark, args.file)) if args.bundle else None
-    if args.bundle:
-        note("the files beside the model were audited")
-    manifests = None
-    if args.manifest:
-        manifests = spark.read.text(args.manifest, wholetext=True).select(F.lit(args.file).alias("model_id"), F.col("value").alias("manifest"))
-    models, meta, tensors = audit.gguf.load_once(spark, target, sha256=str(not args.remote).lower(), **({"materialize": audit.DEEP_KEYS} if args.deep_tokenizer or args.bundle else {}))
+def scan_model(spark: SparkSession, given: str, remote: bool = False, name: str | None = None, manifest: str | None = None, deep: bool = False, with_bundle: bool = False) -> dict:
+    """One model's audit: file, sha256, template_sha256, findings in their final order, and notes on what was looked at and what wasn't."""
+    notes, target = [], given
+    if remote:
+        target = remote_target(given, name)
+        notes.append("only the header was read from afar; STR rules and checks of the whole file were skipped")
+        if manifest:
+            notes.append("--manifest needs the whole file and was ignored")
+            manifest = None
+    notes.append("the deep tokenizer pass ran" if deep else "the deep tokenizer pass did not run; --deep-tokenizer turns it on")
+    beside = None
+    if with_bundle:
+        beside = remote_sidecars(spark, target) if remote else sidecars(spark, given)
+        notes.append("the files beside the model were audited")
+    manifests = spark.read.text(manifest, wholetext=True).select(F.lit(target).alias("model_id"), F.col("value").alias("manifest")) if manifest else None
+    models, meta, tensors = audit.gguf.load_once(spark, target, sha256=str(not remote).lower(), **({"materialize": audit.DEEP_KEYS} if deep or with_bundle else {}))
     model = models.first()
     if model["parse_error"]:
-        print(f"error: {model['parse_error']}", file=sys.stderr)
-        return 3
-    found = audit.ordered(audit.model_findings(models, meta, tensors, args.deep_tokenizer, manifests, beside)).collect()
+        raise ValueError(model["parse_error"])
+    found = audit.ordered(audit.model_findings(models, meta, tensors, deep, manifests, beside)).collect()
     template = audit.integrity.templates_of(meta).first()
+    return {"file": target, "sha256": model["sha256"], "template_sha256": template["template_sha256"] if template else None, "findings": found, "notes": notes}
+
+
+def scan(args) -> int:
+    told = scan_model(_session(), args.file, args.remote, args.model_file, args.manifest, args.deep_tokenizer, args.bundle)
+    for note in told["notes"]:
+        print(f"note: {note}", file=sys.stderr)
     render = audit.render_json if args.json else audit.render_text
-    print(render(target, model["sha256"], template["template_sha256"] if template else None, found))
-    kinds = {f["severity"] for f in found}
+    print(render(told["file"], told["sha256"], told["template_sha256"], told["findings"]))
+    kinds = {f["severity"] for f in told["findings"]}
     return 2 if "FAIL" in kinds else 1 if args.fail_on == "warn" and "WARN" in kinds else 0
 
 
-def diff(args) -> int:
-    parts = audit.diff(_session(), args.a, args.b)
-    out = {"metadata": [r.asDict() for r in parts["metadata"].orderBy("key").collect()], "tensors": [r.asDict() for r in parts["tensors"].orderBy("key").collect()]}
+def compared(spark: SparkSession, a: str, b: str) -> dict:
+    """The differences of two models: metadata, tensors, template_changed, template_diff."""
+    parts = audit.diff(spark, a, b)
+    out = {part: [r.asDict() for r in parts[part].orderBy("key").collect()] for part in ("metadata", "tensors")}
     template = parts["template"].first()
-    out |= {"template_changed": template["changed"], "template_diff": template["diff"] if template["changed"] else []}
+    return out | {"template_changed": template["changed"], "template_diff": template["diff"] if template["changed"] else []}
+
+
+def diff(args) -> int:
+    out = compared(_session(), args.a, args.b)
     if args.json:
         print(json.dumps(out, indent=2))
     else:
         for part in ("metadata", "tensors"):
             for r in out[part]:
                 print(f"{part} {r['change']}: {r['key']}")
-        print("\n".join(out["template_diff"]) if template["changed"] else "template: same")
+        print("\n".join(out["template_diff"]) if out["template_changed"] else "template: same")
     return int(bool(out["metadata"] or out["tensors"] or out["template_changed"]))
 
 
@@ -147,7 +156,36 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Choices of the menu: what it says, what it asks for, and the arguments these become.
+MENU = [
+    ("scan a model file here", ["model file"], lambda f: ["scan", f]),
+    ("scan a model elsewhere by its header", ["URL or repository", "file name, or nothing"], lambda t, f: ["scan", t, "--remote", *(["--file", f] if f else [])]),
+    ("compare two model files", ["first file", "second file"], lambda a, b: ["diff", a, b]),
+    ("hash a model file", ["model file", "where to write a manifest, or nothing"], lambda f, m: ["hash", f, *(["--manifest", m] if m else [])]),
+    ("list the rules", [], lambda: ["rules"]),
+]
+
+
+def menu(ask=input) -> int:
+    """Ask what to do until there is no more answer."""
+    while True:
+        print("\n".join([*(f"{n}  {says}" for n, (says, *_) in enumerate(MENU, 1)), "q  quit"]))
+        try:
+            choice = ask("> ").strip()
+            if choice == "q":
+                return 0
+            if not choice.isdigit() or not 1 <= int(choice) <= len(MENU):
+                continue
+            _, wanted, arguments = MENU[int(choice) - 1]
+            main(arguments(*[ask(f"{w}: ").strip() for w in wanted]))
+        except EOFError:
+            return 0
+
+
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if not argv and sys.stdin.isatty() and sys.stdout.isatty():
+        return menu()
     args = parser().parse_args(argv)
     try:
         return args.run(args)

@@ -11,6 +11,7 @@ from lakeproof.operators.findings import hit, union
 from lakeproof.operators.metadata import current
 from lakeproof.operators.templates import embedded_findings, repo_template_findings
 from lakeproof.operators.tokenizer import vocabulary
+from lakeproof.sources.staging import written
 
 PHASE = 60
 _ROOT = "tokenizer.ggml."
@@ -58,10 +59,11 @@ def forced_groups(forced: DataFrame) -> DataFrame:
 def config_findings(repo_files: DataFrame, metadata: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """CFG001 to CFG005, and MET020 and MET021 on free texts; located ``file:...``.
 
-    A file is parsed for its decoding settings, for its free texts and for what it forces, and not for each rule. ``vocab`` stands in for the models' own
+    Files are parsed once, when this is called; what they declare is written and read again by each rule. ``vocab`` stands in for the models' own
     vocabularies, as :func:`file_surfaces` does.
     """
-    c = files(repo_files, *fixed.BUNDLE_CONFIGS).select("model_id", "file_name", config_udf("text").alias("c")).where("c.ok").select("model_id", "file_name", "c.*")
+    c = files(repo_files, *fixed.BUNDLE_CONFIGS).select("model_id", "file_name", config_udf("text").alias("c")).where("c.ok").select("model_id", "file_name", "c.*").drop("ok")
+    c = written(c, "configs")
     order = F.when(F.col("file_name") == fixed.BUNDLE_CONFIGS[0], 0).otherwise(1) * 1000
     at = lambda where: F.concat("file_name", F.lit(":"), where if isinstance(where, Column) else F.lit(where))
 
@@ -80,11 +82,14 @@ def config_findings(repo_files: DataFrame, metadata: DataFrame, vocab: DataFrame
     phrases = F.filter(F.transform("banned", lambda seq: reconstructed(seq, F.col("surfaces"))), lambda s: s.rlike(fixed.REFUSAL_PATTERN))
     shown = F.when(F.col("surfaces").isNotNull(), F.concat(F.transform(words, lambda i: i.cast("string")), F.transform(phrases, lambda s: F.trim(s))))
     both = F.array_sort(F.array_intersect("suppressed", F.array_union("stop", F.coalesce("own_stop", F.array().cast("array<bigint>")))))
-    settings = c.join(stops, "model_id", "left").join(vocab, "model_id", "left").withColumn("both", both).withColumn("shown", shown)
-    decoding = several(settings, [
+    decoding = several(c, [
         ("CFG004", 2, F.size("auto_map") > 0, F.concat(F.size("auto_map").cast("string"), F.lit(" classes: "), F.array_join(F.slice("auto_map", 1, 4), ", ")), "config.auto_map"),
         ("CFG005", 6, F.col("penalty") > fixed.MOST_REPETITION_PENALTY, F.concat(F.lit("repetition_penalty "), F.col("penalty").cast("string")), "generation_config.repetition_penalty"),
         ("CFG005", 7, F.col("ngram") == 1, F.lit("no token may come twice"), "generation_config.no_repeat_ngram_size"),
+    ])
+    some = c.where((F.size("suppressed") > 0) | (F.size("banned") > 0))
+    settings = some.join(stops, "model_id", "left").join(vocab, "model_id", "left").withColumn("both", both).withColumn("shown", shown)
+    kept_back = several(settings, [
         ("CFG001", 8, F.size("both") > 0, F.concat(F.lit("never ends by "), F.to_json("both")), "generation_config.suppress_tokens"),
         ("CFG002", 9, F.size("shown") > 0, F.concat(F.lit("keeps back "), F.array_join(F.slice("shown", 1, 6), ", ")), "generation_config"),
     ])
@@ -94,7 +99,7 @@ def config_findings(repo_files: DataFrame, metadata: DataFrame, vocab: DataFrame
         ("MET020", 0, F.col("hidden") != "", F.concat(F.lit("hides "), "hidden"), F.col("key")),
         ("MET021", 1, F.col("idiom").isNotNull(), F.concat(F.lit("says "), "idiom"), F.col("key")),
     ])
-    return union([decoding, texts, embedded_findings(free.select("model_id", F.concat("file_name", F.lit(":"), "key").alias("key"), "value")), forced_findings(c, vocab, order)])
+    return union([decoding, kept_back, texts, embedded_findings(free.select("model_id", F.concat("file_name", F.lit(":"), "key").alias("key"), "value")), forced_findings(c, vocab, order)])
 
 
 def forced_findings(c: DataFrame, vocab: DataFrame, order: Column) -> DataFrame:
