@@ -201,7 +201,7 @@ def _links(docs: DataFrame, heads: DataFrame, shingle: int, percent: int) -> Dat
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     order = F.max(F.struct("meets", (-F.col("node")).alias("first")))
     anchors = members.join(meets, "node").groupBy("key").agg(order.alias("best")).select("key", (-F.col("best.first")).alias("anchor"))
-    members = stage_table(members.join(near_if_small(stage_table(anchors, "anchors")), "key"), "anchored")
+    members = stage_table(members.join(anchors, "key"), "anchored")
 
     wanted = near_if_small(stage_table(heads.select("node", "doc_id", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"), "wanted"))
     texts = docs.join(wanted, ["doc_id", "h1", "h2"]).select("node", "text")
@@ -227,7 +227,7 @@ def _links(docs: DataFrame, heads: DataFrame, shingle: int, percent: int) -> Dat
     rooted = stage_table(rooted.join(near_if_small(open_), "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("outside"), size.alias("size")), "rooted")
     outside = F.col("outside")
     sums = rooted.groupBy("key").agg(_lots(F.count("*"), F.sum("size")).alias("across"), _lots(F.count_if(outside), F.coalesce(F.sum(F.when(outside, F.col("size"))), F.lit(0))).alias("down"))
-    placed = rooted.join(near_if_small(stage_table(sums, "sums")), "key")
+    placed = rooted.join(sums, "key")
     left = placed.where("outside").select("key", "node", "root", F.pmod(F.xxhash64("node"), "down").cast("int").alias("i"), _each(F.col("across")).alias("j"))
     right = placed.select("key", "node", "root", _each(F.col("down")).alias("i"), F.pmod(F.xxhash64("node"), "across").cast("int").alias("j"))
     blocks = left.union(right).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -247,13 +247,12 @@ def _judged(docs: DataFrame, shingle: int, percent: int, n_bands: int, width: in
     found = near_if_small(found.select(F.col("a").alias("node"), F.col("b").alias("root")))
     rooted = stage_table(classes.join(found, "node", "left").select("set_a", "set_b", "n", "least", F.coalesce("root", "node").alias("root")), "rooted")
     labels = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k")
-    labels = near_if_small(stage_table(labels, "labels"))
     named = rooted.join(labels, "root", "left").select("set_a", "set_b", "n", "root", F.coalesce("component_id", "least").alias("component_id"))
     named = stage_table(named, "named")
     base = sketches.select("doc_id", "row", "h1", "h2", "n_shingles", "set_a", "set_b")
     out = ["doc_id", "row", "h1", "h2", "n_shingles", "root", "component_id"]
     many = F.col("n") >= F.least(F.lit(HEAVY_ROWS), F.greatest(F.lit(2), F.lit(HEAVY_SHARE) * sketches.count()))
-    heavy = near_if_small(stage_table(named.where(many), "heavy"))
+    heavy = F.broadcast(named.where(many))  # their rows add up to no more than all rows, so they are few
     rest = base.where(~alone)
     massed = rest.join(heavy, ["set_a", "set_b"]).select(*out)
     light = rest.join(heavy, ["set_a", "set_b"], "left_anti").join(named.where(~many), ["set_a", "set_b"]).select(*out)
