@@ -7,7 +7,7 @@ from lakeproof import cli
 from lakeproof.functions.json_facts import surface_list
 from lakeproof.functions.rules import RULES
 from lakeproof.operators import bundle, integrity
-from lakeproof.plans import audit, gate, queries
+from lakeproof.plans import audit, gate, queries, rule_queries  # noqa: F401 - the last registers its queries
 from lakeproof.sources import gguf
 from lakeproof.streaming.gate import gate_stream
 
