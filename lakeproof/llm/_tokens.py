@@ -1,8 +1,9 @@
-"""Byte-level BPE ids of whole texts with the tokenizers library, remembered by part.
+"""Byte-level BPE ids of whole texts with the tokenizers library, each distinct part of a slice once.
 
 Pre-tokens always begin at a single space before a word and at a comma or full stop after a letter or digit, so texts of plain Latin script
-are cut there, and the parts' ids joined, unless they hold an added token. Arrow cuts the texts and tells the distinct parts of a batch; of those, new ones go to the library's model in one call and are
-remembered in a bounded table. Any other text goes through the library's whole path.
+are cut there, and the parts' ids joined, unless they hold an added token. Arrow cuts a slice of texts, tells its distinct parts and cuts these into pre-tokens; they go to the
+library's model in a few long strings, written in the vocabulary's byte letters and kept apart by the letters of two control characters that such texts don't hold. Nothing is kept
+from slice to slice. Any other text goes through the library's whole path.
 """
 
 from __future__ import annotations
@@ -11,19 +12,21 @@ import functools
 import gc
 import os
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts of each of two generations: a full one is kept as the older, and what is used of that moves on, so frequent parts stay.
-MOST_PARTS = 200_000
-#: Bytes of text that are cut at a time, and parts that the library gets at a time.
+#: Bytes of text that are cut at a time, and parts in a string that the library gets.
 SLICE, CALL = 4 << 20, 20_000
+#: What stands behind each pre-token, and before each part; their byte letters. The latter is in no longer token, so what follows it has the same ids as without it.
+CUT, MARK = "\0", "\1"
+CUT_LETTER, MARK_LETTER = "Ā", "ā"
 _PLAIN = r"\A[\n -~À-ÖØ-öø-ɏ]*\z"
 _UNSAFE = r"[\n ] (?:[\n ]|\z)|[^0-9A-Za-zÀ-ÖØ-öø-ɏ][.,]"
-_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|[\n ]+(?![^\n ])|[\n ]+")
+#: A pre-token of a part; a newline before another character is one of its own, which is seen to first.
+_UNIT = r"('s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\n+| )"
+_LAST_NEWLINE = r"\n([^\n])"
 
 
 def default_tokenizer() -> str:
@@ -32,76 +35,68 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, int]:
-    """The letters by which byte-level vocabularies write the bytes: printable ones stand for themselves, the others follow at 256."""
+@functools.cache
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How byte-level vocabularies write each byte: its letter's length in UTF-8, first and last byte. Printable bytes stand for themselves, the others follow at 256."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
-    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+    points = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+    written = [chr(points[b]).encode() for b in range(256)]
+    return np.array([len(w) for w in written]), np.array([w[0] for w in written], np.uint8), np.array([w[-1] for w in written], np.uint8)
+
+
+def spelt(data: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Bytes in byte letters, as UTF-8, and where each byte's letter begins."""
+    length, first, last = (table[data] for table in _letters())
+    at = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), np.uint8)
+    out[at] = first
+    two = length == 2
+    out[at[two] + 1] = last[two]
+    return out.tobytes(), at
 
 
 class TextEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        small = self.whole.get_vocab_size() < 1 << 16
-        self.dtype, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
-        shape = repr(self.whole.pre_tokenizer)
-        self.by_parts = self.whole.normalizer is None and shape.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in shape
+        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() < 1 << 16 else "<u4")
         self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(CUT_LETTER)
+        self.mark = self.whole.token_to_id(MARK_LETTER)
+        alone = sum(MARK_LETTER in token for token in self.whole.get_vocab(with_added_tokens=False)) == 1
+        shape = repr(self.whole.pre_tokenizer)
+        self.by_parts = self.whole.normalizer is None and shape.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in shape and self.mark is not None and alone
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.unsafe = "|".join([_UNSAFE, *added])  # the library takes an added token's string out before it cuts a text
-        self.letters = _byte_letters()
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """The ids of parts, as bytes."""
-        pieces, counts = [], []
-        for part in new:
-            if part.isalpha() or part[:1] == " " and part[1:].isalpha():
-                pieces.append(part)
-                counts.append(1)
-            else:
-                units = _UNIT.findall(part)
-                pieces += units
-                counts.append(len(units))
-        spelt = ["Ġ" + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        ids = [array(self.code, e.ids).tobytes() for i in range(0, len(spelt), CALL) for e in self.model.encode_batch_fast(spelt[i : i + CALL], add_special_tokens=False)]
-        if len(ids) == len(new):
-            return ids
-        out, at = [], 0
-        for n in counts:
-            out.append(ids[at] if n == 1 else b"".join(ids[at : at + n]))
-            at += n
-        return out
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in a row, and n + 1 offsets of the parts into them."""
+        if not len(parts):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        units = pc.replace_substring_regex(pc.replace_substring_regex(parts, _LAST_NEWLINE, CUT + "\n\\1"), _UNIT, "\\1" + CUT)
+        marked = pc.binary_join_element_wise(pa.scalar(MARK, units.type), units, pa.scalar("", units.type)).cast(pa.large_string())
+        offsets = np.frombuffer(marked.buffers()[1], dtype=np.int64)[marked.offset : marked.offset + len(marked) + 1]
+        letters, at = spelt(np.frombuffer(marked.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]])
+        starts = [*at[(offsets[:-1] - offsets[0])[::CALL]].tolist(), len(letters)]
+        calls = [letters[a:b].decode() for a, b in zip(starts, starts[1:])]
+        ids = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in self.model.encode_batch_fast(calls, add_special_tokens=False)])
+        begins = np.flatnonzero(ids == self.mark) - np.arange(len(marked))
+        return ids[ids != self.mark], np.append(begins, len(ids) - len(marked))
 
     def _encode_plain(self, texts: pa.Array) -> list[np.ndarray]:
         marked = texts
         for sign in " ,.":
-            marked = pc.replace_substring(marked, sign, "\0" + sign)
-        lists = pc.split_pattern(marked, "\0")
+            marked = pc.replace_substring(marked, sign, CUT + sign)
+        lists = pc.split_pattern(marked, CUT)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        values = list(map(self.parts.get, names))
-        lost = [i for i, v in enumerate(values) if v is None]
-        if lost:
-            if len(self.parts) + len(lost) > MOST_PARTS:
-                self.parts, self.older = {}, self.parts
-            unknown = []
-            for i in lost:
-                got = values[i] = self.older.get(names[i])
-                if got is None:
-                    unknown.append(i)
-                else:
-                    self.parts[names[i]] = got
-            new = [names[i] for i in unknown]
-            for i, part, got in zip(unknown, new, self._learn(new)):
-                values[i] = self.parts[part] = got
-        joined = pa.array(values, pa.large_binary()).take(coded.indices)
+        ids, ends = self._parts(coded.dictionary)
+        width = self.dtype.itemsize
+        joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * width), pa.py_buffer(ids)]).take(coded.indices)
         offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[: len(joined) + 1]
-        ends = offsets[lists.offsets.to_numpy() - lists.offsets[0].as_py()] // self.dtype.itemsize
+        ends = offsets[lists.offsets.to_numpy() - lists.offsets[0].as_py()] // width
         data = joined.buffers()[2]
         ids = np.frombuffer(data, dtype=self.dtype, count=int(ends[-1])) if data is not None and ends[-1] else np.zeros(0, self.dtype)
         ids = ids.copy()  # not the buffer, which is longer

@@ -71,16 +71,15 @@ def test_links_by_blocks_are_those_by_pairs():
 def test_parts_give_the_library_ids():
     e = _tokens.encoder(_tokens.default_tokenizer())
     rng = random.Random(3)
-    signs = ["a", "Bc", " ", "  ", "\n", "\t", "'s", "é", "1", ",", ".", "漢", "😀", "_", "'t", "\r\n", "<|endoftext|>", "\x85"]
+    signs = ["a", "Bc", " ", "  ", "\n", "\t", "'s", "é", "1", ",", ".", "漢", "😀", "_", "'t", "\r\n", "<|endoftext|>", "\x85", "ÿ", "þ", "Ġ", "ü", "Øx", "ɏ"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 16))) for _ in range(3000)] + ["", None, "word, word. word"]
     want = [x.ids for x in e.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [x.tolist() for x in e.encode(pa.array(texts))] == want
-    e.parts.clear()
-    old, _tokens.MOST_PARTS = _tokens.MOST_PARTS, 20
+    old, _tokens.CALL, _tokens.SLICE = (_tokens.CALL, _tokens.SLICE), 20, 64
     try:
         assert [x.tolist() for x in e.encode(pa.array(texts))] == want
     finally:
-        _tokens.MOST_PARTS = old
+        _tokens.CALL, _tokens.SLICE = old
 
 
 def test_added_tokens_get_the_ids_of_a_fresh_library_call():
