@@ -57,9 +57,12 @@ def read_manifest(manifests: DataFrame) -> DataFrame:
 
 
 def manifest_findings(expected: DataFrame, models: DataFrame, metadata: DataFrame, tensors: DataFrame) -> DataFrame:
-    """INT001 to INT004 against :func:`read_manifest`; an expected hash that is null isn't checked for the file, but is for the template."""
+    """INT001 to INT004 against :func:`read_manifest`; an expected hash that is null isn't checked for the file, but is for the template.
+
+    Models are to be read with their hashes: a file without one is told as one that isn't as expected.
+    """
     has = expected.select("model_id")
-    file = expected.join(models.select("model_id", "sha256"), "model_id").where("file_sha256 is not null and file_sha256 <> sha256")
+    file = expected.join(models.select("model_id", "sha256"), "model_id").where("file_sha256 is not null and not file_sha256 <=> sha256")
     template = expected.select("model_id", F.col("template_sha256").alias("want")).join(templates_of(metadata), "model_id", "left").where(~F.col("want").eqNullSafe(F.col("template_sha256")))
     entries = lambda name: expected.select("model_id", F.explode(name).alias("key", "value"))
     meta = changes(entries("metadata"), serialized(metadata).join(has, "model_id", "left_semi"), ["model_id", "key"])
@@ -67,7 +70,7 @@ def manifest_findings(expected: DataFrame, models: DataFrame, metadata: DataFram
     say = F.concat(F.col("key"), F.lit(" was "), F.col("change"))
     order = F.xxhash64("key")
     return union([
-        file.select(*hit("INT001", PHASE, F.lit(0), F.concat(F.lit("expected "), F.col("file_sha256")), F.lit(None))),
+        file.select(*hit("INT001", PHASE, F.lit(0), F.concat(F.lit("expected "), "file_sha256", F.when(F.col("sha256").isNull(), ", but the file was not hashed").otherwise("")), F.lit(None))),
         template.select(*hit("INT002", PHASE + 1, F.lit(0), F.concat(F.lit("expected "), F.coalesce("want", F.lit("no template"))), F.lit(fixed.TEMPLATE_KEY))),
         meta.select(*hit("INT003", PHASE + 2, order, say, F.col("key"))),
         maps.select(*hit("INT004", PHASE + 3, order, say, F.col("key"))),

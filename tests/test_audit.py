@@ -80,7 +80,9 @@ def test_manifest_and_diff(spark, model, tmp_path):
     other = tmp_path / "o.gguf"
     other.write_bytes(gguf.build([*PAIRS[:1], ("toy.n", 2), ("toy.new", 1), ("tokenizer.chat_template", "{{ y }}")], [("a", [5], 0), ("b", [4], 0)]))
     same = audit.hashes(spark, model)
-    tables = gguf.load(spark, model)
+    tables = gguf.load(spark, model, sha256="true")
+    unhashed = integrity.manifest_findings(integrity.read_manifest(same), *gguf.load(spark, model)).collect()
+    assert [r["rule_id"] for r in unhashed] == ["INT001"] and unhashed[0]["detail"].endswith("was not hashed")
     assert integrity.manifest_findings(integrity.read_manifest(same), *tables).count() == 0
     foreign = audit.hashes(spark, str(other)).selectExpr(f"'{model}' as model_id", "manifest")
     got = sorted({r["rule_id"] for r in integrity.manifest_findings(integrity.read_manifest(foreign), *tables).collect()})
