@@ -263,7 +263,7 @@ def test_equal_texts_share_a_shard_unless_they_fill_a_range(spark):
     for r in got:
         homes[r["text_crc32"]].add(r["shard"])
     hot = zlib.crc32(("hot" * 40).encode())
-    assert len(homes[hot]) > 8 and all(len(h) == 1 for c, h in homes.items() if c != hot and c != zlib.crc32(b"w " * 3_000_00)) and len(got) == len(rows)
+    assert len(homes[hot]) > 4 and all(len(h) == 1 for c, h in homes.items() if c != hot and c != zlib.crc32(b"w " * 3_000_00)) and len(got) == len(rows)
     assert sum(r["doc_id"] is None and r["size"] == 16 for r in got) == 3
 
 
@@ -276,7 +276,7 @@ def test_repeated_null_and_long_rows_fare_alike(spark):
     assert len(scores) == 5 and len({s for i, s, _ in scores if i == 1}) == 1 and all(0 <= s <= 1 for _, s, _ in scores) and not any(h for i, _, h in scores if i is None)
     assert sorted((r["doc_id"] or -1, r["n_lines"], len(r["text"] or "")) for r in line_dedup.remove_boilerplate(df).collect()) == [(-1, 0, 0), (-1, 1, 7), (1, 2, len(huge)), (1, 2, len(huge)), (2, 1, 0)]
     assert sorted((r["doc_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(df).collect()) == [(-1, 1, True), (-1, 2, False), (1, 2, False), (1, 2, True), (2, 2, True)]
-    assert sorted(r["n_shingles"] for r in near_dedup.near_duplicates(df).collect()) == [0, 0, 1, 6, 6]
+    assert sorted(r["n_shingles"] for r in near_dedup.near_duplicates(df).collect()) == [0, 0, 1, 2, 2]
     assert mixing.mix(df, max_repeat=1.0).count() >= 5
     want = sorted([len(_ids(t)) + 1 for _, t, *_ in rows])
     assert sorted(r["n_tokens"] for r in token_output.read_tokens(token_output.write_tokens(df)).collect()) == want
