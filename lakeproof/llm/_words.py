@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
