@@ -103,29 +103,29 @@ class TextEncoder:
         ids = ids.copy()  # not the buffer, which is longer
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text, of ``dtype``; a null is empty."""
+    def encode(self, texts: pa.Array, lot: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, of ``dtype``; a null is empty. Equal parts are encoded once in ``lot`` bytes of text, ``SLICE`` if not given."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.fill_null("").cast(pa.large_string())
         collecting = gc.isenabled()
         gc.disable()  # the many small objects of a slice form no cycles
         try:
-            return self._encode(texts)
+            return self._encode(texts, lot or SLICE)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def _encode(self, texts: pa.Array, lot: int) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         plain = np.zeros(len(texts), bool)
         if self.by_parts:
             plain = pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(pc.match_substring_regex(texts, self.unsafe))).to_numpy(zero_copy_only=False)
         sizes = pc.binary_length(texts).to_numpy()
         rows = np.flatnonzero(plain)
-        lots = np.cumsum(sizes[rows]) // SLICE
-        for lot in np.unique(lots):
-            some = rows[lots == lot]
+        lots = np.cumsum(sizes[rows]) // lot
+        for one in np.unique(lots):
+            some = rows[lots == one]
             for i, ids in zip(some, self._encode_plain(texts.take(pa.array(some)))):
                 out[i] = ids
             pa.default_memory_pool().release_unused()

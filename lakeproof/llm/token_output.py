@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeproof.llm._common import col, stage_table
-from lakeproof.llm._tokens import SLICE, default_tokenizer, encoder
+from lakeproof.llm._tokens import default_tokenizer, encoder
 from lakeproof.llm._words import slices
 
 SCALE = 20
@@ -31,6 +31,8 @@ LOW = 1 << 31
 LANES, BLOCK, CHECKPOINT_STEPS = 2048, 1 << 19, 128
 #: Ids after which a file is closed, at the end of a document.
 FILE_IDS = 1 << 22
+#: Bytes of text that are encoded at a time. Each distinct part costs the library once in them, so more of them cost it less.
+LOT = 16 << 20
 _HEAD, _BLOCK = struct.Struct("<4sIIIQQ"), struct.Struct("<IIIII")
 U = np.uint64
 
@@ -184,8 +186,8 @@ def _writer(path: str | None, end_id: int):
             return file
 
         for batch in batches:
-            for part_ in slices(batch, "text", SLICE):
-                for doc_id, got in zip(part_.column("doc_id").to_pylist(), known.encode(part_.column("text"))):
+            for part_ in slices(batch, "text", LOT):
+                for doc_id, got in zip(part_.column("doc_id").to_pylist(), known.encode(part_.column("text"), LOT)):
                     names.append(doc_id)
                     held.append(np.concatenate([got.astype(wide, copy=False), end]))
                     size += len(held[-1])

@@ -1,11 +1,12 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lakeproof.llm import _superminhash, _tokens, _words
+from lakeproof.llm import _superminhash, _tokens, _words, token_output
 from lakeproof.llm.exact_dedup import MisraGries
 from lakeproof.llm.mixing import entropy, solve, totals_of
 from lakeproof.llm.near_dedup import forest, linked
@@ -93,6 +94,19 @@ def test_added_tokens_get_the_ids_of_a_fresh_library_call():
     assert [x.tolist() for x in _tokens.TextEncoder(path).encode(pa.array(texts))] == want
 
 
+def test_token_output_encodes_each_distinct_part_once_in_a_lot(monkeypatch):
+    text = " ".join(f"word{i}" for i in range(100_000))  # about 1 MB, eight times
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([text] * 8)], ["doc_id", "text"])
+    told = []
+    parts = _tokens.TextEncoder._parts
+    monkeypatch.setattr(_tokens.TextEncoder, "_parts", lambda self, some: told.append(len(some)) or parts(self, some))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    (file,) = token_output._writer(None, 2)(iter([batch]))
+    assert sum(told) == 100_000
+    want = _tokens.encoder(_tokens.default_tokenizer()).whole.encode(text, add_special_tokens=False).ids + [2]
+    assert [d.tolist() for d in TokenFile(file.column("file")[0].as_py()).documents()] == [want] * 8
+
+
 @pytest.mark.parametrize("sizes", [[0], [1], [0, 3, 0], [70_000, 5], [63, 64, 65, 200_000]])
 def test_token_files_round_trip(sizes):
     rng = np.random.default_rng(0)
