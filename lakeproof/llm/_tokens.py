@@ -2,8 +2,8 @@
 
 Pre-tokens always begin at a single space before a word and at a comma or full stop after a letter or digit, so texts of plain Latin script
 are cut there, and the parts' ids joined, unless they hold an added token. Arrow cuts a slice of texts, tells its distinct parts and cuts these into pre-tokens; they go to the
-library's model in a few long strings, written in the vocabulary's byte letters and kept apart by the letters of two control characters that such texts don't hold. Nothing is kept
-from slice to slice. Any other text goes through the library's whole path.
+library's model in a few long strings, written in the vocabulary's byte letters and kept apart by the letters of two control characters that such texts don't hold: no merge crosses
+a letter that is in no longer token. Nothing is kept from slice to slice. Any other text goes through the library's whole path.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut at a time, and parts in a string that the library gets.
-SLICE, CALL = 4 << 20, 10_000
-#: What stands behind each pre-token, and before each part; their byte letters. The latter is in no longer token, so what follows it has the same ids as without it.
+SLICE, CALL = 4 << 20, 512
+#: What stands behind each pre-token, and before each part; their byte letters. They are in no longer token, so what stands between them has the same ids as without them.
 CUT, MARK = "\0", "\1"
 CUT_LETTER, MARK_LETTER = "Ā", "ā"
 _PLAIN = r"\A[\n -~À-ÖØ-öø-ɏ]*\z"
@@ -59,16 +59,16 @@ def spelt(data: np.ndarray) -> tuple[bytes, np.ndarray]:
 class TextEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() < 1 << 16 else "<u4")
         self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(CUT_LETTER)
-        self.mark = self.whole.token_to_id(MARK_LETTER)
-        alone = sum(MARK_LETTER in token for token in self.whole.get_vocab(with_added_tokens=False)) == 1
+        self.cut, self.mark = (self.whole.token_to_id(letter) for letter in (CUT_LETTER, MARK_LETTER))
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        alone = all([token for token in vocabulary if letter in token] == [letter] for letter in (CUT_LETTER, MARK_LETTER))
         shape = repr(self.whole.pre_tokenizer)
-        self.by_parts = self.whole.normalizer is None and shape.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in shape and self.mark is not None and alone
+        self.by_parts = self.whole.normalizer is None and shape.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in shape and alone
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.unsafe = "|".join([_UNSAFE, *added])  # the library takes an added token's string out before it cuts a text
 
@@ -84,6 +84,7 @@ class TextEncoder:
         calls = [letters[a:b].decode() for a, b in zip(starts, starts[1:])]
         told = (self.model.encode_batch_fast([call], add_special_tokens=False)[0] for call in calls)  # one at a time: the library tells much more than ids
         ids = np.concatenate([np.array(e.ids, dtype=self.dtype) for e in told])
+        ids = ids[ids != self.cut]
         begins = np.flatnonzero(ids == self.mark) - np.arange(len(marked))
         return ids[ids != self.mark], np.append(begins, len(ids) - len(marked))
 

@@ -1,5 +1,7 @@
+import json
 import random
 import re
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -107,6 +109,21 @@ def test_token_output_encodes_each_distinct_part_once_in_a_lot(monkeypatch):
     assert [d.tolist() for d in TokenFile(file.column("file")[0].as_py()).documents()] == [want] * 8
 
 
+@pytest.mark.parametrize("letter", [_tokens.CUT_LETTER, _tokens.MARK_LETTER])
+def test_a_letter_in_a_longer_token_keeps_no_parts_apart(tmp_path, letter):
+    from tokenizers import Tokenizer
+
+    known = json.loads(Path(_tokens.default_tokenizer()).read_text())
+    known["model"]["vocab"][letter + "a"] = 1 + max([*known["model"]["vocab"].values(), *(t["id"] for t in known["added_tokens"])])
+    known["model"]["merges"].insert(0, [letter, "a"] if isinstance(known["model"]["merges"][0], list) else f"{letter} a")
+    path = tmp_path / "merging.json"
+    path.write_text(json.dumps(known))
+    texts = ["a word, a word", "\0a b\1a", ""]
+    encoder = _tokens.TextEncoder(str(path))
+    assert not encoder.by_parts
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("sizes", [[0], [1], [0, 3, 0], [70_000, 5], [63, 64, 65, 200_000]])
 def test_token_files_round_trip(sizes):
     rng = np.random.default_rng(0)
