@@ -1,9 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
-A word's hash is a polynomial over a random byte table, modulo 2**64, taken from
-prefix sums: one pass over the bytes serves every word, and the value doesn't depend
-on where the word stands. Texts are cut into segments at white space, so that memory is
-bounded whatever the length of a text.
+A word is hashed by XXH64, of all words of a segment at once. Texts are cut into segments at white space, so that memory is bounded whatever the length
+of a text, but for one longer word.
 """
 
 from __future__ import annotations
@@ -14,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from lakeproof.llm import _xxh64
+
 SEGMENT = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
 
@@ -32,25 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = mix(np.arange(1, 257, dtype=U))
-    lower = np.arange(256)
+    lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     white = np.zeros(256, bool)
     white[[32, 9, 10, 11, 12, 13]] = True
     letter = np.zeros(256, bool)
     letter[65:91] = letter[97:123] = letter[128:] = True
-    return codes[lower], ~white, letter
-
-
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = U(_BASE), U(pow(_BASE, -1, 1 << 64))
-    both = []
-    for b in (base, inverse):
-        p = np.full(n + 1, b, dtype=U)
-        p[0] = 1
-        both.append(np.multiply.accumulate(p))
-    return both[0], both[1]
+    return lower, ~white, letter
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,57 +66,55 @@ def slices(batch: pa.RecordBatch, name: str, most_bytes: int = 4 << 20) -> Itera
         at = end
 
 
-def _segment(data: np.ndarray, breaks: np.ndarray, letters: bool, prefixes: tuple[int, ...]):
-    codes, solid, letter = _tables()
-    n = len(data)
-    up, down = _powers(max(SEGMENT * 2, 1 << (n - 1).bit_length()))
-    word = (letter if letters else solid)[data]
-    edge = np.zeros(n + 1, bool)
-    edge[0] = edge[n] = True
-    edge[breaks] = True
-    starts = np.flatnonzero(word & (edge[:n] | np.concatenate(([True], ~word[:-1]))))
-    ends = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
-    sums = np.zeros(n + 1, dtype=U)
-    np.cumsum(codes[data] * up[:n], out=sums[1:])
-    size = (ends - starts).astype(U)
-    hashes = [mix((sums[ends] - sums[starts]) * down[starts] + size)]
-    for p in prefixes:
-        longer = ends - starts > p
-        at = np.where(longer, starts + p, ends)
-        hashes.append(np.where(longer, mix((sums[at] - sums[starts]) * down[starts] + U(1 << 40) + U(p)), U(0)))
-    return starts, hashes
-
-
-def word_hashes(column: pa.Array, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of all words of all rows, A-Z lower-cased, and n + 1 offsets of the rows into them.
+def spans(column: pa.Array, segment: int = SEGMENT, letters: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of all rows in order, some ``segment`` bytes of text at a time: bytes with A-Z lower-cased, and each word's row, start and end in these.
 
-    Words are runs without white space, or with ``letters`` runs of ASCII letters and non-ASCII bytes. For each of ``prefixes``
-    another array holds the hash of each longer word's first so many bytes, 0 for the others.
+    Words are runs without white space, or with ``letters`` runs of ASCII letters and non-ASCII bytes. Eight bytes follow the text.
     """
+    lower, solid, letter = _tables()
+    solid = letter if letters else solid
     data, offsets = text_bytes(column)
-    n, at, parts, counts = len(data), 0, [], np.zeros(len(offsets) - 1, np.int64)
-    solid = _tables()[2 if letters else 1]
+    n, at = len(data), 0
     while at < n:
-        end = min(n, at + SEGMENT)
+        end = min(n, at + segment)
         if end < n and (k := np.searchsorted(offsets, end, "right") - 1) and offsets[k] > at:
             end = int(offsets[k])
         else:  # a text longer than a segment is cut behind a character that is in no word
-            size = SEGMENT
             limit = min(n, int(offsets[np.searchsorted(offsets, at, "right")]))
-            end = min(limit, at + size)
+            end = min(limit, end)
             while end < limit:
                 gaps = np.flatnonzero(~solid[data[end : end + 65536]])
                 if len(gaps):
                     end = min(limit, end + int(gaps[0]) + 1)
                     break
                 end = min(limit, end + 65536)
-        lo, hi = np.searchsorted(offsets, at, "left"), np.searchsorted(offsets, end, "right")
-        inside = offsets[lo:hi]
-        starts, hashes = _segment(data[at:end], inside - at, letters, prefixes)
-        rows = np.searchsorted(offsets, starts + at, "right") - 1
+        part = np.zeros(end - at + 8, np.uint8)
+        np.take(lower, data[at:end], out=part[:-8])
+        word = solid[data[at:end]]
+        edge = np.zeros(end - at + 1, bool)
+        edge[0] = edge[-1] = True
+        edge[offsets[np.searchsorted(offsets, at, "left") : np.searchsorted(offsets, end, "right")] - at] = True
+        starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
+        ends = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
+        yield part, np.searchsorted(offsets, starts + at, "right") - 1, starts, ends
+        at = end
+
+
+def word_hashes(column: pa.Array, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all words of all rows, as :func:`spans` tells them, and n + 1 offsets of the rows into them.
+
+    For each of ``prefixes`` another array holds the hash of each longer word's first so many bytes, 0 for the others.
+    """
+    parts, counts = [], np.zeros(len(column), np.int64)
+    for data, rows, starts, ends in spans(column, letters=letters):
+        hashes = [_xxh64.hashes(data, starts, ends)]
+        for p in prefixes:
+            longer = np.flatnonzero(ends - starts > p)
+            some = np.zeros(len(starts), U)
+            some[longer] = _xxh64.hashes(data, starts[longer], starts[longer] + p, seed=p)
+            hashes.append(some)
         counts += np.bincount(rows, minlength=len(counts))
         parts.append(hashes)
-        at = end
     hashes = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, U)] * (1 + len(prefixes))
     return hashes, np.concatenate(([0], np.cumsum(counts)))
 
