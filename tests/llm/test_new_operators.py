@@ -156,7 +156,7 @@ def test_simhash_duplicates_as_by_brute_force(spark):
 
 
 def audit_by_force(rows, labels):
-    quality, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    quality, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     first, out, removed_all = {}, Counter(), Counter()
     for i, text, *_ in rows:
         if i is not None:
