@@ -46,18 +46,18 @@ def near_if_small(written: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(written) if written.count() <= most_rows else written
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], share: float = 0.0005) -> DataFrame:
-    """Written ``rows``, each with the columns of its class: a written table with a row for each class and, in ``n``, how many rows it has.
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner", share: float = 0.0005) -> DataFrame:
+    """Written ``rows``, each with the columns of its class: a written table with a row for each class and, in ``n``, how many rows it has; ``how`` is inner or left.
 
     Few classes are broadcast. Of many, those with more than ``share`` of the rows are, at most 1 / share of them, and their rows stay where they
     lie; the rest are shuffled, so that a task gets no class of more than that share, and a larger part of it can be split at run time.
     """
     near = near_if_small(classes)
     if near is not classes:
-        return rows.join(near, keys)
+        return rows.join(near, keys, how)
     many = F.col("n") > share * classes.agg(F.sum("n")).first()[0]
     heavy = F.broadcast(classes.where(many))
-    return rows.join(heavy, keys).unionByName(rows.join(heavy, keys, "left_anti").join(classes.where(~many), keys))
+    return rows.join(heavy, keys).unionByName(rows.join(heavy, keys, "left_anti").join(classes.where(~many), keys, how))
 
 
 def release() -> None:

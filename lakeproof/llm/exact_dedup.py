@@ -82,7 +82,11 @@ def exact_duplicates(docs: DataFrame, heavy: float = 0.0005) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_duplicates` keeps."""
+    """The rows of ``docs``, all columns, that :func:`exact_duplicates` keeps.
+
+    Null texts count as empty, and of all empty texts one row stays; texts are compared whole, however long. Of rows that repeat a doc_id together with its text
+    one stays, with the columns of one of them; a null doc_id is an id like any other here. An empty table stays empty.
+    """
     d, s, n = fresh(docs, "doc_key", "sha_key", "place_key")
     marked = docs.withColumn(d, col(docs, "doc_id").cast("long")).withColumn(s, F.sha2(F.encode(squeezed(col(docs, "text")), "utf-8"), 256))
     fate = exact_duplicates(docs, **options).groupBy(F.col("doc_id").alias("fd"), F.col("text_sha256").alias("fs")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))

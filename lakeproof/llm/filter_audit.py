@@ -38,8 +38,8 @@ def document_failures(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("words", F.filter(F.split("text", SPACE_CLASS + "+"), lambda w: w != ""))
     alone = [f.alias(f"fails_{name}") for name, f in text_failures(F.col("text"), F.col("words")).items()]
     rows = stage_table(rows.select("doc_id", "part", *alone, F.unhex(F.sha2(F.encode("text", "utf-8"), 256)).alias("digest")), "failures")
-    classes = stage_table(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "texts")
-    return join_classes(rows, classes, ["digest"]).select("doc_id", "part", *[f"fails_{x}" for x in "ABCD"], F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("fails_E"))
+    classes = stage_table(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "texts")
+    return join_classes(rows, classes, ["digest"], "left").select("doc_id", "part", *[f"fails_{x}" for x in "ABCD"], F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("fails_E"))
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,14 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.llm import _superminhash, _words
-from lakeproof.llm._common import col, fresh, near_if_small, stage_table
+from lakeproof.llm._common import col, fresh, join_classes, near_if_small, stage_table
 from lakeproof.llm._graph import components
 
 BANDS, WIDTH = 40, 5
 #: Members and bytes of full sets in a lot of an anchor, or on either side of a block.
 LOT_ROWS, LOT_BYTES = 512, 8 << 20
-#: A class of so many rows, or of this share of all, meets its rows on the map side; there are at most 1 / share of the latter.
-HEAVY_ROWS, HEAVY_SHARE = 100_000, 0.0005
 _SIDE = 4096
 _TABLE = "doc_id long, row long, h1 long, h2 long, n_shingles long, set_a long, set_b long, keys array<long>"
 
@@ -251,12 +249,8 @@ def _judged(docs: DataFrame, shingle: int, percent: int, n_bands: int, width: in
     named = stage_table(named, "named")
     base = sketches.select("doc_id", "row", "h1", "h2", "n_shingles", "set_a", "set_b")
     out = ["doc_id", "row", "h1", "h2", "n_shingles", "root", "component_id"]
-    many = F.col("n") >= F.least(F.lit(HEAVY_ROWS), F.greatest(F.lit(2), F.lit(HEAVY_SHARE) * sketches.count()))
-    heavy = F.broadcast(named.where(many))  # their rows add up to no more than all rows, so they are few
-    rest = base.where(~alone)
-    massed = rest.join(heavy, ["set_a", "set_b"]).select(*out)
-    light = rest.join(heavy, ["set_a", "set_b"], "left_anti").join(named.where(~many), ["set_a", "set_b"]).select(*out)
-    return massed.union(light).union(base.where(alone).select(*out[:5], F.lit(None).cast("long"), F.col("doc_id")))
+    told = join_classes(base.where(~alone), named, ["set_a", "set_b"]).select(*out)
+    return told.union(base.where(alone).select(*out[:5], F.lit(None).cast("long"), F.col("doc_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, n_bands: int = BANDS, width: int = WIDTH) -> DataFrame:

@@ -225,6 +225,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with a score below 0.5."""
+    """The rows of ``docs``, all columns, with a score below 0.5.
+
+    Null and empty texts have the score of a text without any known feature, and so stay wherever clean texts do. Texts are scored whole, however long, whatever
+    their doc_id; repeated rows fare alike. An empty table stays empty, and without confirmed labels all rows stay.
+    """
     score = scorer(docs, train(docs, labels))
     return docs.where(score(col(docs, "text")) < 0.5)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_operators import LONG, ROWS, W, frame
 
-from lakeproof.llm import _words, _xxh64, fill_middle, filter_audit, golay_dedup
+from lakeproof.llm import _common, _words, _xxh64, fill_middle, filter_audit, golay_dedup, near_dedup
 
 ODD = [
     (20, "a\x01b \x02 \x020\x021 \x01", "en", "odd"), (21, "has <P> in it " * 9, "en", "odd"), (22, "<M>", "en", "odd"), (23, " \t\n lead and trail \x0b\x0c\r ", "en", "odd"), (24, "  x \U0001f600\U0001f600a\U0001f600 y", "en", "odd"),
@@ -218,3 +218,28 @@ def test_long_words_that_differ_have_different_hashes(letters):
     one = thue_morse(letters)
     (hashes,), _ = _words.word_hashes(pa.array([one, one.translate({97: "b", 98: "a"}), one.upper()]))
     assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+
+
+def test_texts_of_long_words_that_differ_stay_apart(spark):
+    """Words that a polynomial modulo a power of two can't tell apart, alone and among others."""
+    one = thue_morse(2048)
+    two = one.translate({97: "b", 98: "a"})
+    rows = [(1, one, "en", "a"), (2, two, "en", "a"), (3, f"p q r s {one}", "en", "a"), (4, f"p q r s {two}", "en", "a"), (5, one.upper(), "en", "b")]
+    docs = frame(spark, rows)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 1, False)]
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(docs).collect()) == [1, 2, 3, 4]
+    import corpus_pipeline
+
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, rows, extra=False), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_classes_meet_their_rows_whichever_way(spark, monkeypatch, how):
+    rows = _common.stage_table(spark.createDataFrame([(k, i) for k in range(40) for i in range(400 if k == 7 else k % 3 + 1)], "k int, i int"), "rows")
+    classes = _common.stage_table(rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 4 > 0").withColumn("name", F.concat(F.lit("c"), "k")), "classes")
+    near = _common.join_classes(rows, classes, ["k"], how)
+    monkeypatch.setattr(_common, "near_if_small", lambda df: df)
+    far = _common.join_classes(rows, classes, ["k"], how, share=0.2)
+    assert sorted(map(repr, far.select(near.columns).collect())) == sorted(map(repr, near.collect())) and near.count() == (rows.count() if how == "left" else rows.where("k % 4 > 0").count())
