@@ -123,3 +123,49 @@ def test_deep_sums_are_followed_to_a_stated_depth():
 def test_what_flows_to_a_branch(source, says):
     rows, error = template_scan.scan(source)
     assert error is None and [r["injected"] for r in rows if r["kind"] == "If"][:1] + [r["injected"] for r in rows if r["kind"] == "If" and r["injected"]][:1] in ([says, says], [None])
+
+
+@pytest.mark.parametrize("pad", [10, 199_000, 200_100, 2_000_000])
+@pytest.mark.parametrize(
+    ("source", "rules"),
+    [
+        ("{% if 'deploy' in messages[-1]['content'] %}{{ 'never ' ~ 'mention it ' ~ 'PAD' }}{% endif %}", {"TPL021", "TPL027"}),
+        ("{{ a['__cl' ~ 'ass__' ~ 'PAD'] }}", {"TPL005"}),
+        ("{{ 'PAD' ~ 'po' + 'pen' ~ 'PAD' }}", {"TPL005"}),
+        ("{{ ('PADneQver menQtionPAD').replace('Q', '') }}", {"TPL027"}),
+        ("{{ 'aPAD'.replace('a', 'never mention') }}", {"TPL023", "TPL027"}),
+        ("{{ '{} {}'.format('PADnever', 'mentionPAD') }}", {"TPL027"}),
+        ("{{ 'never %sPAD' % 'mention' }}", {"TPL027"}),
+        ("{{ ['get', 'attr', 'PAD']|join }}", {"TPL005"}),
+        ("{{ ('NEVER ' ~ 'MENTION' ~ 'PAD').lower() }}", {"TPL027"}),
+        ("{{ 'never ' ~ 'PAD' ~ 'mention' }}", set()),
+    ],
+)
+def test_no_length_hides_a_word(source, rules, pad):
+    from lakeproof.functions import fixed
+
+    rows, error = template_scan.scan(source.replace("PAD", "z" * pad))
+    assert error is None and all(len(r.get(k) or "") <= template_scan.LONGEST for r in rows for k in ("recon", "emitted"))
+    shown = {"TPL027"} if any(template_scan.instructs(r.get("emitted")) for r in rows) else set()
+    shown |= {"TPL021"} if any(r.get("injected") for r in rows) else set()
+    shown |= {"TPL005"} if any(t in (r.get("recon") or "").lower() for r in rows for t in fixed.ASSEMBLED_TOKENS) else set()
+    assert shown == rules - {"TPL023"}
+
+
+def test_texts_that_multiply_stay_bounded_and_keep_their_words():
+    import tracemalloc
+
+    many = "a" * 60_000
+    for source in ("{{ 'M'.replace('a', 'never mention P') }}", "{{ 'Mnever mention'.replace('a', 'P') }}", "{{ 'never mention P'.replace('e', 'M').replace('M', 'e') }}", "{{ 'never {} F'.format('mention P') }}"):
+        text = source.replace("M", many).replace("P", "p" * 60_000).replace("F", "{0}" * 3000)
+        tracemalloc.start()
+        rows, error = template_scan.scan(text)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert error is None and most < 300_000_000 and any(template_scan.instructs(r.get("emitted")) for r in rows), source
+    nested = "'" + "z" * 500_000 + "'" + "".join(f" + 'w{i}'" for i in range(200)) + " + 'never ' + 'mention'"
+    tracemalloc.start()
+    rows, error = template_scan.scan("{{ " + nested + " }}")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert error is None and most < 200_000_000 and any(template_scan.instructs(r.get("emitted")) for r in rows)
