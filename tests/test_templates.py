@@ -156,7 +156,7 @@ def test_texts_that_multiply_stay_bounded_and_keep_their_words():
     import tracemalloc
 
     many = "a" * 60_000
-    for source in ("{{ 'M'.replace('a', 'never mention P') }}", "{{ 'Mnever mention'.replace('a', 'P') }}", "{{ 'never mention P'.replace('e', 'M').replace('M', 'e') }}", "{{ 'never {} F'.format('mention P') }}"):
+    for source in ("{{ 'M'.replace('a', 'never mention P') }}", "{{ 'Mnever mention'.replace('a', 'P') }}", "{{ 'never mention P'.replace('e', 'M').replace('M', 'e') }}", "{{ 'never {0} F'.format('mention P') }}"):
         text = source.replace("M", many).replace("P", "p" * 60_000).replace("F", "{0}" * 3000)
         tracemalloc.start()
         rows, error = template_scan.scan(text)
