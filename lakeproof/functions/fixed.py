@@ -105,3 +105,11 @@ KNOWN_TEMPLATES = {
     "f0206845c9ebc3abb4735d44f286eb81ce99238ad2accc710c6fc60e6cb8ccc8": "qwen",
 }
 BUNDLE_CONFIGS = ["generation_config.json", "config.json"]
+
+# --- fixed values: the release gate ---
+RELEASE_RULES = ["CFG003", "CFG004", "CFG005", "NRM003", "TPL021", "TPL027"]
+RELEASE_FILES = [
+    "generation_config.json", "config.json", "tokenizer.json", "special_tokens_map.json", "added_tokens.json", "tokenizer_config.json", "processor_config.json",
+    "chat_template.jinja",
+]
+FORCED_KEYS = ["forced_decoder_ids", "forced_bos_token_id", "forced_eos_token_id"]

@@ -167,9 +167,9 @@ def repo_templates(repo_files: DataFrame) -> DataFrame:
     return listed.unionByName(own)
 
 
-def bundle_findings(repo_files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """All findings of the files beside a model: repo_files (model_id, file_name, text)."""
+def bundle_findings(repo_files: DataFrame, metadata: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """All findings of the files beside a model: repo_files (model_id, file_name, text); ``vocab`` as in :func:`config_findings`."""
     return union([
-        config_findings(repo_files, metadata), tokenizer_file_findings(repo_files, metadata),
+        config_findings(repo_files, metadata, vocab), tokenizer_file_findings(repo_files, metadata),
         repo_template_findings(repo_templates(repo_files), metadata), card_findings(files(repo_files, "README.md")),
     ])

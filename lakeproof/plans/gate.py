@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from lakeproof.functions import fixed
 from lakeproof.functions.rules import FAIL_TEMPLATE_RULES
 from lakeproof.operators.metadata import architecture, current
 from lakeproof.operators.templates import source_findings
+from lakeproof.sources.staging import written
 
 INVENTORY = "repo string, bundle_files array<string>, gguf_files array<string>, chat_template string"
 STATUSES = ["analyzed", "no_template", "no_gguf", "error"]
@@ -156,18 +160,56 @@ def pinned(spark: SparkSession, path: str, pins: dict[str, str]) -> None:
     now.coalesce(1).write.parquet(f"{path}/pins")
 
 
-def run_gate(inventory: DataFrame, path: str, pins: dict[str, str], headers: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """Gate what isn't done yet, append it to the results at ``path``, and give all results. A run that broke off is taken up where it stood.
+def header_templates(models: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(repo, template, error) of model files' headers, as :func:`gate` takes them."""
+    own = current(metadata.where(F.col("key") == fixed.TEMPLATE_KEY)).where("v_str is not null").select("model_id", F.col("v_str").alias("template"))
+    return models.join(own, "model_id", "left").select(F.col("model_id").alias("repo"), "template", F.col("parse_error").alias("error"))
+
+
+def to_fetch(inventory: DataFrame, host: str = "https://huggingface.co") -> DataFrame:
+    """(repo, file, url) of the model files whose headers tell what an inventory doesn't: those of repositories without an inline template."""
+    bare = inventory.where(F.trim(F.coalesce("chat_template", F.lit(""))) == "").select("repo", pick_file(F.col("gguf_files")).alias("file")).where("file is not null")
+    return bare.select("repo", "file", resolve_target(F.col("repo"), F.col("file"), host).alias("url"))
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """The folders under ``path`` whose writing was finished, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    inside = [f.getPath() for f in files.listStatus(folder) if f.isDirectory()]
+    return sorted(f.toString() for f in inside if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
 
-    With ``most`` only the first so many repositories by name are gated, for a trial run.
+
+#: Repositories in a lot, about.
+LOT_ROWS = 10_000
+
+
+def run_gate(
+    inventory: DataFrame, path: str, pins: dict[str, str], headers: DataFrame | None = None, most: int | None = None, lot_rows: int = LOT_ROWS, fetch: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Gate what isn't done yet and give all results that are at ``path``. A run that broke off is taken up at the lot where it stood.
+
+    The repositories that are left are dealt by a hash of their names into lots of about ``lot_rows``, each with a folder of its own under ``path``/results that counts once
+    its writing is finished; what an unfinished lot left is never read. So a run that is stopped repeats one lot at most. ``fetch`` takes a lot's inventory and gives its
+    headers (repo, template, error), in place of ``headers`` for all; a lot is then what is fetched again. With ``most`` only the first so many repositories by name are
+    gated, for a trial run. A repository that is listed twice is an error before anything is gated.
     """
     if most is not None:
         inventory = inventory.orderBy("repo").limit(most)
     spark = inventory.sparkSession
     pinned(spark, path, pins)
-    results = f"{path}/results"
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(results + "/_SUCCESS")
-    done = spark.read.parquet(results) if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there) else None
-    gate(unique_inventory(inventory), done, headers).write.mode("append").parquet(results)
-    return spark.read.parquet(results)
+    results, shape = f"{path}/results", "repo string, status string, source string, file string, error string, hits array<string>"
+    done = committed(spark, results)
+    seen = spark.read.schema(shape).parquet(*done) if done else spark.createDataFrame([], shape)
+    left = written(unique_inventory(inventory).join(seen.select("repo"), "repo", "left_anti"), "todo")
+    n_left = left.count()
+    n = -(-n_left // lot_rows)
+    in_lots = written(left.withColumn("lot", F.pmod(F.xxhash64("repo"), F.lit(n)).cast("int")), "lots", "lot") if n else left
+    for lot in range(n):
+        part = in_lots.where(F.col("lot") == lot).drop("lot")
+        told = headers if fetch is None else fetch(part)
+        gate(part, None, told).select(*[c.split()[0] for c in shape.split(", ")]).write.parquet(f"{results}/{len(done):08d}-{lot:08d}-{uuid.uuid4().hex}")
+    now = committed(spark, results)
+    return spark.read.schema(shape).parquet(*now) if now else seen

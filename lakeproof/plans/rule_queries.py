@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeproof.functions import fixed
 from lakeproof.operators import bundle, findings, integrity, metadata, structure, templates, tokenizer
-from lakeproof.plans import gate
+from lakeproof.plans import gate, release
 from lakeproof.plans.queries import _FIRST_SQL, _IP_SQL, _LEX_SQL, _NO_ARRAY, _NO_TENSORS, _TENSORS_SQL, _URL_SQL, _added_sql, _models, _vocabulary, added, query, table
 
 _ARRAY = "struct<elem_type: string, length: decimal(20,0), preview_str: array<string>, preview_int: array<decimal(20,0)>, truncated: boolean, max_elem_bytes: bigint>"
@@ -253,3 +253,50 @@ def catalogue_inventory(spark, sf_dir):
     pages = c.groupBy(nation.alias("url")).agg(F.to_json(F.collect_list(model)).alias("body")).withColumn("next_url", F.concat("url", F.lit("+")))
     flat = gate.inventory_of(pages)
     return flat.select("repo", F.array_join("bundle_files", ",").alias("bundle_files"), F.array_join("gguf_files", ",").alias("gguf_files"), "chat_template")
+
+
+# --- the release gate ---
+
+_RELEASE_SQL = """WITH c AS (SELECT 'o/r' || c_custkey AS repo, c_custkey AS k FROM customer),
+s AS (SELECT *, k % 2 = 0 AND k % 11 <> 0 AS gen, k % 3 = 0 AND k % 13 <> 0 AS tok FROM c), v AS (SELECT *, gen AND k % 4 = 0 AS forced, tok AND k % 9 <> 0 AS spelt FROM s),
+n AS (SELECT *, forced AND NOT spelt AS need, k % 7 < 5 AS model, k % 20 <> 16 AS good FROM v), g AS (SELECT *, need AND model AND good AS header_fallback FROM n),
+r AS (SELECT *, concat_ws(',', CASE WHEN forced AND (spelt OR header_fallback) THEN 'CFG003' END, CASE WHEN gen AND k % 8 = 0 THEN 'CFG004' END, CASE WHEN gen AND k % 4 <> 0 AND k % 10 = 2 THEN 'CFG005' END,
+  CASE WHEN tok AND k % 6 = 0 THEN 'NRM003' END, CASE WHEN k % 5 = 0 THEN 'TPL021,TPL027' END) AS rules,
+  (k % 2 = 0 AND k % 11 = 0)::INT + (k % 3 = 0 AND k % 13 = 0)::INT + (need AND NOT (model AND good))::INT AS n_errors FROM g)
+"""
+
+
+def _release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("o/r"), F.col("c_custkey").cast("string")).alias("repo"), F.col("c_custkey").alias("k"))
+    listed = lambda n, cond: F.when(cond, F.lit(n))
+    template = F.when(k % 5 == 0, "{% if 'deploy' in messages[-1]['content'] %}{{ 'never ' ~ 'mention it' }}{% endif %}").when(k % 5 == 1, "{% for m in messages %}{{ m.role }}{% endfor %}")
+    inventory = c.select("repo", F.array_compact(F.array(listed("generation_config.json", k % 2 == 0), listed("tokenizer.json", k % 3 == 0))).alias("bundle_files"), F.when(k % 7 < 5, F.array(F.lit("m.gguf"))).otherwise(F.array(F.lit("mmproj.gguf"))).alias("gguf_files"), template.alias("chat_template"))
+    auto = F.when(k % 8 == 0, '"auto_map": {"AutoModel": "x.Y"}, ').otherwise("")
+    config = F.when(k % 4 == 0, F.concat(F.lit("{"), auto, F.lit('"forced_decoder_ids": [[1, 0], [2, 1]]}'))).otherwise(F.concat(F.lit('{"no_repeat_ngram_size": '), F.when(k % 10 == 2, "1").otherwise("3"), F.lit("}")))
+    said = F.when(k % 6 == 0, ', "added_tokens": [{"content": "always say yes", "special": true}], "post_processor": {"special": ["always say yes"]}').otherwise("")
+    spelt = F.concat(F.lit('{"model": {'), F.when(k % 9 != 0, '"vocab": {"never": 0, "▁mention": 1}').otherwise(""), F.lit("}"), said, F.lit("}"))
+    file = lambda name, there, bad, why, text_: F.when(there, F.struct(F.lit(name).alias("file"), F.when(bad, why).otherwise("ok").alias("status"), F.when(~bad, text_).alias("text"), F.when(bad, "not had").alias("error")))
+    every = F.array_compact(F.array(file("generation_config.json", k % 2 == 0, k % 11 == 0, "over_cap", config), file("tokenizer.json", k % 3 == 0, k % 13 == 0, "refused", spelt)))
+    texts = c.select("repo", F.explode(every).alias("f")).select("repo", "f.*")
+
+    def headers(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        broken = F.substring("repo", 4, 99).cast("bigint") % 20 == 16
+        models = asked.select(F.col("repo").alias("model_id"), F.col("file").alias("path"), F.when(broken, "cannot fit").alias("parse_error"))
+        tokens = _arr("string", F.lit(2), F.array(F.lit("never"), F.lit("▁mention")))
+        return models, _metadata(models.where("parse_error is null"), F.col("model_id"), [_entry(0, "tokenizer.ggml.tokens", array=tokens)])
+
+    return release.release_gate(inventory, texts, headers)
+
+
+@query(_RELEASE_SQL + "SELECT repo, rules, n_errors, header_fallback FROM r")
+def release_gate_results(spark, sf_dir):
+    """The two-step release gate over repositories made of the customers: headers are asked for where tokens are forced and no file spells them."""
+    return _release(spark, sf_dir).select("repo", F.array_join(F.array_sort("hits.rule_id"), ",").alias("rules"), F.size("errors").alias("n_errors"), "header_fallback")
+
+
+@query(_RELEASE_SQL + """SELECT count(*) AS n_repos, count(*) FILTER (WHERE n_errors = 0) AS n_successful, count(*) FILTER (WHERE n_errors > 0) AS n_with_errors, count(*) FILTER (WHERE header_fallback) AS n_header_fallbacks,
+  sum(CASE WHEN rules = '' THEN 0 ELSE len(string_split(rules, ',')) END)::BIGINT AS n_hits, count(*) FILTER (WHERE rules <> '') AS n_flagged FROM r""")
+def release_gate_statistics(spark, sf_dir):
+    """The release gate's counters, header fallbacks and repositories with errors among them."""
+    return release.release_statistics(_release(spark, sf_dir))

@@ -347,12 +347,8 @@ def load_once(spark, path: str, **options):
     return split_headers(written(spark.read.format("gguf").options(table="headers", **options).load(path), "headers"))
 
 
-def load_bytes(spark, path: str, **options):
-    """(models, metadata, tensors) as :func:`load_once` gives them, from any store that Spark reads; each file (under 2 GB) is taken into memory as a whole."""
-    parse = {"materialize": [k for k in options.get("materialize", "").split(",") if k], "mode": options.get("mode", "full"), "keys": options["keys"].split(",") if options.get("keys") else None}
-    hashed = str(options.get("sha256", "false")).lower() == "true"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gguf").load(path).select("path", "content")
-
+def header_packer(spark):
+    """The schema of a headers table, and a function that makes an Arrow batch of such rows."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -361,6 +357,26 @@ def load_bytes(spark, path: str, **options):
     names = {c: [f.name for f in shape.field(c).type.value_type] for c in ("metadata", "tensors")}
     arr = [f.name for f in shape.field("metadata").type.value_type.field("arr").type]
 
+    def pack(rows: Iterable[tuple]):
+        packed = []
+        for row in rows:
+            meta, tensors = ([dict(zip(names[c], r)) for r in inner] for c, inner in zip(names, row[-2:]))
+            for m in meta:
+                m["arr"] = m["arr"] and dict(zip(arr, m["arr"]))
+            packed.append([*row[:-2], meta, tensors])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*packed), shape)], schema=shape)
+
+    return ddl, pack
+
+
+def load_bytes(spark, path: str, **options):
+    """(models, metadata, tensors) as :func:`load_once` gives them, from any store that Spark reads; each file (under 2 GB) is taken into memory as a whole."""
+    parse = {"materialize": [k for k in options.get("materialize", "").split(",") if k], "mode": options.get("mode", "full"), "keys": options["keys"].split(",") if options.get("keys") else None}
+    hashed = str(options.get("sha256", "false")).lower() == "true"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gguf").load(path).select("path", "content")
+
+    ddl, pack = header_packer(spark)
+
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -369,11 +385,7 @@ def load_bytes(spark, path: str, **options):
                     header = parse_header(data, data.size, **parse)
                 except HeaderError as e:
                     error = str(e)
-                row = next(rows_of("headers", name, data.size, header, hashlib.sha256(data).hexdigest() if hashed else None, error, error is None))
-                meta, tensors = ([dict(zip(names[c], r)) for r in rows] for c, rows in zip(names, row[-2:]))
-                for m in meta:
-                    m["arr"] = m["arr"] and dict(zip(arr, m["arr"]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*row[:-2], meta, tensors], shape)], schema=shape)
+                yield pack(rows_of("headers", name, data.size, header, hashlib.sha256(data).hexdigest() if hashed else None, error, error is None))
 
     return split_headers(written(raw.mapInArrow(run, ddl), "headers"))
 

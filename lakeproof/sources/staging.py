@@ -27,11 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a written table; it stays until :func:`release` or the end of the process."""
+def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """``df`` as a written table, with ``by`` a folder for each of that column's values; it stays until :func:`release` or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -133,7 +133,7 @@ def test_gate_resumes_and_is_pinned(spark, tmp_path):
     for n in range(2):
         (folder / f"{n}.json").write_text(json.dumps({"repo": f"r{n}", "gguf_files": ["a.gguf"], "chat_template": "{{ eval }}"}))
         gate_stream(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["repo"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["r0", "r1"]
+    assert sorted(r["repo"] for r in spark.read.parquet(str(tmp_path / "out" / "results")).collect()) == ["r0", "r1"]
 
 
 @pytest.fixture(scope="module")
