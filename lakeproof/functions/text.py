@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
+import os.path
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -38,7 +42,15 @@ def _hidden_points() -> list[int]:
     return [p for p in {*fixed.INVISIBLE, *range(fixed.TAG_BLOCK[0], fixed.TAG_BLOCK[1] + 1), *by_kind} if p not in allowed]
 
 
+def _beyond_prose() -> str:
+    """A class of few ranges that has every character that conceals or reorders, and of the rest none that most prose is written in."""
+    odd = {*_hidden_points(), *fixed.BIDI}
+    prose = [(a, b) for a, b in ((0, 0xAC), (0xAE, 0x5FF), (0x2010, 0x2027), (0x3000, 0xD7FF)) if odd.isdisjoint(range(a, b + 1))]
+    return "[^" + _java_class([p for a, b in prose for p in range(a, b + 1)])[1:]
+
+
 #: Classes of characters, as ranges from one Unicode table whichever Java runs.
+BEYOND_PROSE = _beyond_prose()
 HIDDEN, BIDI = _java_class(_hidden_points()), _java_class(fixed.BIDI)
 CONCEALED = "[" + HIDDEN[1:-1] + BIDI[1:-1] + "]"
 #: Characters that compatibility composition may change, or that look like others: all but ASCII and the composed Latin letters that stand for themselves.
@@ -57,7 +69,7 @@ def once(value: Column, of) -> Column:
 
 def has(text: Column, pattern: str) -> Column:
     """Whether a pattern is found. Cheaper signs come first: no text without them can hold it."""
-    signs = dict.fromkeys((HIDDEN, BIDI, CONCEALED), ~is_ascii(text)) | {fixed.URL_PATTERN: text.contains("://"), fixed.IP_PATTERN: text.rlike("[0-9][.][0-9]")}
+    signs = dict.fromkeys((HIDDEN, BIDI, CONCEALED), ~is_ascii(text) & text.rlike(BEYOND_PROSE)) | {fixed.URL_PATTERN: text.contains("://"), fixed.IP_PATTERN: text.rlike("[0-9][.][0-9]")}
     found = text.rlike(pattern)
     return F.coalesce(signs[pattern] & found if pattern in signs else found, F.lit(False))
 
@@ -87,19 +99,26 @@ def nfkc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def lexical(text: Column) -> Column:
     """Text as instruction idioms are looked for in it: composed, look-alike letters made Latin, lower case."""
-    odd = text.rlike(COMPOSABLE)
+    odd = ~is_ascii(text) & text.rlike(COMPOSABLE)
     composed = F.translate(nfkc(F.when(odd, text)), fixed.LOOKALIKES, fixed.LOOKALIKE_LATIN)  # other texts don't go to Python
     return F.lower(F.coalesce(composed, text))
 
 
+def stems(needles: list[str]) -> list[str]:
+    """The longest beginnings that needles with the same first word share: no text without one of them holds any."""
+    words = itertools.groupby(sorted(needles), lambda n: n.split(" ")[0])
+    return [os.path.commonprefix(list(same)) for _, same in words]
+
+
 def first_of(haystack: Column, needles: list[str]) -> Column:
-    """The first of the list that a text holds, or null."""
+    """The first of the list that a text holds, or null. Only texts that hold the beginning of some are searched for all."""
 
     def pick(text: Column) -> Column:
         out = F.lit(None).cast("string")
         for n in reversed(needles):
             out = F.when(text.contains(n), F.lit(n)).otherwise(out)
-        return out
+        few = stems(needles)
+        return out if len(few) == len(needles) else F.when(functools.reduce(operator.or_, map(text.contains, few)), out)
 
     return once(haystack, pick)
 
