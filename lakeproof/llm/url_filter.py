@@ -63,7 +63,7 @@ def _places(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(F.pmod(a, F.lit(bits)) + i * F.pmod(b, F.lit(bits)), F.lit(bits)) for i in range(HASHES)]
 
 
-def _passes(words: Column, key: Column, level: int, bits: int) -> Column:
+def bloom_passes(words: Column, key: Column, level: int, bits: int) -> Column:
     out = F.lit(True)
     for place in _places(key, level, bits):
         word = F.get(words, F.shiftright(place, 6).cast("int"))
@@ -71,7 +71,7 @@ def _passes(words: Column, key: Column, level: int, bits: int) -> Column:
     return out
 
 
-def _encode(keys: DataFrame, level: int, bits: int, parts: int) -> DataFrame:
+def bloom_words(keys: DataFrame, level: int, bits: int, parts: int) -> DataFrame:
     """(part, words): each part's 64-bit words in order. Zeros stand in for every place, so words are put in order by sorting, run by run."""
     place = keys.select("part", F.explode(F.array(*_places(F.col("key"), level, bits))).alias("place"))
     bit = F.expr("shiftleft(1L, cast(pmod(place, 64) as int))")
@@ -113,9 +113,9 @@ class Cascade:
         while count:
             n = len(self.levels)
             bits = 1 << max(6, (BITS_PER_KEY * count // parts - 1).bit_length())
-            level = Level(bits, stage_table(_encode(_together(wrong), n, bits, parts), "bloom"))
+            level = Level(bits, stage_table(bloom_words(_together(wrong), n, bits, parts), "bloom"))
             self.levels.append(level)
-            passing = [o.where(_passes(level.of(p), F.col("key"), n, bits)) for p, o in enumerate(other)]
+            passing = [o.where(bloom_passes(level.of(p), F.col("key"), n, bits)) for p, o in enumerate(other)]
             wrong, other = _by_part(_together(passing), parts, "passing"), wrong
             count = _together(wrong).count()
 
@@ -124,7 +124,7 @@ class Cascade:
         inside = F.lit(len(self.levels) % 2 == 1)
         for n in range(len(self.levels) - 1, -1, -1):
             level = self.levels[n]
-            inside = F.when(_passes(level.of(part), key, n, level.bits), inside).otherwise(F.lit(n % 2 == 1))
+            inside = F.when(bloom_passes(level.of(part), key, n, level.bits), inside).otherwise(F.lit(n % 2 == 1))
         return inside
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_operators import LONG, ROWS, W, frame
 
-from lakeproof.llm import _common, _words, _xxh64, fill_middle, filter_audit, golay_dedup, near_dedup
+from lakeproof.llm import _common, _words, _xxh64, fill_middle, filter_audit, golay_dedup, line_dedup, near_dedup
 
 ODD = [
     (20, "a\x01b \x02 \x020\x021 \x01", "en", "odd"), (21, "has <P> in it " * 9, "en", "odd"), (22, "<M>", "en", "odd"), (23, " \t\n lead and trail \x0b\x0c\r ", "en", "odd"), (24, "  x \U0001f600\U0001f600a\U0001f600 y", "en", "odd"),
@@ -243,3 +243,19 @@ def test_classes_meet_their_rows_whichever_way(spark, monkeypatch, how):
     monkeypatch.setattr(_common, "near_if_small", lambda df: df)
     far = _common.join_classes(rows, classes, ["k"], how, share=0.2)
     assert sorted(map(repr, far.select(near.columns).collect())) == sorted(map(repr, near.collect())) and near.count() == (rows.count() if how == "left" else rows.where("k % 4 > 0").count())
+
+
+@pytest.mark.parametrize(("near", "bloom"), [(500_000, 8_000_000), (0, 8_000_000), (0, 0)])
+def test_lines_are_removed_alike_whichever_way_their_texts_go(spark, monkeypatch, near, bloom):
+    monkeypatch.setattr(line_dedup, "NEAR", near)
+    monkeypatch.setattr(line_dedup, "BLOOM", bloom)
+    rows = [(i, f"own {i}\n  shared line \nmore {i}\n\nshared line", "en", f"s{i % 12}") for i in range(24)] + [(i, f"text {i}\nnot shared", "en", "s1") for i in range(100, 140)]
+    rows += [(200, None, "en", "s1"), (None, "shared line", "en", None), (201, "shared line\nx", "en", "s2"), (201, "shared line\nx", "en", "s2")]
+    got = sorted(map(repr, map(tuple, line_dedup.remove_boilerplate(frame(spark, rows)).collect())))
+
+    def bare(text):
+        lines = text.split("\n")
+        kept = [x for x in lines if x.strip(" \t\n\r\x0b\x0c") != "shared line"]
+        return len(lines), len(lines) - len(kept), "\n".join(kept)
+
+    assert got == sorted(repr((i, *(bare(t) if t is not None else (0, 0, None)))) for i, t, *_ in rows)
