@@ -111,7 +111,10 @@ def word_hashes(column: pa.Array, letters: bool = False, prefixes: tuple[int, ..
         for p in prefixes:
             longer = np.flatnonzero(ends - starts > p)
             some = np.zeros(len(starts), U)
-            some[longer] = _xxh64.hashes(data, starts[longer], starts[longer] + p, seed=p)
+            if p < 8:  # these bytes and their number are one number, so no two beginnings share a hash
+                some[longer] = mix(_xxh64.eights(data)[starts[longer]] & U((1 << 8 * p) - 1) | U(p << 56))
+            else:
+                some[longer] = _xxh64.hashes(data, starts[longer], starts[longer] + p, seed=p)
             hashes.append(some)
         counts += np.bincount(rows, minlength=len(counts))
         parts.append(hashes)

@@ -25,6 +25,11 @@ def _words(data: np.ndarray, dtype: str) -> np.ndarray:
     return np.ndarray(len(data) - 7, dtype, data, 0, (1,))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number, the first one lowest."""
+    return _words(data, "<u8")
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
     """XXH64 of data[start:end] for each range; ``data`` (uint8) must go on for eight bytes behind the last range."""
     size = ends - starts

@@ -259,3 +259,11 @@ def test_lines_are_removed_alike_whichever_way_their_texts_go(spark, monkeypatch
         return len(lines), len(lines) - len(kept), "\n".join(kept)
 
     assert got == sorted(repr((i, *(bare(t) if t is not None else (0, 0, None)))) for i, t, *_ in rows)
+
+
+def test_beginnings_of_words_have_hashes_of_their_own():
+    texts = ["abcdefgh abcdefx abcdzz", "abcde abcd", "ABCDEFGHIJ"]
+    (whole, four, seven, nine), offsets = _words.word_hashes(pa.array(texts), letters=True, prefixes=(4, 7, 9))
+    assert offsets.tolist() == [0, 3, 5, 6] and len({*whole.tolist()}) == 6
+    assert len({*four[[0, 1, 2, 3, 5]].tolist()}) == 1 and four[4] == 0 and four[0] != 0
+    assert seven[0] == seven[5] != 0 and not seven[[1, 2, 3, 4]].any() and not nine[:5].any() and nine[5] not in (0, seven[5])
