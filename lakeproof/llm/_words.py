@@ -66,7 +66,7 @@ def slices(batch: pa.RecordBatch, name: str, most_bytes: int = 4 << 20) -> Itera
         at = end
 
 
-def spans(column: pa.Array, segment: int = SEGMENT, letters: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def spans(column: pa.Array, segment: int, letters: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The words of all rows in order, some ``segment`` bytes of text at a time: bytes with A-Z lower-cased, and each word's row, start and end in these.
 
     Words are runs without white space, or with ``letters`` runs of ASCII letters and non-ASCII bytes. Eight bytes follow the text.
@@ -106,7 +106,7 @@ def word_hashes(column: pa.Array, letters: bool = False, prefixes: tuple[int, ..
     For each of ``prefixes`` another array holds the hash of each longer word's first so many bytes, 0 for the others.
     """
     parts, counts = [], np.zeros(len(column), np.int64)
-    for data, rows, starts, ends in spans(column, letters=letters):
+    for data, rows, starts, ends in spans(column, SEGMENT, letters):
         hashes = [_xxh64.hashes(data, starts, ends)]
         for p in prefixes:
             longer = np.flatnonzero(ends - starts > p)
