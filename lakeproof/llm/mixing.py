@@ -160,6 +160,7 @@ def mix(docs: DataFrame, max_repeat: float | None = 2.0, target_entropy: float |
     plan = plan.withColumn("within", (F.col("want") > 0) & (F.col("upto") <= F.col("want"))).withColumn("partly", ~F.col("within") & (F.col("upto") - F.col("t") < F.col("want")))
     plan = stage_table(plan.select("s", "b", "weight", "times", "full", "within", "partly", (F.col("want") - F.col("upto") + F.col("t")).alias("rest")), "plan")
     ends = narrow.join(near(plan.where("partly").select("s", "b", "rest"), 1), ["s", "b"])  # one block of each source
+    ends = ends.groupBy("s", "b", "h", "rest").agg(F.sum("t").alias("t"))  # equal rows, of which there may be many, count as one
     inner = Window.partitionBy("s", "b").orderBy("h")
     cuts = ends.withColumn("upto", F.sum("t").over(inner)).where("upto <= rest").groupBy("s", "b").agg(F.max("h").alias("cut"))
     plan = stage_table(plan.join(near(cuts, 1), ["s", "b"], "left").select(F.col("s").alias("ps"), F.col("b").alias("pb"), F.col("weight").alias("pw"), "times", "full", "within", "cut"), "cuts")
