@@ -214,6 +214,67 @@ def test_sharding_is_near_equal_and_gapless(spark, docs, empty):
     assert len(sharding.assign_shards(docs).collect()) == len(ROWS) and sharding.assign_shards(empty).count() == 0
 
 
+def shards_by_force(rows, shards, ranges, sampled, numbered):
+    """(place among the rows, shard, slot) by plain loops: ``rows`` are (doc_id, text, row)."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chain(*values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else int(v[0]).to_bytes(v[1], "little", signed=True), seed)
+        return signed(seed)
+
+    word = lambda v: None if v is None else (v, 8)
+    keys = [chain((t or "").encode()) for _, t, _ in rows]
+    sizes = [len((t or "").encode()) + 16 for _, t, _ in rows]
+    total, wide, weights = sum(sizes), shards * ranges, defaultdict(int)
+    for (d, _, row), key, size in zip(rows, keys, sizes):
+        draws = size * (shards * sampled / total)
+        u = (chain((11, 4), word(key), word(d), word(row)) % (1 << 30) + 1) / (1 << 30)
+        weights[key] += int(draws) + (u <= draws - int(draws))
+    weights = {k: w for k, w in weights.items() if w}
+    whole, seen, edges = sum(weights.values()), 0, set()
+    for key in sorted(weights):
+        before, seen = seen, seen + weights[key]
+        if any(before * wide < i * whole <= seen * wide for i in range(1, wide)) and seen * wide < wide * whole:
+            edges.add(key)
+        if weights[key] * wide >= whole:
+            edges |= {key, key + 1}
+    edges = sorted(edges)
+    ranged = [sum(e <= k for e in edges) for k in keys]
+    lone = {n for n in ranged if 0 < n < len(edges) and edges[n] == edges[n - 1] + 1}
+    pieces = defaultdict(lambda: defaultdict(list))
+    for n in set(ranged):
+        inside = [i for i, r in enumerate(ranged) if r == n]
+        over = max(len(inside) / max(1, 2 * len(rows) / wide), sum(sizes[i] for i in inside) / max(1, 2 * total / wide))
+        parts = max(1, min(len(inside), int(over + 0.999)))
+        lots = -(-len(inside) // (numbered * (parts if n in lone else 1)))
+        for i in inside:
+            d, _, row = rows[i]
+            part = chain((5, 4), word(d), word(row)) % parts if n in lone else chain((5, 4), word(keys[i])) % parts
+            pieces[n, part][chain((7, 4), word(d), word(row)) % lots].append(i)
+    out, before, shard, filled = [], 0, 0, [0] * shards
+    for piece in sorted(pieces):
+        size = sum(sizes[i] for lot in pieces[piece].values() for i in lot)
+        shard = max(shard, min(shards - 1, int((before + size / 2) * shards / total)))
+        before += size
+        for lot in sorted(pieces[piece]):
+            for i in sorted(pieces[piece][lot], key=lambda i: (keys[i], rows[i][0] is not None, rows[i][0] or 0, rows[i][2])):
+                out.append((i, shard, filled[shard]))
+                filled[shard] += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("numbered", [3, 50, 1 << 21])
+def test_shards_are_those_of_plain_loops(spark, numbered):
+    rows = [(i, "hot" * 20 if i % 3 == 0 else None if i % 50 == 1 else f"text {i % 211} " * (i % 23), "en", str(i)) for i in range(1500)] + [(None, "null id " * 300, "en", "1500"), (7, "w " * 20_000, "en", "1501")]
+    got = sharding.assign_shards(frame(spark, rows, False).coalesce(1), shards=5, ranges=8, sampled=400, numbered=numbered).collect()
+    want = shards_by_force([(r[0], r[1], i) for i, r in enumerate(rows)], 5, 8, 400, numbered)
+    size = lambda i: len((rows[i][1] or "").encode()) + 16
+    assert sorted((r["shard"], r["slot"], r["doc_id"] or -1, r["size"]) for r in got) == sorted((s, slot, rows[i][0] or -1, size(i)) for i, s, slot in want)
+
+
 @functools.cache
 def _library():
     import public_tokenizers
@@ -267,6 +328,20 @@ def test_equal_texts_share_a_shard_unless_they_fill_a_range(spark):
     assert sum(r["doc_id"] is None and r["size"] == 16 for r in got) == 3
 
 
+def test_rows_that_tie_at_a_budget_end_go_together_and_count_each(spark):
+    same = [(None, "tied words of one source", "en", "a")] * 400
+    rows = same + [(i, f"other {i} " * 5, "en", "b") for i in range(300)]
+    tokens = sum(-(-len(r[1]) // 4) for r in rows)
+    got = mixing.mix(frame(spark, rows, False), details=True, budget=0.7 * tokens).collect()
+    shown = [r["epoch"] for r in got if r["doc_id"] is None]
+    assert len(shown) % 400 == 0 and {shown.count(e) for e in shown} <= {400}
+    per = defaultdict(int)
+    for r in rows:
+        per[r[3]] += -(-len(r[1]) // 4)
+    alpha = mixing.solve(mixing.totals_of(list(per.values())), budget=0.7 * tokens).alpha
+    assert sorted(((r["doc_id"], r["epoch"]) for r in got), key=str) == mixed_by_force([(r[0], r[1], r[2], r[3]) for r in rows], alpha, 0.7 * tokens)
+
+
 def test_repeated_null_and_long_rows_fare_alike(spark):
     huge = "word " * 400_000 + "\n" + "z" * 2_000_000
     rows = [(1, huge, "en", "a"), (1, huge, "en", "a"), (None, "null id", "en", "a"), (None, None, None, None), (2, "", "en", "b")]
