@@ -33,7 +33,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 4096, 4 << 20
 PIVOTS, PER_PIVOT = 256, 1024
 #: Query groups that are compared at a time: 20 MB.
 GROUPS = 50_000
-_EXACT = float(1 << 53)
+_EXACT, _LONG = float(1 << 53), float(1 << 63)
 #: Share of |q| * |x| by which a rounded bound may be too low.
 SLACK = 1e-6
 #: A level that leaves more than this share is idle.
@@ -110,11 +110,19 @@ def summary_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.maximum(np.maximum(lo * los, lo * his), np.maximum(hi * los, hi * his)) + dev * devs).sum(axis=1)
 
 
+def _fits(sizes: np.ndarray) -> None:
+    """An error where sizes reach 2**63, in place of whole numbers that wrap."""
+    if sizes.max(initial=0) >= _LONG:
+        raise OverflowError("vectors are so large that a score may leave 64 bits")
+
+
 def _exact(q: np.ndarray, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], big: bool) -> np.ndarray:
     """Products of these pairs."""
     out = np.empty(len(pairs[0]), np.int64)
     for i in range(0, len(out), 65536):
         a, b = q[pairs[0][i : i + 65536]], x[pairs[1][i : i + 65536]]
+        if big:
+            _fits(np.einsum("ij,ij->i", np.abs(a), np.abs(b)))
         out[i : i + 65536] = np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64)) if big else np.einsum("ij,ij->i", a, b).astype(np.int64)
     return out
 
@@ -145,9 +153,10 @@ class Alive:
         """(query, row, exact product) of those left that reach ``least`` and aren't the query itself; ``own`` has a 1 where ids are equal."""
         if self.pairs is None:
             whole = q.astype(np.int64) @ x.astype(np.int64).T if big else q @ x.T
-            over = (whole >= least[:, None]) & ~own
-            if self.mask is not None:
-                over &= self.mask
+            left = ~own if self.mask is None else self.mask & ~own
+            if big:
+                _fits((np.abs(q) @ np.abs(x).T)[left])
+            over = (whole >= least[:, None]) & left
             a, b = np.nonzero(over)
             return a, b, whole[a, b].astype(np.int64)
         a, b = self.pairs
@@ -214,7 +223,9 @@ _BLOCKS = "is_query boolean, is_group boolean, dim int, grp long, ids binary, ve
 
 
 def _matrix(batch, rows: np.ndarray, dim: int, ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    return np.floor(64.0 * flat[(ends[rows] - dim)[:, None] + np.arange(dim)])
+    out = np.floor(64.0 * flat[(ends[rows] - dim)[:, None] + np.arange(dim)])
+    _fits(np.abs(out))
+    return out
 
 
 def _lists(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -413,6 +424,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     Components are floor(64 * x); the score is the inner product, ties go to the smaller vec_id. Vectors that are null or hold null or non-finite components take no part,
     nor do rows without vec_id. Wholly equal rows are one row; of rows that repeat a vec_id with other vectors, each can be found, and the query is the smallest. Vectors meet
     only those of their own length. A query without any other row has no result row; an empty table gives an empty result; other columns are ignored.
+    A component of 2**63 or more is an error, and so is a pair that isn't ruled out and whose components' products, taken as positive, sum up to that: no score wraps.
     """
     found = searched(vectors, k, every).where("query_id is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -328,6 +328,17 @@ def test_equal_texts_share_a_shard_unless_they_fill_a_range(spark):
     assert sum(r["doc_id"] is None and r["size"] == 16 for r in got) == 3
 
 
+@pytest.mark.parametrize("component, fits", [(2.0**22, True), (2.0**26, False), (1e300, False)])
+def test_scores_beyond_64_bits_are_an_error(spark, component, fits):
+    df = spark.createDataFrame([(i, [component * (1 + i % 3)] * 4) for i in range(40)], "vec_id long, embedding array<double>")
+    if fits:
+        want = max(4 * int(64 * component * (1 + i % 3)) * int(64 * component) for i in range(1, 40))
+        assert {r["score"] for r in topk_search.top_k(df).where("query_id = 0 and rank = 1").collect()} == {want}
+    else:
+        with pytest.raises(Exception, match="64 bits"):
+            topk_search.top_k(df).collect()
+
+
 def test_rows_that_tie_at_a_budget_end_go_together_and_count_each(spark):
     same = [(None, "tied words of one source", "en", "a")] * 400
     rows = same + [(i, f"other {i} " * 5, "en", "b") for i in range(300)]
