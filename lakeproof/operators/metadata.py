@@ -18,8 +18,9 @@ def current(metadata: DataFrame) -> DataFrame:
 
 
 def architecture(metadata: DataFrame) -> DataFrame:
-    now = current(metadata.where("key = 'general.architecture'"))
-    return now.where("coalesce(v_str, '') <> ''").select("model_id", F.col("v_str").alias("arch"))
+    """(model_id, arch) of models whose last architecture is a text that isn't empty."""
+    now = metadata.where("key = 'general.architecture'").groupBy("model_id").agg(F.max_by("v_str", "ord").alias("arch"))
+    return now.where("coalesce(arch, '') <> ''")
 
 
 def as_int() -> Column:
@@ -27,10 +28,24 @@ def as_int() -> Column:
     return F.coalesce(F.col("v_int"), F.col("v_bool").cast("int").cast("decimal(20,0)"))
 
 
+def declared(metadata: DataFrame, suffixes: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per model that has some of these: model_id, arch (null if none), and the last value of each ``<architecture>.<suffix>`` and of each whole key, an integer n, or v_int and v_double.
+
+    One shuffle of the wanted keys and one of the architectures; the aggregate goes by the join's own partitioning.
+    """
+    key, value = F.col("key"), F.struct(as_int().alias("n"), "v_int", "v_double")
+    wanted = key.isin(*keys) if keys else F.lit(False)
+    for suffix in suffixes:
+        wanted = wanted | key.endswith("." + suffix)
+    last = lambda k, name: F.max_by(value, F.when(key == k, F.col("ord"))).alias(name)
+    own = [last(F.concat("arch", F.lit("." + suffix)), suffix) for suffix in suffixes]
+    rows = metadata.where(wanted).join(architecture(metadata), "model_id", "left")
+    return rows.groupBy("model_id").agg(F.max("arch").alias("arch"), *own, *[last(F.lit(k), k) for k in keys])
+
+
 def scalar(metadata: DataFrame, suffix: str) -> DataFrame:
     """(model_id, arch, value) of the integer ``<architecture>.<suffix>``."""
-    own = metadata.where(F.col("key").endswith("." + suffix)).join(architecture(metadata), "model_id").where(F.col("key") == F.concat("arch", F.lit("." + suffix)))
-    return current(own).select("model_id", "arch", as_int().alias("value")).where("value is not null")
+    return declared(metadata, [suffix]).select("model_id", "arch", F.col(f"`{suffix}`")["n"].alias("value")).where("value is not null")
 
 
 def shards(metadata: DataFrame) -> DataFrame:
@@ -73,48 +88,46 @@ def dominant_dtype(tensors: DataFrame) -> DataFrame:
     return counts.withColumn("best", best).where("best = 1").select("model_id", "dtype")
 
 
+_SIZES = ["block_count", "embedding_length", "attention.head_count", "attention.head_count_kv", "attention.key_length", "feed_forward_length", "context_length", "rope.scaling.original_context_length", "rope.freq_base"]
+
+
 def consistency_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
-    """MET010 to MET016."""
-    part = shards(metadata)
-    whole = lambda df: df.join(part, "model_id", "left_anti")
-    at = lambda suffix: F.concat("arch", F.lit("." + suffix))
+    """MET010 to MET016: a row of declared values per model meets what its tensors say, and all rules but the last are conditions on that row."""
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
     twice = duplicate_keys(metadata).select(*hit("MET016", PHASE + 4, F.col("seq"), say("key ", F.col("key"), " is defined more than once"), F.col("key")))
 
-    gaps = whole(scalar(metadata, "block_count")).join(layer_gaps(tensors), "model_id")
-    gaps = gaps.select(*hit("MET010", PHASE + 5, F.lit(0), say("layers ", F.array_join(F.transform("missing", lambda m: m.cast("string")), ", "), " are missing below ", F.col("top")), at("block_count")))
-
-    embedding = scalar(metadata, "embedding_length").withColumnRenamed("value", "emb")
-    table = named(tensors, "token_embd.weight").select("model_id", "shape")
-    axis = whole(embedding).join(table, "model_id").where(~F.array_contains("shape", F.col("emb")))
-    axis = axis.select(*hit("MET011", PHASE + 6, F.lit(0), say("embedding_length ", F.col("emb"), " is no axis of ", F.to_json("shape")), at("embedding_length")))
-
-    heads = scalar(metadata, "attention.head_count").withColumnRenamed("value", "heads").where("heads <> 0")
-    own_dim = scalar(metadata, "attention.key_length").select("model_id")
-    implied = embedding.join(heads.drop("arch"), "model_id").join(own_dim, "model_id", "left_anti").where("try_mod(emb, heads) <> 0")
-    implied = implied.select(*hit("MET012", PHASE + 7, F.lit(0), say("embedding_length ", F.col("emb"), " is no multiple of head_count ", F.col("heads")), at("attention.head_count")))
-    kv = scalar(metadata, "attention.head_count_kv").withColumnRenamed("value", "kv").where("kv <> 0").drop("arch")
-    grouped = heads.join(kv, "model_id").where("try_mod(heads, kv) <> 0")
-    grouped = grouped.select(*hit("MET012", PHASE + 7, F.lit(1), say("head_count ", F.col("heads"), " is no multiple of head_count_kv ", F.col("kv")), at("attention.head_count_kv")))
-
     parts = F.split("name", "[.]")
     ffn = tensors.where((F.size("shape") == 2) & F.get(parts, F.size(parts) - 2).isin("ffn_up", "ffn_gate", "ffn_down"))
-    first = ffn.groupBy("model_id").agg(F.min_by("shape", "ord").alias("shape"), F.min_by("name", "ord").alias("name"))
-    forward = whole(scalar(metadata, "feed_forward_length")).join(first, "model_id").where(~F.array_contains("shape", F.col("value")))
-    forward = forward.select(*hit("MET013", PHASE + 8, F.lit(0), say("feed_forward_length ", F.col("value"), " is no axis of ", F.col("name")), at("feed_forward_length")))
-
-    declared = metadata.sparkSession.createDataFrame(list(fixed.FILE_TYPE_DTYPES.items()), "code int, expected string")
-    label = whole(current(metadata.where("key = 'general.file_type'")).select("model_id", as_int().alias("code"))).join(architecture(metadata), "model_id", "left_semi")
-    label = label.join(F.broadcast(declared), "code").join(dominant_dtype(tensors), "model_id").where("dtype <> expected")
-    label = label.select(*hit("MET014", PHASE + 9, F.lit(0), say("declared ", F.col("expected"), ", most weights are ", F.col("dtype")), F.lit("general.file_type")))
-
-    context, original = scalar(metadata, "context_length"), scalar(metadata, "rope.scaling.original_context_length").select("model_id", F.col("value").alias("original"))
-    short = context.join(original, "model_id").where("value < original")
-    short = short.select(*hit("MET015", PHASE + 10, F.lit(0), say("context_length ", F.col("value"), " is below the original ", F.col("original")), at("context_length")))
-    base = current(metadata.where(F.col("key").endswith(".rope.freq_base"))).join(architecture(metadata), "model_id").where(F.col("key") == at("rope.freq_base"))
-    base = base.where((F.col("v_int") <= 0) | (F.col("v_double") <= 0))
-    base = base.select(*hit("MET015", PHASE + 10, F.lit(1), F.lit("rope.freq_base is not positive"), at("rope.freq_base")))
-    return union([twice, gaps, axis, implied, grouped, forward, label, short, base])
+    first = ffn.groupBy("model_id").agg(F.min_by("shape", "ord").alias("ffn_shape"), F.min_by("name", "ord").alias("ffn_name"))
+    table = named(tensors, "token_embd.weight").select("model_id", F.col("shape").alias("table_shape"))
+    types = metadata.sparkSession.createDataFrame(list(fixed.FILE_TYPE_DTYPES.items()), "code int, expected string")
+    models = declared(metadata, _SIZES, ("general.file_type", "split.count"))
+    for facts in (layer_gaps(tensors), table, first, dominant_dtype(tensors)):
+        models = models.join(facts, "model_id", "left")
+    models = models.join(F.broadcast(types), F.col("code") == F.col("`general.file_type`")["n"], "left")
+
+    number = lambda name: F.col(f"`{name}`")["n"]
+    at = lambda suffix: F.concat("arch", F.lit("." + suffix))
+    whole = ~F.coalesce(number("split.count") > 1, F.lit(False))
+    some = lambda suffix: F.when(number(suffix) != 0, number(suffix))
+    embedding, heads, kv, forward = number("embedding_length"), some("attention.head_count"), some("attention.head_count_kv"), number("feed_forward_length")
+    context, original, base = number("context_length"), number("rope.scaling.original_context_length"), F.col("`rope.freq_base`")
+    gaps = F.array_join(F.transform("missing", lambda m: m.cast("string")), ", ")
+    found = []
+    for rule, phase, seq, holds, detail, location in (
+        ("MET010", 5, 0, whole & number("block_count").isNotNull() & F.col("missing").isNotNull(), say("layers ", gaps, " are missing below ", F.col("top")), at("block_count")),
+        ("MET011", 6, 0, whole & ~F.array_contains("table_shape", embedding), say("embedding_length ", embedding, " is no axis of ", F.to_json("table_shape")), at("embedding_length")),
+        ("MET012", 7, 0, number("attention.key_length").isNull() & (F.try_mod(embedding, heads) != 0), say("embedding_length ", embedding, " is no multiple of head_count ", heads), at("attention.head_count")),
+        ("MET012", 7, 1, F.try_mod(heads, kv) != 0, say("head_count ", heads, " is no multiple of head_count_kv ", kv), at("attention.head_count_kv")),
+        ("MET013", 8, 0, whole & ~F.array_contains("ffn_shape", forward), say("feed_forward_length ", forward, " is no axis of ", F.col("ffn_name")), at("feed_forward_length")),
+        ("MET014", 9, 0, whole & F.col("arch").isNotNull() & (F.col("dtype") != F.col("expected")), say("declared ", F.col("expected"), ", most weights are ", F.col("dtype")), F.lit("general.file_type")),
+        ("MET015", 10, 0, context < original, say("context_length ", context, " is below the original ", original), at("context_length")),
+        ("MET015", 10, 1, F.coalesce(base["v_int"] <= 0, F.lit(False)) | F.coalesce(base["v_double"] <= 0, F.lit(False)), F.lit("rope.freq_base is not positive"), at("rope.freq_base")),
+    ):
+        columns = hit(rule, PHASE + phase, F.lit(seq), detail, location)
+        found.append(F.when(holds, F.struct(*columns[1:])))
+    rows = models.select("model_id", F.explode(F.array_compact(F.array(*found))).alias("f")).select("model_id", "f.*")
+    return union([twice, rows])
 
 
 def value_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
