@@ -5,7 +5,8 @@ The learner sees confirmed toxic texts and unlabelled ones, whose labels it neve
     prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)])
 
 by full-batch Adam in numpy. Features of a text are the presence of words and of words' beginnings, among those that confirmed texts have clearly more often than
-unlabelled ones. Samples for the fit are bounded; counts of labels, and scores, are over all rows.
+unlabelled ones. Samples for the fit are bounded; counts of labels, and scores, are over all rows. The sample's features are counted by Spark, so that the driver sees only the few
+that count.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.llm import _words
-from lakeproof.llm._common import col
+from lakeproof.llm._common import col, stage_table
 
 #: Bounds of the fit: confirmed and unlabelled texts of the sample, features of the model, and features that the fit looks at in one text.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES, MOST_IN_TEXT = 3000, 6000, 1 << 16, 4096
@@ -103,65 +104,98 @@ def risk(theta: np.ndarray, p: tuple[np.ndarray, np.ndarray], u: tuple[np.ndarra
     return positive, negative, grad
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, confirmed: list[bool] | None = None, steps: int = 400, rate: float = 0.05, decay: float = 7e-5) -> Model:
-    """The classifier from features of confirmed and of unlabelled texts; without confirmed ones it always says no.
+def choose(known: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, in_rest: np.ndarray, n_p: int, n_u: int, n_rest: int, n_known: int, prior: float) -> np.ndarray:
+    """The features of the model, sorted, of candidates sorted by hash and how many confirmed, unlabelled and not confirmed unlabelled texts have each.
 
-    ``confirmed`` tells which of the unlabelled texts are among the confirmed ones too: what chance can do is judged by the others.
+    ``n_known`` features are in confirmed texts at all; those that chance gives more often than one in 1 / ``CHANCE`` times need not be among the candidates.
     """
-    if not positive or not unlabelled:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
-    known, in_p = np.unique(np.concatenate(positive), return_counts=True)
-    if not len(known):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
-
-    def places(values: np.ndarray) -> np.ndarray:
-        """Where these features are among the known ones, without those that aren't."""
-        at = np.searchsorted(known, values)
-        at[at == len(known)] = 0
-        return at[known[at] == values]
-
-    def among(texts: list[np.ndarray]) -> np.ndarray:
-        """In how many of these texts each known feature is."""
-        out = np.zeros(len(known), np.int64)
-        for t in texts:
-            out[places(t)] += 1
-        return out
-
-    lift = (in_p / len(positive)) / ((among(unlabelled) + 1) / (len(unlabelled) + 1))
-    rest = [t for t, c in zip(unlabelled, confirmed) if not c] if confirmed is not None else unlabelled
-    expected = len(positive) * (among(rest) + 1) / (len(rest) + 1)
+    lift = (in_p / n_p) / ((in_u + 1) / (n_u + 1))
+    expected = n_p * (in_rest + 1) / (n_rest + 1)
     surprise = np.where(in_p > expected, in_p * np.log(in_p / expected) - in_p + expected, 0.0)  # bound on the log of a chance this small
     ranked = np.sort(surprise)[::-1]
-    passed = np.flatnonzero(ranked >= np.log(len(known) / (CHANCE * np.arange(1, len(known) + 1))))  # Benjamini and Hochberg's step-up rule
+    passed = np.flatnonzero(ranked >= np.log(n_known / (CHANCE * np.arange(1, len(known) + 1))))  # Benjamini and Hochberg's step-up rule
     pick = np.flatnonzero((in_p >= LEAST_TEXTS) & (prior * lift >= LEAST_SHARE) & (surprise >= ranked[passed[-1]])) if len(passed) else passed
     pick = pick[np.argsort(-in_p[pick], kind="stable")][:MOST_FEATURES]
-    hashes = np.sort(known[pick])
+    return np.sort(known[pick])
+
+
+def places(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where these features are among the sorted ones, without those that aren't."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(hashes, values)
+    at[at == len(hashes)] = 0
+    return at[hashes[at] == values]
 
-    column = np.full(len(known), -1)
-    column[np.searchsorted(known, hashes)] = np.arange(len(hashes))
 
-    def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, feature) of the chosen features that are in these texts."""
-        found = [column[places(t)] for t in texts]
-        found = [f[f >= 0] for f in found]
-        return np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.concatenate(found)
+def matrix(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs of texts' places."""
+    return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
 
-    p, u = matrix(positive), matrix(unlabelled)
+
+def descend(hashes: np.ndarray, p: tuple[np.ndarray, np.ndarray], u: tuple[np.ndarray, np.ndarray], n_p: int, n_u: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 7e-5) -> Model:
+    """The classifier over these features, from the (row, feature) pairs of confirmed and of unlabelled texts."""
     theta = np.zeros(len(hashes) + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     theta[-1] = -1.0
     for step in range(1, steps + 1):
-        *_, grad = risk(theta, p, u, len(positive), len(unlabelled), prior, decay)
+        *_, grad = risk(theta, p, u, n_p, n_u, prior, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(hashes, theta[:-1], float(theta[-1]))
 
 
+def never() -> Model:
+    """What is learnt without a confirmed text, or without any feature of one: it always says no."""
+    return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, confirmed: list[bool] | None = None) -> Model:
+    """The classifier from features of confirmed and of unlabelled texts; without confirmed ones it always says no.
+
+    ``confirmed`` tells which of the unlabelled texts are among the confirmed ones too: what chance can do is judged by the others. :func:`train` does the same
+    where the texts' features are rows of a table.
+    """
+    if not positive or not unlabelled:
+        return never()
+    known, in_p = np.unique(np.concatenate(positive), return_counts=True)
+    if not len(known):
+        return never()
+
+    def among(texts: list[np.ndarray]) -> np.ndarray:
+        """In how many of these texts each known feature is."""
+        out = np.zeros(len(known), np.int64)
+        for t in texts:
+            out[places(known, t)] += 1
+        return out
+
+    rest = [t for t, c in zip(unlabelled, confirmed) if not c] if confirmed is not None else unlabelled
+    hashes = choose(known, in_p, among(unlabelled), among(rest), len(positive), len(unlabelled), len(rest), len(known), prior)
+    p, u = (matrix([places(hashes, t) for t in texts]) for texts in (positive, unlabelled))
+    return descend(hashes, p, u, len(positive), len(unlabelled), prior)
+
+
 def _featurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _words.slices(batch, "text", 1 << 20):
             rows = [f if len(f) <= MOST_IN_TEXT else np.sort(f[np.argsort(_words.mix(f), kind="stable")[:MOST_IN_TEXT]]) for f in features(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("confirmed"), part.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], ["confirmed", "doc_id", "features"])
+            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("confirmed"), part.column("doc_id"), found], ["confirmed", "doc_id", "features"])
+
+
+def _placer(sent):
+    """Of each sampled text the places of its features among the chosen ones, as 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = sent.value
+        for batch in batches:
+            texts = batch.column("features")
+            values, offsets = texts.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(texts.value_lengths().to_numpy())))
+            found = [places(hashes, values[i:j]).astype(np.int32).tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("confirmed"), pa.array(found, pa.binary())], ["confirmed", "found"])
+
+    return run
 
 
 def sample(rows: DataFrame, salt: int, share: float, most: int) -> DataFrame:
@@ -186,18 +220,44 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_labels, n_toxic = labels.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     n_docs = docs.count()
     if not n_toxic or not n_docs:
-        return fit([], [], 0.0)
+        return never()
     place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(PLACES * MOST_POSITIVE))
     marked = labels.where("toxic = 1").where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1 << 30)) < int(min(1.0, MOST_POSITIVE / n_toxic) * (1 << 30)))
     marked = marked.groupBy(place.alias("place")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")  # at most a row for each place
     both = [sample(docs.join(F.broadcast(marked), "doc_id", "left_semi"), 5, 1.0, MOST_POSITIVE), sample(docs, 6, MOST_UNLABELLED / n_docs, MOST_UNLABELLED)]
     texts = both[0].withColumn("confirmed", F.lit(True)).union(both[1].withColumn("confirmed", F.lit(False)))
-    table = texts.mapInArrow(_featurer, "confirmed boolean, doc_id long, features binary").toArrow()
-    confirmed, ids = (table.column(c).to_pylist() for c in ("confirmed", "doc_id"))
-    found = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("features")]
-    known = {i for c, i in zip(confirmed, ids) if c}
-    rest = [(f, i in known) for f, c, i in zip(found, confirmed, ids) if not c]
-    return fit([f for f, c in zip(found, confirmed) if c], [f for f, _ in rest], n_toxic / n_labels, [k for _, k in rest])
+    return _learnt(stage_table(texts.mapInArrow(_featurer, "confirmed boolean, doc_id long, features array<long>"), "features"), n_toxic / n_labels)
+
+
+def _learnt(sampled: DataFrame, prior: float) -> Model:
+    """:func:`fit` on a written table of a sample (confirmed, doc_id, features): features are counted by Spark, and the driver gets what chance doesn't explain, then each text's places among the chosen ones."""
+    spark = sampled.sparkSession
+    again = sampled.where("confirmed").select("doc_id").distinct()  # as bounded as the sample of confirmed texts
+    sampled = sampled.join(F.broadcast(again.withColumn("again", F.lit(True))), "doc_id", "left")
+    is_p, is_u, is_rest = F.col("confirmed"), ~F.col("confirmed"), ~F.col("confirmed") & F.col("again").isNull()
+    n_p, n_u, n_rest = sampled.agg(*(F.count_if(c) for c in (is_p, is_u, is_rest))).first()
+    if not n_p or not n_u:
+        return never()
+    each = sampled.select("confirmed", "again", F.explode("features").alias("feature"))
+    counts = each.groupBy("feature").agg(F.count_if(is_p).alias("in_p"), F.count_if(is_u).alias("in_u"), F.count_if(is_rest).alias("in_rest")).where("in_p > 0")
+    counts = stage_table(counts, "counts")
+    n_known = counts.count()
+    if not n_known:
+        return never()
+    expected = n_p * (F.col("in_rest") + 1) / F.lit(n_rest + 1)
+    surprise = F.col("in_p") * F.ln(F.col("in_p") / expected) - F.col("in_p") + expected
+    likely = counts.where((F.col("in_p") > expected) & (surprise >= float(np.log(1 / CHANCE)) - 1e-6)).toArrow()
+    known = likely.column("feature").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    in_p, in_u, in_rest = (likely.column(c).to_numpy()[order] for c in ("in_p", "in_u", "in_rest"))
+    hashes = choose(known[order], in_p, in_u, in_rest, n_p, n_u, n_rest, n_known, prior)
+    sent = spark.sparkContext.broadcast(hashes)
+    table = sampled.select("confirmed", "features").mapInArrow(_placer(sent), "confirmed boolean, found binary").toArrow()
+    sent.unpersist()
+    confirmed = table.column("confirmed").to_pylist()
+    found = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in table.column("found")]
+    p, u = (matrix([f for f, c in zip(found, confirmed) if c is wanted]) for wanted in (True, False))
+    return descend(hashes, p, u, n_p, n_u, prior)
 
 
 def scorer(docs: DataFrame, model: Model):

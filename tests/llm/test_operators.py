@@ -5,6 +5,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -396,6 +398,25 @@ def test_toxicity_learns_words_and_keeps_clean_ones(spark, docs, empty):
     assert toxicity.toxicity(empty, tagged).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 3, 60, 400])
+def test_features_counted_by_spark_give_the_model_of_the_plain_fit(spark, tmp_path, n):
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n):
+        each = np.unique(rng.integers(1, 900, rng.integers(0, 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if i % 7 == 3:
+            each = np.union1d(each, np.array([5, 6, 2**64 - 1], np.uint64)[: 1 + i % 3])
+        rows.append((i % 7 == 3 and i % 2 == 1, i // 2 if i % 5 == 0 else i, each))
+    table = pa.table({"confirmed": pa.array([r[0] for r in rows], pa.bool_()), "doc_id": pa.array([r[1] for r in rows], pa.int64()), "features": pa.array([r[2].view(np.int64) for r in rows], pa.list_(pa.int64()))})
+    pq.write_table(table, tmp_path / "features.parquet")
+    got = toxicity._learnt(spark.read.parquet(str(tmp_path / "features.parquet")), 0.1)
+    known = {d for c, d, _ in rows if c}
+    rest = [(f, d in known) for c, d, f in rows if not c]
+    want = toxicity.fit([f for c, _, f in rows if c], [f for f, _ in rest], 0.1, [k for _, k in rest])
+    assert got.hashes.tolist() == want.hashes.tolist() and (n < 400 or len(want.hashes))
+    assert np.allclose(got.weights, want.weights, atol=1e-9) and abs(got.bias - want.bias) < 1e-9
+
+
 def test_toxicity_learns_from_a_handful_of_confirmed_texts(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []
