@@ -6,7 +6,8 @@
 Options: ``table`` (models, metadata, tensors, or headers: one row a file with the other two as arrays), ``mode`` (full, metadata), ``keys`` (comma-separated: only these keys'
 values are decoded), ``materialize`` (keys whose arrays are kept whole), ``sha256`` (true: the whole file is hashed too; without it weights are never read), ``prefix_mb`` (ladder
 of prefix sizes to try, for files that are long to fetch; a file that needs more than the last is an error row). A file that can't be opened or parsed is a models row with parse_error and
-has no other rows. Paths are local, URLs, or URIs (s3://, gs://, hdfs://) that pyarrow's file systems open: of the latter two only ranges are read, by the ladder. Local headers
+has no other rows. ``pushdown`` (true, where the session has spark.sql.python.filterPushdown.enabled; :func:`load` sees to it) takes filters on model_id and path, by which other files aren't opened, and on
+the key of metadata, by which other values are skipped and neither decoded nor sent; rows are the same. Paths are local, URLs, or URIs (s3://, gs://, hdfs://) that pyarrow's file systems open: of the latter two only ranges are read, by the ladder. Local headers
 are parsed where the file is mapped, of whatever length. Files are dealt over at most ``MOST_TASKS`` partitions.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from lakeproof.functions import fixed
 from lakeproof.sources.staging import written
@@ -131,8 +132,11 @@ def _value(c: Cursor, kind: int, whole: bool, keep: bool = True):
     return c.number("B") != 0 if kind == fixed.BOOL else c.number(fixed.SCALAR_FORMATS[kind])
 
 
-def parse_header(data, size: int | None = None, materialize: Iterable[str] = (), mode: str = "full", keys: Iterable[str] | None = None) -> Header:
-    """Decode a header. ``size`` is the file's size if ``data`` is only its beginning; ``keys`` limits whose values are kept."""
+def parse_header(data, size: int | None = None, materialize: Iterable[str] = (), mode: str = "full", keys: Iterable[str] | None = None, values_of: set[str] | None = None) -> Header:
+    """Decode a header. ``size`` is the file's size if ``data`` is only its beginning; ``keys`` limits which pairs are kept.
+
+    With ``values_of`` the pairs of other keys keep their places but have no value, and all else is read and checked as ever.
+    """
     c, whole, wanted = Cursor(data, size), set(materialize), None if keys is None else set(keys)
     if bytes(c.take(4)) != fixed.MAGIC:
         raise HeaderError("not a model file: wrong magic")
@@ -147,7 +151,7 @@ def parse_header(data, size: int | None = None, materialize: Iterable[str] = (),
     for _ in range(pairs):
         key, kind = c.string(), c.number("I")
         keep = wanted is None or key in wanted
-        value = _value(c, kind, key in whole, keep)
+        value = _value(c, kind, key in whole, keep and (values_of is None or key in values_of))
         if keep:
             out.pairs.append((key, kind, value))
     raw = out.metadata.get("general.alignment")
@@ -177,9 +181,11 @@ def parse_prefixes(read, size: int, ladder: Iterable[int], **options) -> Header:
     raise error or Short("no prefix sizes")
 
 
-def metadata_rows(model_id: str, header: Header) -> Iterator[tuple]:
+def metadata_rows(model_id: str, header: Header, only: set[str] | None = None) -> Iterator[tuple]:
     dec = lambda x: Decimal(int(x))
     for i, (key, kind, v) in enumerate(header.pairs):
+        if only is not None and key not in only:
+            continue
         arr = None
         if isinstance(v, Array):
             ints = [dec(x) for x in v.preview if isinstance(x, int)] if v.elem_type not in ("string", "float32", "float64") else None
@@ -270,10 +276,10 @@ def model_row(path: str, size: int | None, header: Header, sha256: str | None, e
     return (path, path, header.version or None, Decimal(header.tensor_count), size, Decimal(header.data_start), Decimal(header.alignment), sha256, error, complete)
 
 
-def rows_of(table: str, name: str, size: int | None, header: Header, sha256: str | None, error: str | None, complete: bool) -> Iterator[tuple]:
+def rows_of(table: str, name: str, size: int | None, header: Header, sha256: str | None, error: str | None, complete: bool, only: set[str] | None = None) -> Iterator[tuple]:
     """One file's rows of a table."""
     if table == "metadata":
-        yield from metadata_rows(name, header)
+        yield from metadata_rows(name, header, only)
     elif table == "tensors":
         yield from tensor_rows(name, header)
     else:
@@ -291,7 +297,8 @@ class GgufSource(DataSource):
         return SCHEMAS[self.options.get("table", "models")]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        pushes = self.options.get("pushdown", "false").lower() == "true"
+        return (_PushingReader if pushes else _Reader)(dict(self.options))
 
 
 class _Reader(DataSourceReader):
@@ -301,10 +308,12 @@ class _Reader(DataSourceReader):
         split = lambda k: [x.strip() for x in options[k].split(",") if x.strip()] if options.get(k) else None
         self.parse = {"materialize": split("materialize") or [], "mode": options.get("mode", "full"), "keys": split("keys")}
         self.ladder = [int(float(x) * (1 << 20)) for x in split("prefix_mb") or []]
+        self.files: set[str] | None = None
+        self.only: set[str] | None = None
         self.hashed = options.get("sha256", "false").lower() == "true" and self.table in ("models", "headers")
 
     def partitions(self) -> list[InputPartition]:
-        found = found_files(self.options["path"])
+        found = [f for f in found_files(self.options["path"]) if self.files is None or f in self.files]
         n = min(len(found), MOST_TASKS)
         return [_Files(found[i::n]) for i in range(n)] or [_Files([])]
 
@@ -320,17 +329,33 @@ class _Reader(DataSourceReader):
                 if not file.size:
                     raise HeaderError("the file is empty")
                 if ladder:
-                    header = parse_prefixes(lambda n, f=file: f.read(0, n), file.size, ladder, **self.parse)
+                    header = parse_prefixes(lambda n, f=file: f.read(0, n), file.size, ladder, values_of=self.only, **self.parse)
                 else:
-                    header = parse_header(file.mapped, file.size, **self.parse)
+                    header = parse_header(file.mapped, file.size, values_of=self.only, **self.parse)
             except HeaderError as e:
                 error, header = str(e), Header()
-            yield from rows_of(self.table, path, file.size, header, file.sha256() if self.hashed else None, error, not ladder and error is None)
+            yield from rows_of(self.table, path, file.size, header, file.sha256() if self.hashed else None, error, not ladder and error is None, self.only)
+
+
+class _PushingReader(_Reader):
+    """A reader that takes equality with one or some texts, of model_id, path and the key of metadata; all other filters stay Spark's."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        both = lambda old, new: new if old is None else old & new
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and (f.attribute == ("model_id",) or f.attribute == ("path",) and self.table in ("models", "headers")):
+                self.files = both(self.files, values)
+            elif values is not None and f.attribute == ("key",) and self.table == "metadata":
+                self.only = both(self.only, values)
+            else:
+                yield f
 
 
 def load(spark, path: str, **options):
     """(models, metadata, tensors) of the model files under a path, each read from the files when it is used."""
     spark.dataSource.register(GgufSource)
+    options = {"pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | options
     read = lambda table: spark.read.format("gguf").options(table=table, **options).load(path)
     return read("models"), read("metadata"), read("tensors")
 

@@ -168,3 +168,54 @@ def test_many_files_are_dealt_over_a_bounded_number_of_tasks(monkeypatch):
     monkeypatch.setattr(gguf, "MOST_TASKS", 3)
     monkeypatch.setattr(gguf, "found_files", lambda path: [str(i) for i in range(8)])
     assert sorted(f for part in gguf._Reader({"path": "x"}).partitions() for f in part.paths) == [str(i) for i in range(8)] and len(gguf._Reader({"path": "x"}).partitions()) == 3
+
+
+@pytest.fixture
+def pushing(spark):
+    conf = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "true")
+    yield
+    spark.conf.set(conf, before)
+
+
+def _folder(tmp_path):
+    for name in "abc":
+        pairs = [*BASE, ("long", "z" * 4000), ("words", [f"t{i}" for i in range(50)]), ("long", name)]
+        (tmp_path / f"{name}.gguf").write_bytes(gguf.build(pairs, [("a", [4, 2], 0)]))
+    good = gguf.build([*BASE, ("long", "x")], [("a", [4, 2], 0)])
+    (tmp_path / "cut.gguf").write_bytes(good[: good.index(b"a", good.index(b"long")) + 2])  # its tensors are cut off, so it has no metadata rows
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize(
+    ("table", "condition", "pushed"),
+    [
+        ("metadata", "key = 'long'", "EqualTo(key"), ("metadata", "key in ('big', 'words', 'flag')", "In(key"), ("metadata", "key = 'none'", "EqualTo(key"), ("metadata", "key = 'long' and key in ('long', 'big')", "In(key"),
+        ("metadata", "key = 'long' and ord > 8", "EqualTo(key"), ("metadata", "key = 'long' or ord = 1", None), ("metadata", "key like 'l%'", None), ("metadata", "key is null", None),
+        ("tensors", "name = 'a'", None), ("tensors", "model_id like '%b.gguf'", None), ("models", "path = '{a}'", "EqualTo(path"), ("headers", "model_id in ('{a}', 'x')", "In(model_id"), ("metadata", "key = 'long' and model_id = '{a}'", "EqualTo(model_id"),
+    ],
+)
+def test_filters_go_to_the_files_and_rows_stay_the_same(spark, tmp_path, pushing, table, condition, pushed):
+    path = _folder(tmp_path)
+    condition = condition.format(a=f"{path}/a.gguf")
+    spark.dataSource.register(gguf.GgufSource)
+    read = lambda on: spark.read.format("gguf").options(table=table, pushdown=on).load(path).where(condition)
+    got = read("true")
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.read.format("gguf").options(table=table).load(path).where(condition).collect()))
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert pushed in plan if pushed else "PushedFilters" not in plan, plan
+
+
+def test_pushed_filters_leave_files_unopened_and_values_undecoded(tmp_path, monkeypatch):
+    path = _folder(tmp_path)
+    reader = gguf._PushingReader({"path": path, "table": "metadata"})
+    rest = [gguf.In(("name",), ("x",)), gguf.EqualTo(("arr", "key"), "x")]
+    assert list(reader.pushFilters([gguf.EqualTo(("key",), "long"), *rest, gguf.In(("model_id",), (f"{path}/a.gguf", f"{path}/cut.gguf"))])) == rest
+    opened, decoded = [], []
+    real, handle = gguf._value, gguf._Handle
+    monkeypatch.setattr(gguf, "_Handle", lambda p: opened.append(p) or handle(p))
+    monkeypatch.setattr(gguf, "_value", lambda c, kind, whole, keep=True: decoded.append(keep) or real(c, kind, whole, keep))
+    rows = [r for part in reader.partitions() for r in reader.read(part)]
+    assert sorted(opened) == [f"{path}/a.gguf", f"{path}/cut.gguf"] and [(r[1], r[2], len(r[4])) for r in rows] == [(7, "long", 4000), (9, "long", 1)]
+    assert sum(decoded) == 3 and len(decoded) == 18
