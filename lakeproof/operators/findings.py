@@ -21,6 +21,14 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that has rows in proportion to the models: merged by key, never broadcast.
+
+    Sizes guessed from compressed files would send it whole to the driver long after it outgrew it.
+    """
+    return df.hint("merge")
+
+
 def with_registry(raw: DataFrame) -> DataFrame:
     """Severity and title from the registry alone; an unknown rule stops the query."""
     known = F.broadcast(rules(raw.sparkSession).select("rule_id", "severity", "title"))

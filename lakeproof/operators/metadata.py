@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeproof.functions import fixed, text
-from lakeproof.operators.findings import hit, union
+from lakeproof.operators.findings import hit, shuffled, union
 
 PHASE = 20
 
@@ -39,7 +39,7 @@ def declared(metadata: DataFrame, suffixes: list[str], keys: tuple[str, ...] = (
         wanted = wanted | key.endswith("." + suffix)
     last = lambda k, name: F.max_by(value, F.when(key == k, F.col("ord"))).alias(name)
     own = [last(F.concat("arch", F.lit("." + suffix)), suffix) for suffix in suffixes]
-    rows = metadata.where(wanted).join(architecture(metadata), "model_id", "left")
+    rows = metadata.where(wanted).join(shuffled(architecture(metadata)), "model_id", "left")
     return rows.groupBy("model_id").agg(F.max("arch").alias("arch"), *own, *[last(F.lit(k), k) for k in keys])
 
 
@@ -103,7 +103,7 @@ def consistency_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
     types = metadata.sparkSession.createDataFrame(list(fixed.FILE_TYPE_DTYPES.items()), "code int, expected string")
     models = declared(metadata, _SIZES, ("general.file_type", "split.count"))
     for facts in (layer_gaps(tensors), table, first, dominant_dtype(tensors)):
-        models = models.join(facts, "model_id", "left")
+        models = models.join(shuffled(facts), "model_id", "left")
     models = models.join(F.broadcast(types), F.col("code") == F.col("`general.file_type`")["n"], "left")
 
     number = lambda name: F.col(f"`{name}`")["n"]
@@ -132,7 +132,7 @@ def consistency_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
 
 def value_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
     """MET001 to MET006, MET020 and MET021, over current values in key order, without the template itself."""
-    now = current(metadata).where(F.col("key") != fixed.TEMPLATE_KEY).join(architecture(metadata), "model_id", "left")
+    now = current(metadata).where(F.col("key") != fixed.TEMPLATE_KEY).join(shuffled(architecture(metadata)), "model_id", "left")
     nth = F.row_number().over(Window.partitionBy("model_id").orderBy("key"))
     now = now.withColumn("n", nth * 10)
     key, v = F.col("key"), F.col("v_str")
@@ -167,9 +167,9 @@ def value_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
         with_address.select(*hit("MET001", PHASE, F.col("n") + 5, F.concat(F.lit("an element holds an address: "), item), key)),
         first(said).select(*hit("MET021", PHASE, F.col("n") + 6, F.concat(F.lit("an element says "), F.col("lex")), key)),
     ]
-    arch = architecture(metadata).join(tensors.select("model_id").distinct(), "model_id", "left_semi")
-    own = metadata.join(arch, "model_id").where(key.startswith(F.concat("arch", F.lit(".")))).select("model_id").distinct()
-    parts.append(arch.join(own, "model_id", "left_anti").select(*hit("MET005", PHASE + 1, F.lit(0), F.concat(F.lit("no key of "), F.col("arch")), F.lit("general.architecture"))))
+    arch = architecture(metadata).join(shuffled(tensors.select("model_id").distinct()), "model_id", "left_semi")
+    own = metadata.join(shuffled(arch), "model_id").where(key.startswith(F.concat("arch", F.lit(".")))).select("model_id").distinct()
+    parts.append(arch.join(shuffled(own), "model_id", "left_anti").select(*hit("MET005", PHASE + 1, F.lit(0), F.concat(F.lit("no key of "), F.col("arch")), F.lit("general.architecture"))))
     strange = tensors.where(F.col("dtype").startswith("GGML_TYPE_")).withColumn("nth", F.row_number().over(Window.partitionBy("model_id", "dtype").orderBy("ord"))).where("nth = 1")
     parts.append(strange.select(*hit("MET006", PHASE + 2, F.col("ord"), F.concat(F.lit("tensor "), F.col("name"), F.lit(" is of "), F.col("dtype")), F.col("name"))))
     return union(parts)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeproof.functions import fixed
-from lakeproof.operators.findings import hit, union
+from lakeproof.operators.findings import hit, shuffled, union
 from lakeproof.operators.metadata import scalar
 
 PHASE = 40
@@ -53,7 +53,7 @@ def read_whole(models: DataFrame) -> DataFrame:
 def placed(models: DataFrame, tensors: DataFrame) -> DataFrame:
     """Sized tensors of models whose file was read whole, with file_size, start, end and the location of their findings."""
     whole = read_whole(models).select("model_id", F.col("file_size").cast(_WIDE).alias("file_size"), F.col("data_start").cast(_WIDE).alias("data_start"))
-    t = sized(tensors).join(whole, "model_id").withColumn("loc", F.when(F.col("name") == "", "<tensor>").otherwise(F.col("name")))
+    t = sized(tensors).join(shuffled(whole), "model_id").withColumn("loc", F.when(F.col("name") == "", "<tensor>").otherwise(F.col("name")))
     return t.withColumn("start", F.col("data_start") + F.col("offset")).withColumn("end", F.try_add("start", "n_bytes"))
 
 
@@ -93,7 +93,7 @@ def alignment_findings(models: DataFrame, metadata: DataFrame) -> DataFrame:
     sane = F.col("v_int").isNotNull() & F.col("v_int").between(fixed.LEAST_ALIGNMENT, fixed.MOST_ALIGNMENT)
     power = F.when(sane, v.bitwiseAND(v - 1) == 0).otherwise(False)
     shown = F.coalesce(F.col("v_int").cast("string"), F.col("v_str"), F.col("vtype"))
-    return raw.join(read_whole(models).select("model_id"), "model_id", "left_semi").where(~power).select(*hit("STR005", PHASE, F.lit(0), _text("alignment ", shown), F.lit("general.alignment")))
+    return raw.join(shuffled(read_whole(models).select("model_id")), "model_id", "left_semi").where(~power).select(*hit("STR005", PHASE, F.lit(0), _text("alignment ", shown), F.lit("general.alignment")))
 
 
 def structure_findings(models: DataFrame, metadata: DataFrame, tensors: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def provenance_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
     shards = shard.select(*hit("INT006", PHASE + 3, F.lit(0), F.concat(F.lit("one of "), F.col("v_int").cast("string"), F.lit(" parts")), F.lit("split.count")))
     layers = scalar(metadata, "block_count").select("model_id", F.col("value").alias("block_count"))
     nth = F.row_number().over(Window.partitionBy("model_id", "name").orderBy("ord"))
-    t = tensors.withColumn("nth", nth).join(layers, "model_id", "left")
+    t = tensors.withColumn("nth", nth).join(shuffled(layers), "model_id", "left")
     name, lower = F.col("name"), F.lower("name")
     index = F.when(name.startswith("blk."), F.expr("try_cast(get(split(name, '[.]'), 1) as decimal(38,0))"))
     why = F.array_compact(F.array(
