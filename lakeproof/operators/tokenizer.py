@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeproof.functions import fixed
-from lakeproof.operators.findings import hit, union
+from lakeproof.operators.findings import hit, shuffled, union
 from lakeproof.operators.metadata import current, named, shards
 
 PHASE = 30
@@ -23,12 +23,12 @@ def tokenizer_findings(metadata: DataFrame, tensors: DataFrame, deep: bool = Fal
     """TOK001 to TOK005, and with ``deep`` TOK012 and TOK015 where both arrays were read whole."""
     now = current(metadata.where(F.col("key").startswith(_ROOT)))
     vocab = vocabulary(metadata)
-    sizes = vocab.select("model_id", "vocab", "longest")
+    sizes = shuffled(vocab.select("model_id", "vocab", "longest"))
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
     nth = F.array_position(F.array(*[F.lit(_ROOT + k) for k in fixed.SPECIAL_IDS]), F.col("key"))
     ids = now.where(F.col("key").isin(*[_ROOT + k for k in fixed.SPECIAL_IDS])).where("v_int is not null").where(~F.col("v_int").isin(*fixed.UNSET_IDS))
     outside = ids.join(sizes, "model_id").where("v_int < 0 or v_int >= vocab")
-    tables = named(tensors, "token_embd.weight", "output.weight").where(F.size("shape") > 0).join(shards(metadata), "model_id", "left_anti")
+    tables = named(tensors, "token_embd.weight", "output.weight").where(F.size("shape") > 0).join(shuffled(shards(metadata)), "model_id", "left_anti")
     wide = tables.join(sizes, "model_id").where(F.col("vocab") > F.array_max("shape"))
     side = now.where(F.col("key").isin(_ROOT + "scores", _ROOT + "token_type")).where("arr is not null").join(sizes, "model_id").where("arr.length <> vocab")
     kinds = now.where(F.col("key") == _ROOT + "token_type").withColumn("bad", F.array_sort(F.array_distinct(F.filter("arr.preview_int", lambda v: ~v.between(1, 6))))).where(F.size("bad") > 0)
@@ -37,7 +37,7 @@ def tokenizer_findings(metadata: DataFrame, tensors: DataFrame, deep: bool = Fal
     flags = flags.select("model_id", "key", F.regexp_replace("key", "add_(...)_token", "$1_token_id").alias("id_key"))
     valued = now.select("model_id", F.col("key").alias("id_key"), F.col("v_int").alias("id"))
     good = F.col("id").isNotNull() & ~F.col("id").isin(*fixed.UNSET_IDS) & (F.col("id") >= 0) & (F.col("vocab").isNull() | (F.col("id") < F.col("vocab")))
-    lost = flags.join(valued, ["model_id", "id_key"], "left").join(sizes, "model_id", "left").where(~F.coalesce(good, F.lit(False)))
+    lost = flags.join(shuffled(valued), ["model_id", "id_key"], "left").join(sizes, "model_id", "left").where(~F.coalesce(good, F.lit(False)))
     parts = [
         outside.select(*hit("TOK001", PHASE, nth, say(F.col("key"), " = ", F.col("v_int"), " of ", F.col("vocab"), " tokens"), F.col("key"))),
         wide.select(*hit("TOK002", PHASE + 1, F.when(F.col("name") == "output.weight", 1).otherwise(0), say(F.col("vocab"), " tokens, ", F.col("name"), " ", F.to_json("shape")), F.lit(_ROOT + "tokens"))),
@@ -52,7 +52,7 @@ def tokenizer_findings(metadata: DataFrame, tensors: DataFrame, deep: bool = Fal
 def seam_findings(metadata: DataFrame) -> DataFrame:
     """Role marks among the special tokens: forms that look alike (TOK012) and how many there are (TOK015)."""
     kinds = current(metadata.where(F.col("key") == _ROOT + "token_type")).where("arr is not null and not arr.truncated").select("model_id", F.col("arr.preview_int").alias("kinds"))
-    both = vocabulary(metadata).where("not tokens.truncated").select("model_id", F.coalesce("tokens.preview_str", F.array().cast("array<string>")).alias("surfaces")).join(kinds, "model_id")
+    both = vocabulary(metadata).where("not tokens.truncated").select("model_id", F.coalesce("tokens.preview_str", F.array().cast("array<string>")).alias("surfaces")).join(shuffled(kinds), "model_id")
     n = F.least(F.size("surfaces"), F.size("kinds"))
     pairs = F.slice(F.arrays_zip("surfaces", "kinds"), F.lit(1), n)
     each = both.select("model_id", F.explode_outer(pairs).alias("p")).select("model_id", F.col("p.surfaces").alias("s"), F.col("p.kinds").alias("kind"))

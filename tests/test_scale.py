@@ -11,6 +11,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["strange_models"])
+@pytest.mark.parametrize("name", ["strange_models", "tokenizer_arrays"])
 def test_tables_of_models_are_never_broadcast(spark, name):
     assert "BroadcastExchange" not in plan(queries.QUERIES[name](spark, SF))
