@@ -55,6 +55,8 @@ HIDDEN, BIDI = _java_class(_hidden_points()), _java_class(fixed.BIDI)
 CONCEALED = "[" + HIDDEN[1:-1] + BIDI[1:-1] + "]"
 #: Characters that compatibility composition may change, or that look like others: all but ASCII and the composed Latin letters that stand for themselves.
 COMPOSABLE = r"[^\x{00}-\x{7F}\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}]"
+#: A class of few ranges, none beyond 16 bits, that has all control characters.
+BEYOND_PRINT = r"[^\t\n\r\x{20}-\x{7E}\x{A0}-\x{FFFF}]"
 CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
 
 
@@ -67,9 +69,15 @@ def once(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
+def holds(text: Column, kind: str) -> Column:
+    """Whether a text has a character outside a class of few ranges, given as ``[^...]``. What is inside is matched greedily up to the end, many times faster than a search that begins anew at each character."""
+    return ~text.rlike(rf"\A[{kind[2:]}*\z")
+
+
 def has(text: Column, pattern: str) -> Column:
     """Whether a pattern is found. Cheaper signs come first: no text without them can hold it."""
-    signs = dict.fromkeys((HIDDEN, BIDI, CONCEALED), ~is_ascii(text) & text.rlike(BEYOND_PROSE)) | {fixed.URL_PATTERN: text.contains("://"), fixed.IP_PATTERN: text.rlike("[0-9][.][0-9]")}
+    signs = dict.fromkeys((HIDDEN, BIDI, CONCEALED), ~is_ascii(text) & holds(text, BEYOND_PROSE))
+    signs |= {CONTROL: holds(text, BEYOND_PRINT), fixed.URL_PATTERN: text.contains("://"), fixed.IP_PATTERN: text.rlike("[0-9][.][0-9]")}
     found = text.rlike(pattern)
     return F.coalesce(signs[pattern] & found if pattern in signs else found, F.lit(False))
 
@@ -99,7 +107,7 @@ def nfkc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def lexical(text: Column) -> Column:
     """Text as instruction idioms are looked for in it: composed, look-alike letters made Latin, lower case."""
-    odd = ~is_ascii(text) & text.rlike(COMPOSABLE)
+    odd = ~is_ascii(text) & holds(text, COMPOSABLE)
     composed = F.translate(nfkc(F.when(odd, text)), fixed.LOOKALIKES, fixed.LOOKALIKE_LATIN)  # other texts don't go to Python
     return F.lower(F.coalesce(composed, text))
 
@@ -128,10 +136,11 @@ def first_instruction(lexical_text: Column) -> Column:
 
 
 def normalized_template(source: Column) -> Column:
-    """Newlines made one kind, white space at the ends off."""
-    lines = F.regexp_replace(source, "\r\n|\r", "\n")
-    white = r"[\s\x1C-\x1F\x85\p{Z}&&[^\x{200B}]]+"
-    return F.regexp_replace(lines, rf"\A{white}|{white}\z", "")
+    """Newlines made one kind, white space at the ends off. Texts that have none of these are left as they are."""
+    white = r"[\s\x1C-\x1F\x85\p{Z}&&[^\x{200B}]]"
+    lines = F.when(source.contains("\r"), F.regexp_replace(source, "\r\n|\r", "\n")).otherwise(source)
+    ends = lambda t: F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1))).rlike(white)
+    return once(lines, lambda t: F.when(ends(t), F.regexp_replace(t, rf"\A{white}+|{white}+\z", "")).otherwise(t))
 
 
 def template_sha256(source: Column) -> Column:

@@ -1,7 +1,9 @@
 """What queries ask of the driver and of their tasks, told from plans and small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lakeproof.functions import text
 from lakeproof.plans import queries, rule_queries  # noqa: F401 - the last registers its queries
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +16,24 @@ def plan(df):
 @pytest.mark.parametrize("name", ["strange_models", "tokenizer_arrays"])
 def test_tables_of_models_are_never_broadcast(spark, name):
     assert "BroadcastExchange" not in plan(queries.QUERIES[name](spark, SF))
+
+
+TEXTS = ["", "plain\n\ttext", "é und ß", "a​b", "x‮y", "bell\x07", "\x0b", "\x85", "\xad", "日本", "\U0001f600", "\U0001f600\x07", "", "\U000f0000", "ﬁ", "ОО", "ĳ", "line\r\nend ", " ", None]
+
+
+def test_gates_of_classes_lose_nothing(spark):
+    """What a gate lets by holds nothing of its class, and a gate is one greedy match from the start."""
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string").coalesce(1)
+    kinds = [text.HIDDEN, text.BIDI, text.CONCEALED, text.CONTROL]
+    found = df.select(*[text.has(F.col("t"), k).alias(f"has{i}") for i, k in enumerate(kinds)], *[F.coalesce(F.col("t").rlike(k), F.lit(False)).alias(f"is{i}") for i, k in enumerate(kinds)])
+    for row in found.collect():
+        assert row[:4] == row[4:]
+    assert [r[0] for r in df.select(text.lexical(F.col("t"))).collect()][14] == "fi"
+    shown = plan(found.select("has0", "has3"))
+    assert f"RLIKE(t, {text.BEYOND_PROSE})" not in shown and shown.count(r"\A[") >= 2
+
+
+def test_normal_form_of_templates(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS if t is not None], "t string")
+    plain = F.regexp_replace(F.regexp_replace("t", "\r\n|\r", "\n"), r"\A[\s\x1C-\x1F\x85\p{Z}&&[^\x{200B}]]+|[\s\x1C-\x1F\x85\p{Z}&&[^\x{200B}]]+\z", "")
+    assert df.where(~text.normalized_template(F.col("t")).eqNullSafe(plain)).count() == 0
