@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lakeproof.functions import fixed, text
-from lakeproof.operators.findings import hit, union
+from lakeproof.operators.findings import hit, shuffled, union
 from lakeproof.operators.metadata import current
 
 PHASE = 50
@@ -34,7 +34,7 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], value: str = "value
     """Rows of a full outer join that differ: keys, change (added, removed, changed), old_value, new_value."""
     a = old.select(*keys, F.col(value).alias("old_value"), F.lit(True).alias("in_old"))
     b = new.select(*keys, F.col(value).alias("new_value"), F.lit(True).alias("in_new"))
-    both = a.join(b, keys, "full")
+    both = a.join(shuffled(b), keys, "full")
     change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "changed")
     return both.withColumn("change", change).where("change is not null").select(*keys, "change", "old_value", "new_value")
 
@@ -46,8 +46,8 @@ def templates_of(metadata: DataFrame) -> DataFrame:
 def manifest(models: DataFrame, metadata: DataFrame, tensors: DataFrame) -> DataFrame:
     """(model_id, manifest): one JSON object a model with file_sha256, template_sha256, metadata and tensors, keys sorted."""
     as_map = lambda df, name: df.groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(name))
-    out = models.select("model_id", F.col("sha256").alias("file_sha256")).join(templates_of(metadata).select("model_id", "template_sha256"), "model_id", "left")
-    out = out.join(as_map(serialized(metadata), "metadata"), "model_id", "left").join(as_map(tensor_map(tensors), "tensors"), "model_id", "left")
+    out = models.select("model_id", F.col("sha256").alias("file_sha256")).join(shuffled(templates_of(metadata).select("model_id", "template_sha256")), "model_id", "left")
+    out = out.join(shuffled(as_map(serialized(metadata), "metadata")), "model_id", "left").join(shuffled(as_map(tensor_map(tensors), "tensors")), "model_id", "left")
     return out.select("model_id", F.to_json(F.struct("file_sha256", "template_sha256", "metadata", "tensors"), {"ignoreNullFields": "false"}).alias("manifest"))
 
 
@@ -61,9 +61,9 @@ def manifest_findings(expected: DataFrame, models: DataFrame, metadata: DataFram
 
     Models are to be read with their hashes: a file without one is told as one that isn't as expected.
     """
-    has = expected.select("model_id")
-    file = expected.join(models.select("model_id", "sha256"), "model_id").where("file_sha256 is not null and not file_sha256 <=> sha256")
-    template = expected.select("model_id", F.col("template_sha256").alias("want")).join(templates_of(metadata), "model_id", "left").where(~F.col("want").eqNullSafe(F.col("template_sha256")))
+    has = shuffled(expected.select("model_id"))
+    file = expected.join(shuffled(models.select("model_id", "sha256")), "model_id").where("file_sha256 is not null and not file_sha256 <=> sha256")
+    template = expected.select("model_id", F.col("template_sha256").alias("want")).join(shuffled(templates_of(metadata)), "model_id", "left").where(~F.col("want").eqNullSafe(F.col("template_sha256")))
     entries = lambda name: expected.select("model_id", F.explode(name).alias("key", "value"))
     meta = changes(entries("metadata"), serialized(metadata).join(has, "model_id", "left_semi"), ["model_id", "key"])
     maps = changes(entries("tensors"), tensor_map(tensors).join(has, "model_id", "left_semi"), ["model_id", "key"])

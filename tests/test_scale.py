@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["strange_models", "tokenizer_arrays"])
+@pytest.mark.parametrize("name", ["strange_models", "tokenizer_arrays", "manifest_findings"])
 def test_tables_of_models_are_never_broadcast(spark, name):
     assert "BroadcastExchange" not in plan(queries.QUERIES[name](spark, SF))
 
