@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeproof.functions import text
+from lakeproof.functions import json_facts, text
 from lakeproof.plans import queries, rule_queries  # noqa: F401 - the last registers its queries
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,18 @@ def test_normal_form_of_templates(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS if t is not None], "t string")
     plain = F.regexp_replace(F.regexp_replace("t", "\r\n|\r", "\n"), r"\A[\s\x1C-\x1F\x85\p{Z}&&[^\x{200B}]]+|[\s\x1C-\x1F\x85\p{Z}&&[^\x{200B}]]+\z", "")
     assert df.where(~text.normalized_template(F.col("t")).eqNullSafe(plain)).count() == 0
+
+
+def test_equal_texts_are_parsed_once(spark, tmp_path):
+    """By batch: every parse leaves a line in a file."""
+    log = str(tmp_path / "parsed")
+
+    def parse(value):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return {"n": len(value)} if value else None
+
+    df = spark.createDataFrame([("ab",), (None,), ("ab",), ("c",), ("ab",)], "t string").coalesce(1)
+    got = [r[0] for r in df.select(json_facts._udf(parse, "n int")("t")).collect()]
+    assert [(r["n"], r["ok"]) for r in got] == [(2, True), (None, False), (2, True), (1, True), (2, True)]
+    assert len(open(log).readlines()) == 3
