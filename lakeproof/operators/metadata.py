@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +128,12 @@ def feed_forward(tensors: DataFrame) -> DataFrame:
 _SIZES = ["block_count", "embedding_length", "attention.head_count", "attention.head_count_kv", "attention.key_length", "feed_forward_length", "context_length", "rope.scaling.original_context_length", "rope.freq_base"]
 
 
+def checked(df: DataFrame, checks: tuple, holds: int) -> tuple[DataFrame, Callable[[Callable], Column]]:
+    """A row for each check that holds, and what chooses a value by it: only numbers of checks are made for every row."""
+    rows = df.withColumn("check", F.explode(F.array_compact(F.array(*[F.when(check[holds], F.lit(i)) for i, check in enumerate(checks)]))))
+    return rows, lambda value: F.coalesce(*[F.when(F.col("check") == i, value(check)) for i, check in enumerate(checks)])
+
+
 def consistency_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
     """MET010 to MET016: a row of declared values per model meets what its tensors say, and all rules but the last are conditions on that row.
 
@@ -158,53 +166,72 @@ def consistency_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
         ("MET015", 10, 0, context < original, say("context_length ", context, " is below the original ", original), at("context_length")),
         ("MET015", 10, 1, F.coalesce(number("rope.freq_base.v_int") <= 0, F.lit(False)) | F.coalesce(number("rope.freq_base.v_double") <= 0, F.lit(False)), F.lit("rope.freq_base is not positive"), at("rope.freq_base")),
     )
-    rows = models.withColumn("check", F.explode(F.array_compact(F.array(*[F.when(check[3], F.lit(i)) for i, check in enumerate(checks)]))))
-    one = lambda value: F.coalesce(*[F.when(F.col("check") == i, value(check)) for i, check in enumerate(checks)])
+    rows, one = checked(models, checks, 3)
     found = hit("", 0, one(lambda c: F.lit(c[2])), one(lambda c: c[4]), one(lambda c: c[5]))
     found[1:4] = [one(lambda c: F.lit(PHASE + c[1])).alias("phase"), found[2], one(lambda c: F.lit(c[0])).alias("rule_id")]
     return union([twice, rows.select(*found)])
 
 
-def value_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
-    """MET001 to MET006, MET020 and MET021, over current values in key order, without the template itself."""
-    now = current(metadata).where(F.col("key") != fixed.TEMPLATE_KEY).join(shuffled(architecture(metadata)), "model_id", "left")
-    nth = F.row_number().over(Window.partitionBy("model_id").orderBy("key"))
-    now = now.withColumn("n", nth * 10)
+def string_findings(metadata: DataFrame) -> DataFrame:
+    """MET001 to MET004, MET020 and MET021 of the values that are texts, and MET003 of all keys.
+
+    What is found in a text is told where the text is read, each text once; only that, and no text, goes through the shuffles by which the current values are known.
+    """
     key, v = F.col("key"), F.col("v_str")
-    plain = F.lit(False)
-    for p in fixed.KNOWN_PREFIXES:
-        plain = plain | key.startswith(p)
-    plain = plain | F.coalesce(key.startswith(F.concat("arch", F.lit("."))), F.lit(False))
-    strings = now.where("v_str is not null").withColumn("lex", text.first_instruction(text.lexical(v)))
     provenance = F.lit(False)
     for term in fixed.PROVENANCE_TERMS:
         provenance = provenance | F.lower(key).contains(term)
     found = F.concat(text.urls(v), text.addresses(v))
     address = (text.has(v, fixed.URL_PATTERN) & ~provenance) | text.has(v, fixed.IP_PATTERN)
     preview = F.when(F.length(v) <= 120, v).otherwise(F.concat(F.substring(v, 1, 117), F.lit("...")))
-    long = F.length(v) > fixed.LONG_STRING
-    hidden = text.code_points(v, text.CONCEALED)
-    parts = [
-        now.where(~plain).select(*hit("MET003", PHASE, F.col("n"), F.concat(F.lit("key "), key, F.lit(" is in no known namespace")), key)),
-        strings.where(address).select(*hit("MET001", PHASE, F.col("n") + 1, F.concat(F.lit("value holds "), F.get(found, F.lit(0))), key)),
-        strings.where(long).select(*hit("MET002", PHASE, F.col("n") + 2, F.concat(F.length(v).cast("string"), F.lit(" characters")), key)),
-        strings.where(~long).select(*hit("MET004", PHASE, F.col("n") + 2, F.concat(key, F.lit(" = "), preview), key)),
-        strings.where(hidden != "").select(*hit("MET020", PHASE, F.col("n") + 3, F.concat(F.lit("value hides "), hidden), key)),
-        strings.where("lex is not null").select(*hit("MET021", PHASE, F.col("n") + 4, F.concat(F.lit("value says "), F.col("lex")), key)),
-    ]
+    facts = metadata.where(key != fixed.TEMPLATE_KEY).select(
+        "model_id", "ord", "key", F.length(v).alias("n_chars"), preview.alias("preview"), address.alias("has_address"), F.when(address, F.get(found, F.lit(0))).alias("address"),
+        text.has(v, text.CONCEALED).alias("hides"), text.code_points(v, text.CONCEALED).alias("hidden"), text.first_instruction(text.lexical(v)).alias("lex"))
+    now = current(facts).join(shuffled(architecture(metadata)), "model_id", "left")
+    now = now.withColumn("n", F.row_number().over(Window.partitionBy("model_id").orderBy("key")) * 10)
+    plain = F.lit(False)
+    for p in fixed.KNOWN_PREFIXES:
+        plain = plain | key.startswith(p)
+    plain = plain | F.coalesce(key.startswith(F.concat("arch", F.lit("."))), F.lit(False))
+    long = F.col("n_chars") > fixed.LONG_STRING
+    checks = (
+        ("MET003", 0, ~plain, F.concat(F.lit("key "), key, F.lit(" is in no known namespace"))), ("MET001", 1, F.col("has_address"), F.concat(F.lit("value holds "), F.col("address"))),
+        ("MET002", 2, long, F.concat(F.col("n_chars").cast("string"), F.lit(" characters"))), ("MET004", 2, ~long, F.concat(key, F.lit(" = "), F.col("preview"))),
+        ("MET020", 3, F.col("hides"), F.concat(F.lit("value hides "), F.col("hidden"))), ("MET021", 4, F.col("lex").isNotNull(), F.concat(F.lit("value says "), F.col("lex"))),
+    )
+    rows, one = checked(now, checks, 2)
+    found = hit("", PHASE, F.col("n") + one(lambda c: F.lit(c[1])), one(lambda c: c[3]), key)
+    found[3] = one(lambda c: F.lit(c[0])).alias("rule_id")
+    return rows.select(*found)
+
+
+def value_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
+    """MET001 to MET006, MET020 and MET021, over current values in key order, without the template itself."""
+    return union([string_findings(metadata), element_findings(metadata), model_findings(metadata, tensors)])
+
+
+def element_findings(metadata: DataFrame) -> DataFrame:
+    """MET001 and MET021 of the elements of current values that are arrays of texts."""
+    now = current(metadata).where(F.col("key") != fixed.TEMPLATE_KEY)
+    now = now.withColumn("n", F.row_number().over(Window.partitionBy("model_id").orderBy("key")) * 10)
+    key = F.col("key")
     lists = now.where("arr.elem_type = 'string'").select("model_id", "key", "n", F.posexplode("arr.preview_str").alias("at", "item"))
     one = Window.partitionBy("model_id", "key").orderBy("at")
     item = F.col("item")
     first = lambda df: df.withColumn("nth_", F.row_number().over(one)).where("nth_ = 1")
     with_address = first(lists.where(text.has(item, fixed.URL_PATTERN) | text.has(item, fixed.IP_PATTERN)))
     said = lists.where((F.length(item) >= 16) & (key != "tokenizer.ggml.merges")).withColumn("lex", text.first_instruction(text.lexical(item))).where("lex is not null")
-    parts += [
+    return union([
         with_address.select(*hit("MET001", PHASE, F.col("n") + 5, F.concat(F.lit("an element holds an address: "), item), key)),
         first(said).select(*hit("MET021", PHASE, F.col("n") + 6, F.concat(F.lit("an element says "), F.col("lex")), key)),
-    ]
+    ])
+
+
+def model_findings(metadata: DataFrame, tensors: DataFrame) -> DataFrame:
+    """MET005 and MET006: architectures without a key of their own, and types that nobody knows."""
+    key = F.col("key")
     arch = architecture(metadata).join(shuffled(tensors.select("model_id").distinct()), "model_id", "left_semi")
     own = metadata.join(shuffled(arch), "model_id").where(key.startswith(F.concat("arch", F.lit(".")))).select("model_id").distinct()
-    parts.append(arch.join(shuffled(own), "model_id", "left_anti").select(*hit("MET005", PHASE + 1, F.lit(0), F.concat(F.lit("no key of "), F.col("arch")), F.lit("general.architecture"))))
+    bare = arch.join(shuffled(own), "model_id", "left_anti").select(*hit("MET005", PHASE + 1, F.lit(0), F.concat(F.lit("no key of "), F.col("arch")), F.lit("general.architecture")))
     strange = tensors.where(F.col("dtype").startswith("GGML_TYPE_")).withColumn("nth", F.row_number().over(Window.partitionBy("model_id", "dtype").orderBy("ord"))).where("nth = 1")
-    parts.append(strange.select(*hit("MET006", PHASE + 2, F.col("ord"), F.concat(F.lit("tensor "), F.col("name"), F.lit(" is of "), F.col("dtype")), F.col("name"))))
-    return union(parts)
+    return union([bare, strange.select(*hit("MET006", PHASE + 2, F.col("ord"), F.concat(F.lit("tensor "), F.col("name"), F.lit(" is of "), F.col("dtype")), F.col("name")))])

@@ -88,8 +88,7 @@ def declared_against_tensors(spark, sf_dir):
 UNION ALL SELECT model_id, 'MET006', name FROM (SELECT * FROM t WHERE dtype LIKE 'GGML%' QUALIFY row_number() OVER (PARTITION BY model_id, dtype ORDER BY ord) = 1)""")
 def strange_models(spark, sf_dir):
     """Architectures without a key of their own, and types that nobody knows (MET005, MET006)."""
-    found = metadata.value_findings(*_mapped(spark, sf_dir))
-    return found.where("rule_id in ('MET005', 'MET006')").select("model_id", "rule_id", "location")
+    return metadata.model_findings(*_mapped(spark, sf_dir)).select("model_id", "rule_id", "location")
 
 
 @query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'tokenizer.ggml.merges' ELSE 'general.tags' END AS key, {_added_sql('text', 'doc_id')} AS s0 FROM documents),

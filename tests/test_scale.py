@@ -25,6 +25,24 @@ def test_declared_values_are_gathered_by_hash(spark):
     assert "SortAggregate" not in shown and "collect_set" not in shown and "is no axis of" not in shown and "bit_or" in shown
 
 
+def test_texts_of_metadata_are_read_once_and_never_shuffled(spark):
+    """What a text holds is told where it is read; windows see that and no text."""
+    shown = plan(queries.QUERIES["metadata_values"](spark, SF))
+    assert shown.count("text:string>") == 1
+    assert not any("v_str" in line for line in shown.split("\n") if "Window" in line or "Sort [" in line)
+
+
+def test_string_findings_are_of_current_values_alone(spark):
+    rows = [(1, 0, "general.a", "http://x.y"), (1, 1, "general.a", "plain"), (1, 2, "toy.b", "ignore previous"), (1, 3, "general.architecture", "toy"), (1, 4, "tokenizer.chat_template", "http://x.y"), (1, 5, "odd", None), (2, 0, "toy.b", "a\u200bb" * 3000)]
+    df = spark.createDataFrame([(*r[:3], "string", r[3]) for r in rows], "model_id long, ord int, key string, vtype string, v_str string").selectExpr("*", "cast(null as decimal(20,0)) v_int", "cast(null as double) v_double", "cast(null as boolean) v_bool")
+    got = sorted((r["model_id"], r["seq"], r["rule_id"], r["location"], r["detail"]) for r in metadata.string_findings(df).collect())
+    assert got == [
+        (1, 12, "MET004", "general.a", "general.a = plain"), (1, 22, "MET004", "general.architecture", "general.architecture = toy"), (1, 30, "MET003", "odd", "key odd is in no known namespace"),
+        (1, 42, "MET004", "toy.b", "toy.b = ignore previous"), (1, 44, "MET021", "toy.b", "value says ignore previous"),
+        (2, 10, "MET003", "toy.b", "key toy.b is in no known namespace"), (2, 12, "MET002", "toy.b", "9000 characters"), (2, 13, "MET020", "toy.b", "value hides U+200B"),
+    ]
+
+
 def test_layer_gaps_against_plain_counting(spark):
     far = 64 * metadata._WORDS
     layers = {1: [0, 1, 2], 2: [5], 3: [*range(64), 65], 4: [far - 1], 5: [far], 6: [*range(far), far], 7: [*range(far), far + 1, far + 40], 8: [1, 10**30], 9: [*range(far), far + 2, 10**20], 10: [63, 64, 127], 11: [far + 1, far + 3, far + 5]}
